@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, topk, toxicity, warc
+from . import decontaminate, langid, mixing, repeats, tokens, topk, toxicity, warc
 from .common import table
 
 
+def op1_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -50,9 +62,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_topk, op7_toxicity, op9_revisits, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op5_repeats, op6_topk, op7_toxicity, op9_revisits, op10_language)}
 
 ORACLE_SQL = {
+    "op5_repeats": """
+        with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
+        p as (select rid, ws, unnest(generate_series(1, len(ws) - 34)) s from d where len(ws) >= 35),
+        w as (select rid, s, md5(array_to_string(ws[s:s + 34], ' ')) h from p),
+        r as (select rid, s from w where h in (select h from w group by h having count(*) > 1)),
+        c as (select distinct rid, unnest(generate_series(s, s + 34)) i from r),
+        k as (select rid, doc_id, unnest(ws) word, generate_subscripts(ws, 1) i from d),
+        g as (select k.rid, string_agg(word, ' ' order by i) kept, count(*) n from k anti join c on k.rid = c.rid and k.i = c.i group by k.rid)
+        select d.doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - coalesce(g.n, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join g on d.rid = g.rid""",
     "op6_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
                    where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
