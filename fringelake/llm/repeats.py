@@ -120,8 +120,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     # By document: seeds repeated over their whole reach, and seeds to extend.
     by_doc = joined.groupBy("key").agg(F.collect_list(F.when(~F.col("mixed"), F.struct("first", "last"))).alias("whole"), F.collect_list(F.when(F.col("mixed"), seed)).alias("seeds"))
     by_doc = cut(by_doc)
-    texts = base.join(by_doc.filter(F.size("seeds") > 0).select("key", "seeds"), "key").select("key", "text", "seeds")
-    windows = cut(extend_seeds(texts, window))
+    # The texts are shuffled once: both joins ask for the same columns, so Spark reuses the exchange.
+    texts = base.join(by_doc.filter(F.size("seeds") > 0).select("key", "seeds"), "key").select("doc_id", "text", "key", "seeds")
+    windows = extend_seeds(texts, window)
     twice = windows.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     single = windows.join(twice, ["anchor", "content"]).groupBy("key").agg(F.collect_set("start").alias("single"))
     covered = by_doc.select("key", "whole").join(single, "key", "left").select("key", "whole", "single")
