@@ -67,12 +67,13 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(code of each word, distinct words, offsets of each text's words). Null texts have no words."""
+    """(code of each word, words by code, offsets of each text's words). Null texts have no words.
+
+    ``lower`` lower-cases A-Z; several codes may then stand for one word.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     ends = np.asarray(pc.list_value_length(lists), dtype=np.int64)
     encoded = pc.dictionary_encode(lists.flatten())
@@ -84,7 +85,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Ar
         keep = codes != blank
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         codes = codes[keep]
-    return codes, values, offsets
+    return codes, pc.ascii_lower(values) if lower else values, offsets
 
 
 def hash_values(values: pa.Array, seed: int = 0) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, repeats, tokens, topk, toxicity, warc
+from . import decontaminate, jaccard, langid, mixing, repeats, tokens, topk, toxicity, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -62,9 +66,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op5_repeats, op6_topk, op7_toxicity, op9_revisits, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op4_jaccard, op5_repeats, op6_topk, op7_toxicity, op9_revisits, op10_language)}
 
 ORACLE_SQL = {
+    "op4_jaccard": """
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') ws from documents),
+        s as (select distinct doc_id, case when len(ws) < 4 then array_to_string(ws, ' ') else array_to_string(ws[i:i + 3], ' ') end g
+              from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) i from d where len(ws) > 0)),
+        n as (select doc_id, count(*) n from s group by doc_id),
+        f as (select g, count(*) c from s group by g having count(*) > 1),
+        p as (select a.doc_id a, b.doc_id b, count(*) o from s a join f using (g) join s b using (g) where a.doc_id < b.doc_id group by 1, 2),
+        l as materialized (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * o >= 85 * (x.n + y.n - o)),
+        e as materialized (select a, b from l union select b, a from l),
+        r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+        c as (select a, min(b) m from r group by a)
+        select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, cast(least(d.doc_id, coalesce(c.m, d.doc_id)) as bigint) component_id
+        from d left join n on d.doc_id = n.doc_id left join c on d.doc_id = c.a""",
     "op5_repeats": """
         with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
         p as (select rid, ws, unnest(generate_series(1, len(ws) - 34)) s from d where len(ws) >= 35),
