@@ -24,7 +24,6 @@ extra columns are left out; empty tables give empty results.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,19 +64,18 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 class PrefixTree:
-    """A trie of ordered sets with edges of several elements."""
+    """A trie of ordered sets, with edges of several elements."""
 
-    def __init__(self, sets: list[list[int]]):
-        order = sorted(range(len(sets)), key=sets.__getitem__)
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray]):
+        order = sorted(range(len(sets)), key=[s.astype(">u8").tobytes() for s in sets].__getitem__)
         self.root = self._grow([(sets[i], i) for i in order], 0)
 
-    def _grow(self, rows: list[tuple[list[int], int]], depth: int) -> tuple:
+    def _grow(self, rows: list[tuple[np.ndarray, int]], depth: int) -> tuple:
         """(edge, members that end here, children, least size, greatest size) of the rows that share ``depth`` elements."""
         first, last = rows[0][0], rows[-1][0]
-        end, limit = depth, min(len(first), len(last))
-        while end < limit and first[end] == last[end]:
-            end += 1
+        limit = min(len(first), len(last))
+        differ = first[depth:limit] != last[depth:limit]
+        end = depth + int(differ.argmax()) if differ.any() else limit
         members = [i for s, i in rows if len(s) == end]
         children, start = [], len(members)
         while start < len(rows):
@@ -89,21 +87,23 @@ class PrefixTree:
         sizes = [len(s) for s, _ in rows]
         return first[depth:end], members, children, min(sizes), max(sizes)
 
-    def linked(self, query: list[int], percent: int) -> list[int]:
+    def linked(self, query: np.ndarray, percent: int) -> list[int]:
         """Members whose Jaccard similarity with the (ordered) query is ``percent`` % or more."""
-        held, size, found = set(query), len(query), []
-        stack = [(self.root, 0, 0)]
+        size, found = len(query), []
+        stack = [(self.root, 0, 0, 0)]
         while stack:
-            (edge, members, children, least, most), overlap, depth = stack.pop()
-            overlap += sum(map(held.__contains__, edge))
-            depth += len(edge)
-            left = size - bisect_right(query, edge[-1]) if edge else size
+            (edge, members, children, least, most), overlap, depth, passed = stack.pop()
+            if len(edge):
+                at = np.searchsorted(query, edge)
+                overlap += int((query[np.minimum(at, size - 1)] == edge).sum())
+                depth += len(edge)
+                passed = int(np.searchsorted(query, edge[-1], side="right"))
             # overlap / (size + s - overlap) >= percent / 100, at best for the least size below.
-            if (100 + percent) * (overlap + min(left, most - depth)) < percent * (size + max(least, depth)):
+            if (100 + percent) * (overlap + min(size - passed, most - depth)) < percent * (size + max(least, depth)):
                 continue
             if members and (100 + percent) * overlap >= percent * (size + depth):
                 found += members
-            stack += [(child, overlap, depth) for child in children]
+            stack += [(child, overlap, depth, passed) for child in children]
         return found
 
 
@@ -178,10 +178,13 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, sid long, n int, place int")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b); ``texts`` is (sid, text)."""
+def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b). ``reps`` has the key of one document of each node."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid")
+    wanted = cut(wanted)
+    texts = base.select("key", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, "key").select("sid", "text")
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    placed = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(13)), F.col("parts")).alias("part"))
+    placed = cut(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(13)), F.col("parts")).alias("part")))
     left = placed.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("other")), "b")
     right = placed.select("a", "part").distinct().join(texts.withColumnRenamed("sid", "a"), "a").select(F.col("a").alias("qa"), F.col("part").alias("qpart"), F.col("text").alias("query"))
 
@@ -189,8 +192,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
         if others.empty or own.empty:
             return pd.DataFrame({"a": [], "b": []})
         others = others.drop_duplicates("b")
-        sets = [s.tolist() for s in shingle_sets(pa.array(others["other"], pa.string()), n)]
-        query = next(shingle_sets(pa.array(own["query"].iloc[:1], pa.string()), n)).tolist()
+        sets = list(shingle_sets(pa.array(others["other"], pa.string()), n))
+        query = next(shingle_sets(pa.array(own["query"].iloc[:1], pa.string()), n))
         found = PrefixTree(sets).linked(query, percent)
         return pd.DataFrame({"a": [key[0]] * len(found), "b": others["b"].to_numpy()[found]})
 
@@ -206,16 +209,15 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     shared = posted.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("token")
     postings = cut(posted.join(shared, "token").dropDuplicates(["token", "sid"]))
 
-    chosen = postings.select("sid").distinct().join(nodes.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key")), "sid")
-    chosen = cut(chosen)
-    small = chosen.count() <= BROADCAST_NODES
-    texts = base.select("key", "text").join(F.broadcast(chosen) if small else chosen, "key").select("sid", "text")
+    reps = nodes.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
 
     sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     ends = postings.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("low"), F.max(F.struct("sid", "n")).alias("high"))
     stars = postings.join(ends, "token").select(F.col("sid").alias("b"), "n", F.explode(F.array("low", "high")).alias("center")).select(F.col("center.sid").alias("a"), "b", "n", F.col("center.n").alias("m"))
-    first = cut(stars.filter((F.col("a") != F.col("b")) & sized).select("a", "b").distinct())
-    links = cut(_verify(first, texts, n, percent))
+    # Each node meets the center that most of its postings name.
+    votes = stars.filter((F.col("a") != F.col("b")) & sized).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+    first = cut(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"))
+    links = cut(_verify(first, base, reps, n, percent))
 
     if not links.isEmpty():
         comp = components(links)
@@ -231,7 +233,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     tested = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, texts, n, percent))
+        links = links.unionByName(_verify(rest, base, reps, n, percent))
         links = cut(links)
 
     if links.isEmpty():
