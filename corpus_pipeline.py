@@ -1,13 +1,93 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, mixture."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, mixture.
+
+Each stage takes and returns the columns of ``documents`` (the last returns the
+mixture); extra columns are left out, null and empty texts are kept by every
+stage but where its operator says otherwise. Stages decide by row, so documents
+with one id are told apart by their text.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fringelake.llm import decontaminate, jaccard, mixing, repeats, toxicity
+from fringelake.llm.common import cut, ensure_checkpoint_dir, row_key, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Up to so many row keys (8 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+SHINGLE, PERCENT = 5, 80
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``keys``."""
+    keys = cut(keys.distinct())
+    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
+    gone = keys.select(F.col("key").alias("_key"))
+    return keyed.join(F.broadcast(gone) if keys.count() <= BROADCAST_KEYS else gone, "_key", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    docs = docs.select(*COLUMNS)
+    weights, intercept = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, weights, intercept).filter("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the least id stays; texts without words are no group."""
+    docs = docs.select(*COLUMNS)
+    found = cut(jaccard.jaccard_components(docs, SHINGLE, PERCENT).filter("n_shingles > 0"))
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")).select("comp", F.col("best.key").alias("stays"))
+    kept = _without(docs, found.join(best, "comp").filter("key <> stays").select("key"))
+    same = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    if same.isEmpty():
+        return kept
+    # Equal rows share a key: one of them stays.
+    once = kept.withColumn("_key", row_key("doc_id", "text")).join(same.select(F.col("key").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    return _without(kept, same).unionByName(once)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur elsewhere too are cut out of the texts."""
+    found = repeats.remove_repeats(docs.select(*COLUMNS), keep_text=True)
+    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    docs = docs.select(*COLUMNS)
+    return _without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("key"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each document is taken for the mixture."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_leaks),
+    ("mixing", mix),
+]
+#: The classifier and the sampling have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = f"{folder}/{i}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

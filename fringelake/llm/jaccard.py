@@ -55,8 +55,8 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 def set_id(shingles: np.ndarray) -> int:
     """64-bit name of a set."""
-    total = mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(signed(mix(np.array([total], np.uint64)))[0])
+    total = np.array([len(shingles)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(shingles).sum(dtype=np.uint64)
+    return int(signed(mix(total))[0])
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -201,7 +201,7 @@ def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent:
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, key (of the row), n_shingles, component_id for every document."""
+    """doc_id, key (of the row), comp (of its class), n_shingles, component_id for every document."""
     base = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
     nodes = cut(_nodes(base, n))
     sketch = base.sparkSession.sparkContext.broadcast(frequency_sketch(base, n))
@@ -242,4 +242,4 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
         comp = components(links)
         found = nodes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = found.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return found.join(named, "comp", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.join(named, "comp", "left").select("doc_id", "key", "comp", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

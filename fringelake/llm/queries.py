@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, repeats, tokens, topk, toxicity, warc
+from . import decontaminate, jaccard, langid, mixing, pitmanyor, repeats, tokens, topk, toxicity, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pitmanyor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score_all(table(spark, sf_dir, "documents"))
+
+
 def page_captures(pages: DataFrame) -> DataFrame:
     """A capture history of ``pages``: each is fetched in full, and asked for again later.
 
@@ -66,7 +70,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op4_jaccard, op5_repeats, op6_topk, op7_toxicity, op9_revisits, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op4_jaccard, op5_repeats, op6_topk, op7_toxicity, op8_pitmanyor, op9_revisits, op10_language)}
 
 ORACLE_SQL = {
     "op4_jaccard": """

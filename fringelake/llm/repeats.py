@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import chunks, cut, expand, gram_hashes, row_key, signed, span_hasher, word_hashes
 
@@ -111,8 +112,13 @@ def extend_seeds(texts: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and with ``keep_text`` the kept words joined by blanks."""
-    base = docs.select("doc_id", "text").withColumn("key", row_key("doc_id", "text"))
+    """doc_id, n_words, n_removed, kept_sha256 for every document.
+
+    With ``keep_text`` also all columns of ``docs``, the text replaced by the
+    kept words joined by blanks where any was removed.
+    """
+    base = docs.select("doc_id", "text", *[x for x in docs.columns if keep_text and x not in ("doc_id", "text")], row_key("doc_id", "text").alias("_key"))
+    full, base = base, base.select("doc_id", "text", F.col("_key").alias("key"))
     found = find_seeds(base, window, gram)
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("reach") != F.max("reach")).alias("mixed")).filter("n > 1").drop("n")
     anchors = cut(anchors)  # a join of two plain exchanges can be split where an anchor is hot
@@ -150,13 +156,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
                 out = b" ".join(left)
                 digests.append(hashlib.sha256(out).hexdigest())
                 if keep_text:
-                    kept.append(out.decode("utf-8", "surrogatepass"))
+                    kept.append(text.as_py() if len(left) == len(words) else out.decode("utf-8", "surrogatepass"))
             columns = [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if keep_text:
-                columns.append(pa.array(kept, pa.string()))
-                names.append("kept")
+                columns = [pa.array(kept, pa.string()) if x == "text" else batch[x] for x in docs_columns] + columns[1:]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return base.join(covered, "key", "left").select("doc_id", "text", "whole", "single").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    added = StructType.fromDDL("n_words long, n_removed long, kept_sha256 string")
+    docs_columns = docs.columns if keep_text else ["doc_id"]
+    names = [*docs_columns, *added.names]
+    schema = StructType([*(docs.schema[x] for x in docs_columns), *added.fields])
+    joined = full.withColumnRenamed("_key", "key").join(covered, "key", "left")
+    return joined.select(*dict.fromkeys([*docs_columns, "doc_id", "text"]), "whole", "single").mapInArrow(run, schema)
