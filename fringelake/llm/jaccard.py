@@ -7,8 +7,9 @@ link when ``100 * |intersection| >= percent * |union|``. The join is exact:
    documents, ties by hash; any order gives the same result.
 2. Linked sets share a shingle among the first ``n - ceil(percent * n / 100) + 1``
    of each. Those prefixes are posted; shingles of one node only are dropped.
-3. The nodes of a posting are first joined with two of them only. Nodes
-   that this puts in one component need not be compared any more.
+3. In rounds, a node is compared with one other of another component, the one that
+   most of its postings name among two centers each. Nodes that this
+   puts in one component need not be compared any more.
 4. Postings that still hold several components give the pairs left: those
    of different components whose sizes and prefix places allow a link.
 5. Pairs are verified in blocks of one node against up to ``BLOCK`` others,
@@ -39,6 +40,8 @@ SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 20
 BLOCK = 64
+#: Rounds of one pair a node; what they leave is compared in full.
+STAR_ROUNDS = 4
 #: Up to so many nodes (16 bytes each), the list of texts to verify is broadcast; beyond, texts are shuffled.
 BROADCAST_NODES = 500_000
 
@@ -187,17 +190,33 @@ def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent:
     placed = cut(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(13)), F.col("parts")).alias("part")))
     left = placed.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("other")), "b")
     right = placed.select("a", "part").distinct().join(texts.withColumnRenamed("sid", "a"), "a").select(F.col("a").alias("qa"), F.col("part").alias("qpart"), F.col("text").alias("query"))
+    # Many small blocks share a task's group, for groups have a fixed cost.
+    groups = max(1, -(-placed.count() // (4 * BLOCK)))
+    left = left.withColumn("g", F.pmod(F.xxhash64("a", "part"), F.lit(groups)))
+    right = right.withColumn("qg", F.pmod(F.xxhash64("qa", "qpart"), F.lit(groups)))
 
     def run(key: tuple, others: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if others.empty or own.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        others = others.drop_duplicates("b")
-        sets = list(shingle_sets(pa.array(others["other"], pa.string()), n))
-        query = next(shingle_sets(pa.array(own["query"].iloc[:1], pa.string()), n))
-        found = PrefixTree(sets).linked(query, percent)
-        return pd.DataFrame({"a": [key[0]] * len(found), "b": others["b"].to_numpy()[found]})
+        out_a, out_b = [], []
+        queries = own.drop_duplicates(["qa", "qpart"]).set_index(["qa", "qpart"])["query"]
+        for block, rows in others.drop_duplicates(["a", "b"]).groupby(["a", "part"], sort=False):
+            sets = list(shingle_sets(pa.array(rows["other"], pa.string()), n))
+            query = next(shingle_sets(pa.array([queries[block]], pa.string()), n))
+            found = PrefixTree(sets).linked(query, percent)
+            out_a += [block[0]] * len(found)
+            out_b += rows["b"].to_numpy()[found].tolist()
+        return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
 
-    return left.groupBy("a", "part").cogroup(right.groupBy("qa", "qpart")).applyInPandas(run, "a long, b long")
+    return left.groupBy("g").cogroup(right.groupBy("qg")).applyInPandas(run, "a long, b long")
+
+
+def _open_postings(postings: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings, with their node's component, of the tokens that several components share."""
+    if links.isEmpty():
+        named = postings.withColumn("comp", F.col("sid"))
+    else:
+        named = postings.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+    return cut(named.join(cut(mixed), "token"))
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -212,29 +231,29 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     reps = nodes.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
 
     sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    ends = postings.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("low"), F.max(F.struct("sid", "n")).alias("high"))
-    stars = postings.join(ends, "token").select(F.col("sid").alias("b"), "n", F.explode(F.array("low", "high")).alias("center")).select(F.col("center.sid").alias("a"), "b", "n", F.col("center.n").alias("m"))
-    # Each node meets the center that most of its postings name.
-    votes = stars.filter((F.col("a") != F.col("b")) & sized).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-    first = cut(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"))
-    links = cut(_verify(first, base, reps, n, percent))
-
-    if not links.isEmpty():
-        comp = components(links)
-        named = postings.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    else:
-        named = postings.withColumn("comp", F.col("sid"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    open_ = cut(named.join(mixed, "token"))
+    open_, links, tested = postings.withColumn("comp", F.col("sid")), None, None
+    for turn in range(STAR_ROUNDS):
+        # Two centers of different components a token; each node meets the one that most of its postings name.
+        place = F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), F.xxhash64("sid", F.lit(turn)).alias("p"), F.col("sid").alias("a"), F.col("n").alias("m"), F.col("comp").alias("comp_a"))
+        ends = cut(open_.groupBy("token").agg(F.min(place).alias("low"), F.max(place).alias("high")))
+        stars = open_.join(ends, "token").select(F.col("sid").alias("b"), "n", "comp", F.explode(F.array("low", "high")).alias("c")).select("c.a", "c.m", "c.comp_a", "b", "n", "comp")
+        votes = stars.filter((F.col("comp_a") != F.col("comp")) & sized).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+        pairs = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tested = both if tested is None else tested.unionByName(both)
+        found = cut(_verify(pairs, base, reps, n, percent))
+        links = found if links is None else cut(links.unionByName(found))
+        open_ = _open_postings(postings if turn == 0 else open_.drop("comp"), links)
+        if open_.isEmpty() or found.isEmpty():
+            break
     other = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("comp_b"))
     # The first shared shingle bounds the overlap by what follows it in either set.
     reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     rest = open_.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("comp") < F.col("comp_b")) & sized & reach).select("a", "b").distinct()
-    tested = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionByName(_verify(rest, base, reps, n, percent))
-        links = cut(links)
+        links = cut(links.unionByName(_verify(rest, base, reps, n, percent)))
 
     if links.isEmpty():
         found = nodes.withColumn("comp", F.col("sid"))
