@@ -7,6 +7,7 @@ Words are maximal runs of bytes outside {0x20, 0x09-0x0D}. All hashing is
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,19 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` as a table in the shared checkpoint folder and read it from there on.
+
+    For loops: a table has its true size, while a checkpoint keeps the planner's
+    estimate, which multiplies with every join.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def row_key(*columns: str):
     """Key of a row by its content: equal rows share it, and get equal results."""
     return F.xxhash64(*columns)

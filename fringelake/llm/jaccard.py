@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, gram_hashes, mix, row_key, signed, word_hashes
+from .common import chunks, gram_hashes, mix, row_key, signed, stored, word_hashes
 from .components import components
 
 SHINGLE = 4
@@ -41,7 +41,7 @@ PERCENT = 85
 SKETCH_BITS = 20
 BLOCK = 64
 #: Rounds of one pair a node; what they leave is compared in full.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 #: Up to so many nodes (16 bytes each), the list of texts to verify is broadcast; beyond, texts are shuffled.
 BROADCAST_NODES = 500_000
 
@@ -184,10 +184,10 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
 def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b). ``reps`` has the key of one document of each node."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid")
-    wanted = cut(wanted)
+    wanted = stored(wanted)
     texts = base.select("key", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, "key").select("sid", "text")
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    placed = cut(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(13)), F.col("parts")).alias("part")))
+    placed = stored(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(13)), F.col("parts")).alias("part")))
     left = placed.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("other")), "b")
     right = placed.select("a", "part").distinct().join(texts.withColumnRenamed("sid", "a"), "a").select(F.col("a").alias("qa"), F.col("part").alias("qpart"), F.col("text").alias("query"))
     # Many small blocks share a task's group, for groups have a fixed cost.
@@ -216,17 +216,17 @@ def _open_postings(postings: DataFrame, links: DataFrame) -> DataFrame:
     else:
         named = postings.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    return cut(named.join(cut(mixed), "token"))
+    return stored(named.join(stored(mixed), "token"))
 
 
 def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, key (of the row), comp (of its class), n_shingles, component_id for every document."""
     base = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
-    nodes = cut(_nodes(base, n))
+    nodes = stored(_nodes(base, n))
     sketch = base.sparkSession.sparkContext.broadcast(frequency_sketch(base, n))
     posted = _postings(base, n, percent, sketch)
     shared = posted.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("token")
-    postings = cut(posted.join(shared, "token").dropDuplicates(["token", "sid"]))
+    postings = stored(posted.join(shared, "token").dropDuplicates(["token", "sid"]))
 
     reps = nodes.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
 
@@ -235,15 +235,15 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     for turn in range(STAR_ROUNDS):
         # Two centers of different components a token; each node meets the one that most of its postings name.
         place = F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), F.xxhash64("sid", F.lit(turn)).alias("p"), F.col("sid").alias("a"), F.col("n").alias("m"), F.col("comp").alias("comp_a"))
-        ends = cut(open_.groupBy("token").agg(F.min(place).alias("low"), F.max(place).alias("high")))
+        ends = stored(open_.groupBy("token").agg(F.min(place).alias("low"), F.max(place).alias("high")))
         stars = open_.join(ends, "token").select(F.col("sid").alias("b"), "n", "comp", F.explode(F.array("low", "high")).alias("c")).select("c.a", "c.m", "c.comp_a", "b", "n", "comp")
         votes = stars.filter((F.col("comp_a") != F.col("comp")) & sized).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
         pairs = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both if tested is None else tested.unionByName(both)
-        found = cut(_verify(pairs, base, reps, n, percent))
-        links = found if links is None else cut(links.unionByName(found))
+        found = stored(_verify(pairs, base, reps, n, percent))
+        links = found if links is None else stored(links.unionByName(found))
         open_ = _open_postings(postings if turn == 0 else open_.drop("comp"), links)
         if open_.isEmpty() or found.isEmpty():
             break
@@ -251,9 +251,9 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     # The first shared shingle bounds the overlap by what follows it in either set.
     reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     rest = open_.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("comp") < F.col("comp_b")) & sized & reach).select("a", "b").distinct()
-    rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
+    rest = stored(rest.join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = cut(links.unionByName(_verify(rest, base, reps, n, percent)))
+        links = stored(links.unionByName(_verify(rest, base, reps, n, percent)))
 
     if links.isEmpty():
         found = nodes.withColumn("comp", F.col("sid"))
