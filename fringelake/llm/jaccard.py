@@ -7,15 +7,18 @@ link when ``100 * |intersection| >= percent * |union|``. The join is exact:
    documents, ties by hash; any order gives the same result.
 2. Linked sets share a shingle among the first ``n - ceil(percent * n / 100) + 1``
    of each. Those prefixes are posted; shingles of one node only are dropped.
-3. In rounds, a node is compared with one other of another component, the one that
-   most of its postings name among two centers each. Nodes that this
+3. A node is compared with one other of another component, the one that most of
+   its postings name among two centers each (``STAR_ROUNDS`` times). Nodes that this
    puts in one component need not be compared any more.
-4. Postings that still hold several components give the pairs left: those
-   of different components whose sizes and prefix places allow a link.
-5. Pairs are verified in blocks of one node against up to ``BLOCK`` others,
-   which are held as a trie of ordered sets: overlaps are counted once for a
-   shared path, and subtrees are pruned when what remains cannot reach the
-   overlap that is needed.
+4. Nodes of postings that still hold several components go to blocks: a node's home
+   is its widest such posting; homes are split by hash, large components at a home
+   get blocks of their own. A posting then names the pairs of blocks to compare, and not
+   pairs of nodes; blocks of one component, and those whose sizes and prefix
+   places allow no link, are left out.
+5. Nodes are compared through a trie of ordered sets: overlaps are counted once for a
+   shared path, for all queries of the block together, and subtrees (queries) are pruned
+   when what remains cannot reach the overlap that is needed. Blocks return
+   links that join components, not every linked pair.
 
 Cases: texts without words (null, empty) have no shingle and link with nothing;
 fewer words than a shingle are one shingle; equal rows are documents
@@ -41,7 +44,11 @@ PERCENT = 85
 SKETCH_BITS = 20
 BLOCK = 64
 #: Rounds of one pair a node; what they leave is compared in full.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: About so many nodes, and shingles, are a side of a pair of blocks.
+SIDE, SIDE_SHINGLES = 256, 400_000
+#: Bytes of the table that tells which query has which shingle.
+TABLE_BYTES = 8 << 20
 #: Up to so many nodes (16 bytes each), the list of texts to verify is broadcast; beyond, texts are shuffled.
 BROADCAST_NODES = 500_000
 
@@ -70,6 +77,7 @@ class PrefixTree:
     """A trie of ordered sets, with edges of several elements."""
 
     def __init__(self, sets: list[np.ndarray]):
+        self.values = np.unique(np.concatenate(sets))
         order = sorted(range(len(sets)), key=[s.astype(">u8").tobytes() for s in sets].__getitem__)
         self.root = self._grow([(sets[i], i) for i in order], 0)
 
@@ -109,6 +117,60 @@ class PrefixTree:
             stack += [(child, overlap, depth, passed) for child in children]
         return found
 
+    def joined(self, queries: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(member, its linked queries) of many queries: ``linked`` for all of them in one traversal."""
+        step = max(1, TABLE_BYTES // (5 * len(self.values)))
+        for start in range(0, len(queries), step):
+            for member, found in self._joined(queries[start : start + step], percent):
+                yield member, found + start
+
+    def _joined(self, queries: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        sizes = np.array([len(q) for q in queries])
+        has = np.zeros((len(self.values) + 1, len(queries)), np.int8)
+        for i, q in enumerate(queries):
+            at = np.searchsorted(self.values, q)
+            same = self.values[np.minimum(at, len(self.values) - 1)] == q
+            has[at[same] + 1, i] = 1
+        # so_far[v]: shingles of a query among the first v values of the tree.
+        so_far = np.cumsum(has, axis=0, dtype=np.int32)
+        everyone = np.arange(len(queries))
+        stack = [(self.root, np.zeros(len(queries), np.int64), 0, 0, everyone)]
+        while stack:
+            (edge, members, children, least, most), overlap, depth, passed, who = stack.pop()
+            if len(edge):
+                at = np.searchsorted(self.values, edge) + 1
+                overlap = overlap + has[at].sum(axis=0, dtype=np.int64)[who]
+                depth += len(edge)
+                passed = int(at[-1])
+            left = np.minimum((so_far[-1] - so_far[passed])[who], most - depth)
+            able = (100 + percent) * (overlap + left) >= percent * (sizes[who] + max(least, depth))
+            if not able.all():
+                overlap, who = overlap[able], who[able]
+            if not len(who):
+                continue
+            if members:
+                found = who[(100 + percent) * overlap >= percent * (sizes[who] + depth)]
+                if len(found):
+                    yield from ((m, found) for m in members)
+            stack += [(child, overlap, depth, passed, who) for child in children]
+
+
+class Forest:
+    """Which components have been joined so far."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
 
 def frequency_sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS, pieces: int = 256) -> np.ndarray:
     """How many documents have a shingle of each bucket; 2**bits counts whatever the input."""
@@ -181,11 +243,74 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, sid long, n int, place int")
 
 
+def _texts(nodes: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
+    """(sid, text) of ``nodes`` (sid). ``reps`` has the key of one document of each node."""
+    wanted = stored(nodes.join(reps, "sid").select("sid", "key"))
+    found = base.select("key", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, "key")
+    return found.select("sid", "text")
+
+
+def _blocks(open_: DataFrame) -> DataFrame:
+    """(sid, comp, n, block) of the nodes of ``open_``."""
+    widths = open_.groupBy("token").agg(F.count(F.lit(1)).alias("width"))
+    homes = stored(open_.join(widths, "token").groupBy("sid", "comp", "n").agg(F.max_by("token", F.struct("width", "token")).alias("home")))
+    # A component with a side's worth of nodes at a home has blocks of its own there.
+    large = homes.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("nodes")).filter(F.col("nodes") >= SIDE).select("home", "comp", F.col("comp").alias("own"))
+    homes = stored(homes.join(large, ["home", "comp"], "left").withColumn("own", F.xxhash64("home", "own")))
+    parts = homes.groupBy("own").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum("n") / SIDE_SHINGLES)).alias("parts"))
+    return stored(homes.join(parts, "own").select("sid", "comp", "n", F.xxhash64("own", F.pmod(F.xxhash64("sid", F.lit(29)), F.col("parts"))).alias("block")))
+
+
+def _block_pairs(open_: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """The (x, y) of blocks between which, or within which (x = y), components may link."""
+    named = open_.select("token", "sid", "n", "place").join(blocks.select("sid", "block"), "sid")
+    ends = stored(named.groupBy("token", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("reach")))
+    several = ends.groupBy("token").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low < high").select("token")
+    ends = stored(ends.join(several, "token"))
+    other = ends.select("token", F.col("block").alias("y"), F.col("least").alias("least_y"), F.col("most").alias("most_y"), F.col("reach").alias("reach_y"))
+    sized = (F.col("most") * 100 >= F.col("least_y") * percent) & (F.col("most_y") * 100 >= F.col("least") * percent)
+    # The first shared shingle bounds the overlap by what follows it in either set.
+    near = F.least("reach", "reach_y") * (100 + percent) >= (F.col("least") + F.col("least_y")) * percent
+    pairs = ends.withColumnRenamed("block", "x").join(other, "token").filter((F.col("x") < F.col("y")) & sized & near).select("x", "y").distinct()
+    spans = stored(blocks.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
+    span_x, span_y = (spans.select(F.col("block").alias(c), F.struct("low", "high").alias(f"span_{c}")) for c in "xy")
+    one = (F.col("span_x.low") == F.col("span_x.high")) & (F.col("span_x") == F.col("span_y"))
+    between = pairs.join(span_x, "x").join(span_y, "y").filter(~one).select("x", "y")
+    return stored(between.unionByName(spans.filter("low < high").select(F.col("block").alias("x"), F.col("block").alias("y"))))
+
+
+def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of ``open_`` as far as its nodes are linked."""
+    blocks = _blocks(open_)
+    pairs = _block_pairs(open_, blocks, percent)
+    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    placed = stored(sides.join(blocks, "block").select("x", "y", "block", "sid", "comp"))
+    groups = max(1, -(-placed.count() // (2 * SIDE)))
+    rows = placed.join(_texts(placed.select("sid").distinct(), base, reps), "sid").withColumn("g", F.pmod(F.xxhash64("x", "y"), F.lit(groups)))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        for (x, y), own in rows.groupby(["x", "y"], sort=False):
+            own = own.drop_duplicates(["block", "sid"])
+            first, second = own[own["block"] == x], own[own["block"] == y]
+            queries = list(shingle_sets(pa.array(first["text"], pa.string()), n))
+            sets = queries if x == y else list(shingle_sets(pa.array(second["text"], pa.string()), n))
+            ids_a, comps_a = first["sid"].to_numpy(), first["comp"].tolist()
+            ids_b, comps_b = second["sid"].to_numpy(), second["comp"].tolist()
+            forest = Forest()
+            for member, found in PrefixTree(sets).joined(queries, percent):
+                for i in found.tolist():
+                    if forest.join(comps_a[i], comps_b[member]):
+                        out_a.append(ids_a[i])
+                        out_b.append(ids_b[member])
+        return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
+
+    return rows.groupBy("g").applyInPandas(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b). ``reps`` has the key of one document of each node."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid")
-    wanted = stored(wanted)
-    texts = base.select("key", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, "key").select("sid", "text")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), base, reps)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     placed = stored(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(13)), F.col("parts")).alias("part")))
     left = placed.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("other")), "b")
@@ -247,13 +372,8 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
         open_ = _open_postings(postings if turn == 0 else open_.drop("comp"), links)
         if open_.isEmpty() or found.isEmpty():
             break
-    other = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("comp_b"))
-    # The first shared shingle bounds the overlap by what follows it in either set.
-    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    rest = open_.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("comp") < F.col("comp_b")) & sized & reach).select("a", "b").distinct()
-    rest = stored(rest.join(tested, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = stored(links.unionByName(_verify(rest, base, reps, n, percent)))
+    if not open_.isEmpty():
+        links = stored(links.unionByName(_join_blocks(open_, base, reps, n, percent)))
 
     if links.isEmpty():
         found = nodes.withColumn("comp", F.col("sid"))

@@ -80,6 +80,38 @@ def test_jaccard(docs, corpus):
     assert got == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def test_prefix_tree_joins_all_queries():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    first = rng.integers(0, 500, 60)
+    sets = [np.unique(np.where(rng.random(60) < 0.06, rng.integers(0, 500, 60), first)).astype(np.uint64) for _ in range(60)]
+    got = {(m, int(i)) for m, found in jaccard.PrefixTree(sets).joined(sets[::-1], 85) for i in found}
+    assert got == {(m, i) for m, s in enumerate(sets) for i, q in enumerate(sets[::-1]) if 100 * len(np.intersect1d(s, q)) >= 85 * len(np.union1d(s, q))}
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SIDE", 4)
+    rng = random.Random(3)
+    start = [f"w{rng.randrange(900)}" for _ in range(80)]
+    rows = []
+    for i in range(40):
+        own = list(start)
+        for k in rng.sample(range(80), rng.randrange(5)):
+            own[k] = f"x{rng.randrange(900)}"
+        rows.append((i, " ".join(own), "en", "s", 0, 0.0, ""))
+    sets = {r[0]: {tuple(r[1].split()[k : k + 4]) for k in range(77)} for r in rows}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    assert len(set(comp.values())) > 1
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == comp
+
+
 def test_leaks(spark, docs, corpus):
     item = split(corpus[10][1] or "")
     bench = spark.createDataFrame([(0, " ".join(x.decode() for x in split(corpus[6][1])[100:140])), (1, None), (2, ""), (3, words(random.Random(9), 30, "q"))], "item_id long, text string")
