@@ -10,11 +10,12 @@ link when ``100 * |intersection| >= percent * |union|``. The join is exact:
 3. A node is compared with one other of another component, the one that most of
    its postings name among two centers each (``STAR_ROUNDS`` times). Nodes that this
    puts in one component need not be compared any more.
-4. Nodes of postings that still hold several components go to blocks: a node's home
-   is its widest such posting; homes are split by hash, large components at a home
-   get blocks of their own. A posting then names the pairs of blocks to compare, and not
-   pairs of nodes; blocks of one component, and those whose sizes and prefix
-   places allow no link, are left out.
+4. Postings that still hold several components give what is left to compare. Those of
+   ``NARROW`` nodes or fewer name pairs of nodes, at most that many a posting. The nodes of
+   wider ones go to blocks: a node's home is its widest posting; homes are split by hash,
+   large components at a home get blocks of their own, and postings name pairs of blocks.
+   Pairs of one component, and those whose sizes and prefix places allow no
+   link, are left out.
 5. Nodes are compared through a trie of ordered sets: overlaps are counted once for a
    shared path, for all queries of the block together, and subtrees (queries) are pruned
    when what remains cannot reach the overlap that is needed. Blocks return
@@ -45,6 +46,8 @@ SKETCH_BITS = 20
 BLOCK = 64
 #: Rounds of one pair a node; what they leave is compared in full.
 STAR_ROUNDS = 1
+#: Postings of more nodes are compared by blocks, so that the pairs of a posting stay bounded.
+NARROW = 16
 #: About so many nodes, and shingles, are a side of a pair of blocks.
 SIDE, SIDE_SHINGLES = 256, 400_000
 #: Bytes of the table that tells which query has which shingle.
@@ -250,10 +253,18 @@ def _texts(nodes: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
     return found.select("sid", "text")
 
 
+def _near_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of different components that a posting names and that may be linked."""
+    other = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("comp_b"))
+    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    # The first shared shingle bounds the overlap by what follows it in either set.
+    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    return open_.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("comp") < F.col("comp_b")) & sized & reach).select("a", "b").distinct()
+
+
 def _blocks(open_: DataFrame) -> DataFrame:
     """(sid, comp, n, block) of the nodes of ``open_``."""
-    widths = open_.groupBy("token").agg(F.count(F.lit(1)).alias("width"))
-    homes = stored(open_.join(widths, "token").groupBy("sid", "comp", "n").agg(F.max_by("token", F.struct("width", "token")).alias("home")))
+    homes = stored(open_.groupBy("sid", "comp", "n").agg(F.max_by("token", F.struct("width", "token")).alias("home")))
     # A component with a side's worth of nodes at a home has blocks of its own there.
     large = homes.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("nodes")).filter(F.col("nodes") >= SIDE).select("home", "comp", F.col("comp").alias("own"))
     homes = stored(homes.join(large, ["home", "comp"], "left").withColumn("own", F.xxhash64("home", "own")))
@@ -335,12 +346,12 @@ def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent:
 
 
 def _open_postings(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """Postings, with their node's component, of the tokens that several components share."""
+    """Postings, with their node's component and their width, of the tokens that several components share."""
     if links.isEmpty():
         named = postings.withColumn("comp", F.col("sid"))
     else:
         named = postings.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+    mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("width")).filter("low < high").select("token", "width")
     return stored(named.join(stored(mixed), "token"))
 
 
@@ -369,11 +380,15 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
         tested = both if tested is None else tested.unionByName(both)
         found = stored(_verify(pairs, base, reps, n, percent))
         links = found if links is None else stored(links.unionByName(found))
-        open_ = _open_postings(postings if turn == 0 else open_.drop("comp"), links)
+        open_ = _open_postings(postings if turn == 0 else open_.drop("comp", "width"), links)
         if open_.isEmpty() or found.isEmpty():
             break
-    if not open_.isEmpty():
-        links = stored(links.unionByName(_join_blocks(open_, base, reps, n, percent)))
+    rest = stored(_near_pairs(open_.filter(F.col("width") <= NARROW), percent).join(tested, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = stored(links.unionByName(_verify(rest, base, reps, n, percent)))
+    wide = open_.filter(F.col("width") > NARROW)
+    if not wide.isEmpty():
+        links = stored(links.unionByName(_join_blocks(wide, base, reps, n, percent)))
 
     if links.isEmpty():
         found = nodes.withColumn("comp", F.col("sid"))
