@@ -253,13 +253,17 @@ def _texts(nodes: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
     return found.select("sid", "text")
 
 
+def _may_link(percent: int):
+    """Whether sets of ``n`` and ``m`` shingles whose first shared one is at ``place`` and ``at`` may be linked."""
+    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    # The first shared shingle bounds the overlap by what follows it in either set.
+    return sized & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+
+
 def _near_pairs(open_: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of different components that a posting names and that may be linked."""
     other = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("comp_b"))
-    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    # The first shared shingle bounds the overlap by what follows it in either set.
-    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    return open_.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("comp") < F.col("comp_b")) & sized & reach).select("a", "b").distinct()
+    return open_.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("comp") < F.col("comp_b")) & _may_link(percent)).select("a", "b").distinct()
 
 
 def _blocks(open_: DataFrame) -> DataFrame:
@@ -366,14 +370,13 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
 
     reps = nodes.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
 
-    sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     open_, links, tested = postings.withColumn("comp", F.col("sid")), None, None
     for turn in range(STAR_ROUNDS):
         # Two centers of different components a token; each node meets the one that most of its postings name.
-        place = F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), F.xxhash64("sid", F.lit(turn)).alias("p"), F.col("sid").alias("a"), F.col("n").alias("m"), F.col("comp").alias("comp_a"))
+        place = F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), F.xxhash64("sid", F.lit(turn)).alias("p"), F.col("sid").alias("a"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("comp_a"))
         ends = stored(open_.groupBy("token").agg(F.min(place).alias("low"), F.max(place).alias("high")))
-        stars = open_.join(ends, "token").select(F.col("sid").alias("b"), "n", "comp", F.explode(F.array("low", "high")).alias("c")).select("c.a", "c.m", "c.comp_a", "b", "n", "comp")
-        votes = stars.filter((F.col("comp_a") != F.col("comp")) & sized).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+        stars = open_.join(ends, "token").select(F.col("sid").alias("b"), "n", "place", "comp", F.explode(F.array("low", "high")).alias("c")).select("c.a", "c.m", "c.at", "c.comp_a", "b", "n", "place", "comp")
+        votes = stars.filter((F.col("comp_a") != F.col("comp")) & _may_link(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
         pairs = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
