@@ -6,7 +6,8 @@ link when ``100 * |intersection| >= percent * |union|``. The join is exact:
 1. Shingles are ordered globally, rare ones first by a bounded count sketch of all
    documents, ties by hash; any order gives the same result.
 2. Linked sets share a shingle among the first ``n - ceil(percent * n / 100) + 1``
-   of each. Those prefixes are posted; shingles of one node only are dropped.
+   of each. Those prefixes are posted and shuffled once, by shingle; shingles of one node
+   only are dropped there. Shingles that the sketch calls hot are dealt by node and all kept.
 3. A node is compared with one other of another component, the one that most of
    its postings name among two centers each (``STAR_ROUNDS`` times). Nodes that this
    puts in one component need not be compared any more.
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, gram_hashes, mix, row_key, signed, stored, word_hashes
@@ -48,6 +49,8 @@ BLOCK = 64
 STAR_ROUNDS = 1
 #: Postings of more nodes are compared by blocks, so that the pairs of a posting stay bounded.
 NARROW = 16
+#: A shingle is dealt to ``SALTS`` places if its bucket of the sketch counts more than ``HOT`` documents beyond ``HOT_MEANS`` times the mean.
+HOT, HOT_MEANS, SALTS = 10_000, 16, 256
 #: About so many nodes, and shingles, are a side of a pair of blocks.
 SIDE, SIDE_SHINGLES = 256, 400_000
 #: Bytes of the table that tells which query has which shingle.
@@ -218,32 +221,39 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
-    """(token, sid, n, place) of the prefix of every node."""
+    """(token, salt, sid, span) of the prefix of every node; span has n and the place, salt is 0 but for hot tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         seen: set[int] = set()
         mask = np.uint64(len(counts) - 1)
+        hot = HOT + HOT_MEANS * counts.mean()
         for batch in batches:
             for a, b in chunks(batch["text"]):
-                tokens, ids, sizes, places = [], [], [], []
+                tokens, salts, ids, spans = [], [], [], []
                 for s in shingle_sets(batch["text"].slice(a, b - a), n):
                     sid = set_id(s)
                     if not len(s) or sid in seen:
                         continue
                     seen.add(sid)
-                    take = np.lexsort((s, counts[(s & mask).astype(np.int64)]))[: prefix_size(len(s), percent)]
+                    common = counts[(s & mask).astype(np.int64)]
+                    take = np.lexsort((s, common))[: prefix_size(len(s), percent)]
                     tokens.append(s[take])
-                    ids.append(sid)
-                    sizes.append(len(s))
-                    places.append(np.arange(len(take), dtype=np.int32))
-                repeat = [len(x) for x in tokens]
-                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(flat)), pa.array(np.repeat(np.array(ids, np.int64), repeat)), pa.array(np.repeat(np.array(sizes, np.int32), repeat)), pa.array(np.concatenate(places) if places else np.zeros(0, np.int32))], ["token", "sid", "n", "place"]
-                )
+                    salts.append(np.where(common[take] > hot, 1 + sid % SALTS, 0))
+                    ids.append(np.full(len(take), sid, np.int64))
+                    spans.append((len(s) << 32) + np.arange(len(take), dtype=np.int64))
+                flat = [np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((tokens, np.uint64), (salts, np.int32), (ids, np.int64), (spans, np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(flat[0])), *map(pa.array, flat[1:])], ["token", "salt", "sid", "span"])
 
-    return docs.select("text").mapInArrow(run, "token long, sid long, n int, place int")
+    return docs.select("text").mapInArrow(run, "token long, salt int, sid long, span long")
+
+
+def _shared_postings(posted: DataFrame) -> DataFrame:
+    """(token, sid, n, place) of the tokens of several nodes, each node once, after one shuffle; hot tokens are kept unseen."""
+    once = posted.repartition("token", "salt").dropDuplicates(["token", "salt", "sid"])
+    same = Window.partitionBy("token", "salt")
+    several = once.withColumns({"low": F.min("sid").over(same), "high": F.max("sid").over(same)}).filter("low < high or salt > 0")
+    return several.select("token", "sid", F.shiftright("span", 32).cast("int").alias("n"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
 
 
 def _texts(nodes: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
@@ -364,9 +374,7 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     base = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
     nodes = stored(_nodes(base, n))
     sketch = base.sparkSession.sparkContext.broadcast(frequency_sketch(base, n))
-    posted = _postings(base, n, percent, sketch)
-    shared = posted.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("token")
-    postings = stored(posted.join(shared, "token").dropDuplicates(["token", "sid"]))
+    postings = stored(_shared_postings(_postings(base, n, percent, sketch)))
 
     reps = nodes.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
 
