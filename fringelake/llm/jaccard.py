@@ -9,7 +9,7 @@ link when ``100 * |intersection| >= percent * |union|``. The join is exact:
    of each. Those prefixes are posted and shuffled once, by shingle; shingles of one node
    only are dropped there. Shingles that the sketch calls hot are dealt by node and all kept.
 3. A node is compared with one other of another component, the one that most of
-   its postings name among two centers each (``STAR_ROUNDS`` times). Nodes that this
+   its postings name among their two ends. Nodes that this
    puts in one component need not be compared any more.
 4. Postings that still hold several components give what is left to compare. Those of
    ``NARROW`` nodes or fewer name pairs of nodes, at most that many a posting. The nodes of
@@ -45,8 +45,6 @@ SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 20
 BLOCK = 64
-#: Rounds of one pair a node; what they leave is compared in full.
-STAR_ROUNDS = 1
 #: Postings of more nodes are compared by blocks, so that the pairs of a posting stay bounded.
 NARROW = 16
 #: A shingle is dealt to ``SALTS`` places if its bucket of the sketch counts more than ``HOT`` documents beyond ``HOT_MEANS`` times the mean.
@@ -249,11 +247,27 @@ def _postings(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
 
 
 def _shared_postings(posted: DataFrame) -> DataFrame:
-    """(token, sid, n, place) of the tokens of several nodes, each node once, after one shuffle; hot tokens are kept unseen."""
+    """(token, sid, n, place, low, high) of the tokens of several nodes, each node once, after one shuffle; hot tokens are kept unseen.
+
+    low and high are the posting's first and last node by id; those of a hot token, of the node's share of it.
+    """
     once = posted.repartition("token", "salt").dropDuplicates(["token", "salt", "sid"])
     same = Window.partitionBy("token", "salt")
-    several = once.withColumns({"low": F.min("sid").over(same), "high": F.max("sid").over(same)}).filter("low < high or salt > 0")
-    return several.select("token", "sid", F.shiftright("span", 32).cast("int").alias("n"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place"))
+    end = F.struct(F.col("sid").alias("a"), F.col("span").alias("of"))
+    several = once.withColumns({"low": F.min(end).over(same), "high": F.max(end).over(same)}).filter("low.a < high.a or salt > 0")
+    return several.select("token", "sid", *_unpacked("span", "n", "place"), "low", "high")
+
+
+def _unpacked(span: str, n: str, place: str) -> list:
+    return [F.shiftright(span, 32).cast("int").alias(n), F.col(span).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias(place)]
+
+
+def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each node b, the end of its postings that most of them name and allow; ids are hashes, so ends are random nodes."""
+    ends = postings.select(F.col("sid").alias("b"), "n", "place", F.explode(F.array_distinct(F.array("low", "high"))).alias("c"))
+    stars = ends.select("b", "n", "place", F.col("c.a").alias("a"), *_unpacked("c.of", "m", "at")).filter(F.col("a") != F.col("b"))
+    votes = stars.filter(_may_link(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+    return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
 
 
 def _texts(nodes: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
@@ -378,22 +392,10 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
 
     reps = nodes.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
 
-    open_, links, tested = postings.withColumn("comp", F.col("sid")), None, None
-    for turn in range(STAR_ROUNDS):
-        # Two centers of different components a token; each node meets the one that most of its postings name.
-        place = F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), F.xxhash64("sid", F.lit(turn)).alias("p"), F.col("sid").alias("a"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("comp_a"))
-        ends = stored(open_.groupBy("token").agg(F.min(place).alias("low"), F.max(place).alias("high")))
-        stars = open_.join(ends, "token").select(F.col("sid").alias("b"), "n", "place", "comp", F.explode(F.array("low", "high")).alias("c")).select("c.a", "c.m", "c.at", "c.comp_a", "b", "n", "place", "comp")
-        votes = stars.filter((F.col("comp_a") != F.col("comp")) & _may_link(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-        pairs = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tested = both if tested is None else tested.unionByName(both)
-        found = stored(_verify(pairs, base, reps, n, percent))
-        links = found if links is None else stored(links.unionByName(found))
-        open_ = _open_postings(postings if turn == 0 else open_.drop("comp", "width"), links)
-        if open_.isEmpty() or found.isEmpty():
-            break
+    tried = stored(_star_pairs(postings, percent))
+    links = stored(_verify(tried, base, reps, n, percent))
+    tested = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    open_ = _open_postings(postings.drop("low", "high"), links)
     rest = stored(_near_pairs(open_.filter(F.col("width") <= NARROW), percent).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = stored(links.unionByName(_verify(rest, base, reps, n, percent)))
