@@ -53,7 +53,7 @@ HOT, HOT_MEANS, SALTS = 10_000, 16, 256
 SIDE, SIDE_SHINGLES = 256, 400_000
 #: Bytes of the table that tells which query has which shingle.
 TABLE_BYTES = 8 << 20
-#: Up to so many nodes (16 bytes each), the list of texts to verify is broadcast; beyond, texts are shuffled.
+#: Up to so many rows (48 bytes each or less), the list of where texts are to be verified is broadcast; beyond, texts are shuffled.
 BROADCAST_NODES = 500_000
 
 
@@ -270,11 +270,11 @@ def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
 
 
-def _texts(nodes: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
-    """(sid, text) of ``nodes`` (sid). ``reps`` has the key of one document of each node."""
-    wanted = stored(nodes.join(reps, "sid").select("sid", "key"))
+def _sent(places: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
+    """``places`` (sid and more) with the text of each node. ``reps`` has the key of one document of each node."""
+    wanted = stored(places.join(reps, "sid"))
     found = base.select("key", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, "key")
-    return found.select("sid", "text")
+    return found.drop("key", "sid")
 
 
 def _may_link(percent: int):
@@ -325,17 +325,17 @@ def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, n: int, per
     sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     placed = stored(sides.join(blocks, "block").select("x", "y", "block", "sid", "comp"))
     groups = max(1, -(-placed.count() // (2 * SIDE)))
-    rows = placed.join(_texts(placed.select("sid").distinct(), base, reps), "sid").withColumn("g", F.pmod(F.xxhash64("x", "y"), F.lit(groups)))
+    rows = _sent(placed.withColumns({"node": F.col("sid"), "g": F.pmod(F.xxhash64("x", "y"), F.lit(groups))}), base, reps)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
         for (x, y), own in rows.groupby(["x", "y"], sort=False):
-            own = own.drop_duplicates(["block", "sid"])
+            own = own.drop_duplicates(["block", "node"])
             first, second = own[own["block"] == x], own[own["block"] == y]
             queries = list(shingle_sets(pa.array(first["text"], pa.string()), n))
             sets = queries if x == y else list(shingle_sets(pa.array(second["text"], pa.string()), n))
-            ids_a, comps_a = first["sid"].to_numpy(), first["comp"].tolist()
-            ids_b, comps_b = second["sid"].to_numpy(), second["comp"].tolist()
+            ids_a, comps_a = first["node"].to_numpy(), first["comp"].tolist()
+            ids_b, comps_b = second["node"].to_numpy(), second["comp"].tolist()
             forest = Forest()
             for member, found in PrefixTree(sets).joined(queries, percent):
                 for i in found.tolist():
@@ -348,16 +348,15 @@ def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, n: int, per
 
 
 def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b). ``reps`` has the key of one document of each node."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), base, reps)
+    """The linked ones of ``pairs`` (a, b)."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     placed = stored(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(13)), F.col("parts")).alias("part")))
-    left = placed.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("other")), "b")
-    right = placed.select("a", "part").distinct().join(texts.withColumnRenamed("sid", "a"), "a").select(F.col("a").alias("qa"), F.col("part").alias("qpart"), F.col("text").alias("query"))
     # Many small blocks share a task's group, for groups have a fixed cost.
     groups = max(1, -(-placed.count() // (4 * BLOCK)))
-    left = left.withColumn("g", F.pmod(F.xxhash64("a", "part"), F.lit(groups)))
-    right = right.withColumn("qg", F.pmod(F.xxhash64("qa", "qpart"), F.lit(groups)))
+    placed = placed.withColumn("g", F.pmod(F.xxhash64("a", "part"), F.lit(groups)))
+    # Texts go from the input to their groups at once.
+    left = _sent(placed.select(F.col("b").alias("sid"), "a", "b", "part", "g"), base, reps).withColumnRenamed("text", "other")
+    right = _sent(placed.select(F.col("a").alias("sid"), F.col("a").alias("qa"), F.col("part").alias("qpart"), F.col("g").alias("qg")).distinct(), base, reps).withColumnRenamed("text", "query")
 
     def run(key: tuple, others: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
