@@ -176,8 +176,19 @@ class Forest:
         return x != y
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them."""
+    most = counts.max(initial=0)
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.int32) if most <= np.iinfo(t).max)).tobytes()
+
+
+def _counts(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.int32}[len(packed) // size])
+
+
 def frequency_sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS, pieces: int = 256) -> np.ndarray:
     """How many documents have a shingle of each bucket; 2**bits counts whatever the input."""
+    size = (1 << bits) // pieces
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int32)
@@ -187,20 +198,20 @@ def frequency_sketch(docs: DataFrame, n: int, bits: int = SKETCH_BITS, pieces: i
                 if sets:
                     total += np.bincount(np.concatenate(sets).astype(np.int64), minlength=1 << bits).astype(np.int32)
         salt = int(total[:64].sum()) & 63
-        parts = [x.tobytes() for x in np.split(total, pieces)] if total.any() else []
+        parts = [_packed(x) for x in np.split(total, pieces)] if total.any() else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["piece", "salt", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << bits) // pieces, np.int64)
+        total = np.zeros(size, np.int64)
         for x in rows["counts"]:
-            total += np.frombuffer(x, np.int32)
-        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "salt": rows["salt"].iloc[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+            total += _counts(x, size)
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "salt": rows["salt"].iloc[:1], "counts": [_packed(np.minimum(total, 2**31 - 1))]})
 
     schema = "piece int, salt int, counts binary"
     some = docs.select("text").mapInArrow(count, schema).groupBy("piece", "salt").applyInPandas(add, schema)
-    out = np.zeros((pieces, (1 << bits) // pieces), np.int32)
+    out = np.zeros((pieces, size), np.int32)
     for r in some.groupBy("piece").applyInPandas(add, schema).collect():  # ``pieces`` rows
-        out[r["piece"]] = np.frombuffer(r["counts"], np.int32)
+        out[r["piece"]] = _counts(r["counts"], size)
     return out.ravel()
 
 
