@@ -35,6 +35,8 @@ G_LEAST = 24.0
 SMOOTH = 0.5
 PENALTY = 1.0
 DIVISOR, HELD_OUT = 4, 2
+#: Texts whose n-grams a worker holds at a time; a longer text is held by itself.
+TEXT_BYTES = 1 << 20
 
 
 def held_out(divisor: int, remainder: int):
@@ -54,7 +56,7 @@ def sketches(texts: pa.Array, words: int = 5, count: int = 6) -> list[list[int]]
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in chunks(batch["text"]):
+        for a, b in chunks(batch["text"], TEXT_BYTES):
             part = batch.slice(a, b - a)
             found = [x.astype(np.int32).tobytes() for x in presence(part["text"], SIZES)]
             yield pa.RecordBatch.from_arrays([part["label"], pa.array(found, pa.binary()), pa.array(sketches(part["text"]), pa.list_(pa.int64()))], ["label", "features", "sketch"])
@@ -156,7 +158,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float, threshold: flo
         dense[numbers] = values
         wanted = dense != 0
         for batch in batches:
-            for a, b in chunks(batch["text"]):
+            for a, b in chunks(batch["text"], TEXT_BYTES):
                 part = batch.slice(a, b - a)
                 z = np.fromiter((dense[x].sum() for x in presence(part["text"], SIZES, wanted=wanted)), dtype=float, count=b - a) + start
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
