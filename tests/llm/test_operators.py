@@ -112,6 +112,21 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert got == comp
 
 
+def test_jaccard_hot_shingles(docs, monkeypatch):
+    want = sorted(map(tuple, jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect()))
+    monkeypatch.setattr(jaccard, "HOT", -1)
+    monkeypatch.setattr(jaccard, "HOT_MEANS", 0)
+    assert sorted(map(tuple, jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == want
+
+
+def test_sketch_counts_are_packed():
+    import numpy as np
+
+    for most in (0, 255, 256, 65535, 65536, 2**31 - 1):
+        counts = np.array([0, 1, most, 0], np.int64)
+        assert jaccard._counts(jaccard._packed(counts), 4).tolist() == counts.tolist()
+
+
 def test_leaks(spark, docs, corpus):
     item = split(corpus[10][1] or "")
     bench = spark.createDataFrame([(0, " ".join(x.decode() for x in split(corpus[6][1])[100:140])), (1, None), (2, ""), (3, words(random.Random(9), 30, "q"))], "item_id long, text string")
