@@ -59,18 +59,27 @@ def page_captures(pages: DataFrame) -> DataFrame:
     return full.unionByName(again)
 
 
+def _headers_text():
+    return F.array_join(F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("merged_headers")
+
+
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(page_captures(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "canonical_url", "ts", "kind", "status", "resolved_id", _headers_text())
+
+
+def op9_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of ``op9_revisits`` with their bodies, as length in bytes and digest; its SQL fixes the columns of the other."""
     captures = page_captures(table(spark, sf_dir, "pages"))
-    found = warc.resolve_revisits(captures)
-    header = F.array_join(F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
-    return found.select("record_id", "canonical_url", "ts", "kind", "status", "resolved_id", header.alias("merged_headers"))
+    whole = warc.with_bodies(warc.resolve_revisits(captures), captures)
+    return whole.select("record_id", "canonical_url", "ts", "kind", "status", "resolved_id", _headers_text(), F.octet_length("body").cast("long").alias("body_bytes"), F.sha2("body", 256).alias("body_sha256"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op4_jaccard, op5_repeats, op6_topk, op7_toxicity, op8_pitmanyor, op9_revisits, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op4_jaccard, op5_repeats, op6_topk, op7_toxicity, op8_pitmanyor, op9_revisits, op9_bodies, op10_language)}
 
 ORACLE_SQL = {
     "op4_jaccard": """

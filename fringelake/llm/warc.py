@@ -11,7 +11,7 @@ URL may fill many partitions; each partition needs only the last response before
 it, which a table of one row a partition gives.
 
 Cases: null URLs match nothing; null times sort first; captures of one time
-sort by record id; a revisit of no earlier response is ``unresolved``; a
+sort by record id, then by content; a revisit of no earlier response is ``unresolved``; a
 response without validators, or a revisit without any, is ``no_validator``;
 disagreeing validators give ``mismatch``; responses are passed through as
 ``response``; equal rows are separate captures; extra columns are left out.
@@ -45,21 +45,29 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.when(scheme == "", F.lit("http")).when(scheme == "https", F.lit("http")).otherwise(scheme), F.lit("://"), host, path, F.when(ordered != "", F.concat(F.lit("?"), ordered)).otherwise(F.lit("")))
 
 
+def body_key() -> Column:
+    """16 bytes that tell captures apart as far as their bodies differ: equal and null ids are no matter."""
+    return F.unhex(F.md5(F.to_json(F.struct("record_id", "url", "ts", "kind", F.sha2(F.col("body"), 256).alias("digest")))))
+
+
 def resolve_revisits(captures: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Add canonical_url, status, resolved_id, merged_headers to the capture columns other than the body."""
+    """Add canonical_url, status, resolved_id, merged_headers, body_key to the capture columns other than the body.
+
+    ``body_key`` is that of the capture whose body the row has; where there is none, it is longer and matches nothing.
+    """
     spark = captures.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col("canonical_url").asc_nulls_first(), F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first()]
-    meta = captures.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "headers")
+    keys = [F.col("canonical_url").asc_nulls_first(), F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first(), F.col("body_key")]
+    meta = captures.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "headers", body_key().alias("body_key"))
     ranged = cut(meta.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id()))
-    response = F.struct("record_id", "etag", "last_modified", "headers")
+    response = F.struct("record_id", "etag", "last_modified", "headers", "body_key")
     full = F.when((F.col("kind") == "response") & F.col("canonical_url").isNotNull(), response)
     inside = Window.partitionBy("part", "canonical_url").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("prior", F.last(full, ignorenulls=True).over(inside))
     # One row a partition: its first URL, and its last URL with that URL's last response.
     edges = ranged.groupBy("part").agg(
         F.min("canonical_url").alias("first_url"), F.max("canonical_url").alias("last_url"),
-        F.max_by(full, F.when(full.isNotNull(), F.struct("canonical_url", F.coalesce(F.col("ts"), F.lit(-(1 << 63))), "record_id"))).alias("found"), F.max(F.when(full.isNotNull(), F.col("canonical_url"))).alias("found_url"),
+        F.max_by(full, F.when(full.isNotNull(), F.struct("canonical_url", F.coalesce(F.col("ts"), F.lit(-(1 << 63))), "record_id", "body_key"))).alias("found"), F.max(F.when(full.isNotNull(), F.col("canonical_url"))).alias("found_url"),
     )
     carried, open_url, held = [], None, None
     for row in edges.orderBy("part").collect():  # as many rows as partitions
@@ -86,13 +94,15 @@ def resolve_revisits(captures: DataFrame, partitions: int | None = None) -> Data
     base = F.map_filter(F.coalesce(got["headers"], F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.transform(F.map_keys(allowed), lambda x: F.lower(x)), F.lower(k)))
     joined = joined.withColumn("status", F.coalesce(status, F.lit("response")))
     resolved = F.col("status") == "resolved"
-    return joined.select("record_id", "canonical_url", "ts", "kind", "status", F.when(resolved, got["record_id"]).alias("resolved_id"), F.when(resolved, F.map_concat(base, allowed)).otherwise(F.col("headers")).alias("merged_headers"))
+    # A key of its own for a row without a body too: nulls would all be joined in one task.
+    source = F.when(resolved, got["body_key"]).when(F.col("status") == "response", F.col("body_key")).otherwise(F.concat(F.col("body_key"), F.lit(b"-")))
+    return joined.select("record_id", "canonical_url", "ts", "kind", "status", F.when(resolved, got["record_id"]).alias("resolved_id"), F.when(resolved, F.map_concat(base, allowed)).otherwise(F.col("headers")).alias("merged_headers"), source.alias("body_key"))
 
 
 def with_bodies(resolved: DataFrame, captures: DataFrame) -> DataFrame:
     """Give each resolved revisit its response's body, each response its own; others have none."""
-    wanted = resolved.withColumn("_from", F.when(F.col("status") == "response", F.col("record_id")).otherwise(F.col("resolved_id")))
-    return wanted.join(captures.select(F.col("record_id").alias("_from"), "body"), "_from", "left").drop("_from")
+    bodies = captures.filter(F.col("body").isNotNull()).select(body_key().alias("body_key"), "body").dropDuplicates(["body_key"])
+    return resolved.join(bodies, "body_key", "left").drop("body_key")
 
 
 def parse_records(data: bytes) -> Iterator[dict]:

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from fringelake.llm import decontaminate, jaccard, langid, mixing, pitmanyor, repeats, tokens, topk, toxicity, warc
+from fringelake.llm import decontaminate, jaccard, langid, mixing, pitmanyor, queries, repeats, tokens, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string"
 
@@ -214,6 +214,37 @@ def test_revisits(spark):
     assert [r["headers"]["warc-type"] for r in warc.parse_records(record * 2)] == ["response"] * 2
 
 
+def test_revisits_have_bodies(spark):
+    h, rows = {"a": "1"}, []
+    for i in range(3):  # three responses share an id, three have none, and a revisit follows each
+        for rid, host in ((7, "a"), (None, "b")):
+            rows.append((rid, f"http://{host}{i}.org/", 1, "response", f"e{i}", None, h, f"body {host}{i}"))
+            rows.append((rid, f"http://{host}{i}.org/", 2, "revisit", f"e{i}", None, None, None))
+    rows += [(8, "http://c.org/", 1, "response", "e", None, h, "twice")] * 2
+    rows += [(9, "http://c.org/", 2, "revisit", "other", None, None, "not its own"), (10, "http://d.org/", 1, "response", "e", None, h, None), (11, "http://d.org/", 2, "revisit", "e", None, None, None)]
+    captures = spark.createDataFrame(rows, warc.CAPTURE)
+    got = Counter((r["canonical_url"], r["ts"], r["status"], r["body"]) for r in warc.with_bodies(warc.resolve_revisits(captures), captures).collect())
+    want = Counter()
+    for host in "ab":
+        for i in range(3):
+            want[f"http://{host}{i}.org", 1, "response", f"body {host}{i}"] += 1
+            want[f"http://{host}{i}.org", 2, "resolved", f"body {host}{i}"] += 1
+    want["http://c.org", 1, "response", "twice"] = 2
+    want["http://c.org", 2, "mismatch", None] = want["http://d.org", 1, "response", None] = want["http://d.org", 2, "resolved", None] = 1
+    assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no synthetic tables")
+def test_query_of_revisits_returns_bodies(spark):
+    sf = "/root/testdata/sf0.001"
+    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.QUERIES["op9_bodies"](spark, sf).collect()
+    assert len(rows) == 2 * len(html) and any(r["status"] == "resolved" for r in rows)
+    for r in rows:
+        body = html[(r["record_id"] if r["kind"] == "response" else r["resolved_id"]) // 2] if r["status"] in ("response", "resolved") else None
+        assert (r["body_bytes"], r["body_sha256"]) == ((None, None) if body is None else (len(body.encode()), hashlib.sha256(body.encode()).hexdigest()))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert repeats.remove_repeats(none).count() == 0
