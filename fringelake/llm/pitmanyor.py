@@ -1,22 +1,24 @@
 """A hierarchical Pitman-Yor language model over words.
 
-Three levels of restaurants share parents: one restaurant for each context, the
-unigram restaurant as their parent, and the uniform distribution over the known
-words and one unknown as base. The context of a token is its nearest earlier short
-word (three bytes at most: function words), hashed to ``CONTEXTS`` classes; the
-text's start is a class of its own.
-
-Seating is sampled by Gibbs sweeps over dishes: all customers of a dish leave,
-are seated anew one after another by the Chinese-restaurant rule, and the new
-seating is kept with the Metropolis-Hastings probability that makes the sweep
-exact for the totals of the other dishes. Beyond ``SINGLY`` customers they come in growing
-chunks whose new tables are binomial draws. Totals are fixed within a round and
-summed between rounds, so words are sampled in parallel. Table counts are averaged over the kept sweeps, and
-predictive probabilities follow from the averages.
-
-The model stays a distributed table, as large as the corpus makes it. Texts are
-dealt into blocks of bounded size; each block asks for the model rows of its own
-words only and is scored with them.
+Every distinct context of up to ``ORDER`` - 1 preceding words is a restaurant of its
+own. Its parent is the restaurant of the context without its oldest word, then the
+unigram restaurant, and the uniform distribution over the known words and one
+unknown as base. Texts begin with a start word.
+
+All restaurants are rows of distributed tables, one row for an n-gram (the last word
+first) with its customers and tables; the tables of an n-gram are the customers of
+the n-gram without its oldest word. Seating is sampled in rounds: a round goes from
+the longest n-grams to single words, and within it the parents' probabilities and
+the restaurants' other tables are those of the round before, so that n-grams are
+seated in parallel. All customers of an n-gram leave, are seated anew one after
+another by the Chinese-restaurant rule, and the new seating is kept with the
+Metropolis-Hastings probability for these fixed parents. Beyond ``SINGLY`` customers
+they come in growing chunks whose new tables are binomial draws. Table counts of the
+last round are averaged over its kept sweeps, and predictive probabilities follow
+from the averages. An n-gram of one customer has one table, and is not sampled.
+
+Texts are dealt into blocks of bounded size; each block asks for the model rows of
+its own n-grams only and is scored with them.
 
 Cases: null and empty texts are one end token; equal rows are counted and scored
 each; null ids hash as the empty text; without training rows
@@ -26,6 +28,7 @@ every token is unknown with probability 1; extra columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,67 +36,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, hash_values, mix, row_key, signed, split_words
+from .common import BASE, chunks, hash_values, mix, row_key, signed, split_words, stored
 from .toxicity import held_out
 
-CONTEXTS = 16
-START = CONTEXTS
-SHORT = 3
-BLOCK_BYTES = 16 << 20
+#: Words of the longest n-grams; a context has up to ORDER - 1 words.
+ORDER = 3
+#: A block asks for a row of each of its n-grams, so that this bounds a worker's memory.
+BLOCK_BYTES = 4 << 20
 ROUNDS = 2
 SWEEPS, BURN = 6, 2
 SINGLY = 24
+#: N-grams that are seated at a time.
+SEATED = 200_000
 STRENGTH = 1.0
 DIVISOR, HELD_OUT = 10, 0
-#: The end token; no word contains white space.
-END = "\n"
-PAIR = np.dtype([("cls", "u1"), ("rest", "<f4")])
+#: The end token and the words before a text; no word contains white space.
+END, START = "\n", "\n\n"
+ANSWER = ["c", "rest", "customers", "tables"]
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash, context class, offsets of each text's tokens); every text ends with the end token."""
+def columns(order: int) -> list[str]:
+    """The words of an n-gram, the last one first."""
+    return ["w", *(f"p{k}" for k in range(1, order))]
+
+
+def gram_key(words: list[np.ndarray]) -> np.ndarray:
+    """Key of n-grams whose words are given as by ``columns``; a context has the key of the n-gram that it is."""
+    key = words[-1].astype(np.uint64)
+    for x in words[-2::-1]:
+        key = mix(key * BASE + x)
+    return key
+
+
+def tokens(texts: pa.Array, order: int = ORDER) -> tuple[list[np.ndarray], np.ndarray]:
+    """(hashes of each token and of the words before it, offsets of each text's tokens); every text ends with the end token."""
     codes, values, offsets = split_words(texts, lower=True)
-    end = hash_values(pa.array([END]))[0]
+    start, end = hash_values(pa.array([START, END]))
     hashes = hash_values(values) if len(values) else np.zeros(0, np.uint64)
-    lengths = np.fromiter((len(x) for x in values.cast(pa.large_binary()).to_pylist()), dtype=np.int64, count=len(values))
     n = len(offsets) - 1
-    at = np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(offsets))
     total = len(codes) + n
     words = np.full(total, end, np.uint64)
-    words[at] = hashes[codes]
-    short = np.zeros(total, bool)
-    short[at] = lengths[codes] <= SHORT
-    starts = offsets[:-1] + np.arange(n)
-    place = np.where(short, np.arange(total), -1)
-    last = np.maximum.accumulate(np.concatenate([[-1], place[:-1]])) if total else place
-    inside = last >= np.repeat(starts, np.diff(np.concatenate([starts, [total]])))
-    classes = np.full(total, START, np.int64)
-    classes[inside] = (mix(words[last[inside]]) % np.uint64(CONTEXTS)).astype(np.int64)
-    return words, classes, np.concatenate([starts, [total]])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, cls, n) of training texts, summed over portions of a task."""
-    key, number = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-
-    def summed(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        keys, numbers = keys[order], numbers[order]
-        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
-        return keys[new], np.add.reduceat(numbers, new)
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1].astype(np.int32)), pa.array(number)], ["word", "cls", "n"])
-
-    for batch in batches:
-        for a, b in chunks(batch["text"]):
-            words, classes, _ = tokens(batch["text"].slice(a, b - a))
-            own, count = summed(np.stack([signed(words), classes], axis=1), np.ones(len(words), np.int64))
-            key, number = summed(np.concatenate([key, own]), np.concatenate([number, count]))
-            if len(key) > 1_000_000:  # bounds the memory of a task, not what is counted
-                yield out()
-                key, number = key[:0], number[:0]
-    yield out()
+    words[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(offsets))] = hashes[codes]
+    starts = np.append(offsets[:-1] + np.arange(n), total)
+    place = np.arange(total) - np.repeat(starts[:-1], np.diff(starts))
+    out = [words]
+    for k in range(1, order):
+        before = np.full(total, start, np.uint64)
+        inside = np.flatnonzero(place >= k)
+        before[inside] = words[inside - k]
+        out.append(before)
+    return out, starts
+
+
+def _counts(order: int):
+    def summed(rows: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, first, where = np.unique(gram_key(list(rows.T)), return_index=True, return_inverse=True)
+        return rows[first], np.bincount(where, numbers, minlength=len(first)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """N-grams of training texts and their number, summed over portions of a task."""
+        rows, number = np.zeros((0, order), np.uint64), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            by = np.lexsort(rows.T[::-1])  # packs better
+            return pa.RecordBatch.from_arrays([*(pa.array(signed(np.ascontiguousarray(x))) for x in rows[by].T), pa.array(number[by])], [*columns(order), "n"])
+
+        for batch in batches:
+            for a, b in chunks(batch["text"]):
+                found, _ = tokens(batch["text"].slice(a, b - a), order)
+                own, count = summed(np.stack(found, axis=1), np.ones(len(found[0]), np.int64))
+                rows, number = summed(np.concatenate([rows, own]), np.concatenate([number, count]))
+                if len(rows) > 1_000_000:  # bounds the memory of a task, not what is counted
+                    yield out()
+                    rows, number = rows[:0], number[:0]
+        yield out()
+
+    return run
 
 
 def seat(customers: np.ndarray, open_weight: np.ndarray, gain: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -121,64 +139,49 @@ def seat(customers: np.ndarray, open_weight: np.ndarray, gain: np.ndarray, disco
     return tables, logw
 
 
-def sample(words: np.ndarray, rows: np.ndarray, classes: np.ndarray, n: np.ndarray, state: dict, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Average (tables of each pair, customers and tables of each word in the unigram restaurant) over the kept sweeps.
+def sample(n: np.ndarray, parent: np.ndarray, others: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(tables after the last sweep, their average over the kept sweeps) of n-grams with ``n`` customers.
 
-    ``rows`` gives the word of each (context class, word) pair with ``n`` customers.
+    ``parent`` is the parent's probability of the word, ``others`` the tables of other words in the restaurant.
     """
-    d, d1, base = state["discount"], state["discount1"], state["base"]
-    width = len(words)
-    tables, logw = np.ones(len(n)), None
-    top = np.bincount(rows, minlength=width).astype(float)
-    upper, upper_logw, upper_of = np.ones(width), None, None
-    kept = [np.zeros(len(n)), np.zeros(width), np.zeros(width)]
-    totals = np.asarray(state["tables"])
+    tables, logw, total = np.ones(len(n)), None, np.zeros(len(n))
     for sweep in range(SWEEPS):
-        p1 = (np.maximum(top - d1 * upper, 0) + (STRENGTH + d1 * state["tables1"]) * base) / (STRENGTH + state["customers1"])
-        new, w = seat(n, (STRENGTH + d * totals[classes]) * p1[rows], d * p1[rows], d, rng)
+        new, w = seat(n, (STRENGTH + discount * (others + 1)) * parent, discount * parent, discount, rng)
         take = np.ones(len(n), bool) if logw is None else np.log(rng.random(len(n))) < w - logw
         tables, logw = np.where(take, new, tables), w if logw is None else np.where(take, w, logw)
-        top = np.bincount(rows, tables, minlength=width)
-        same = np.full(width, (STRENGTH + d1 * state["tables1"]) * base)
-        new, w = seat(top, same, np.full(width, d1 * base), d1, rng)
-        # A changed number of customers is another problem: its seating is taken as drawn.
-        take = np.ones(width, bool) if upper_logw is None else (top != upper_of) | (np.log(rng.random(width)) < w - upper_logw)
-        upper, upper_logw, upper_of = np.where(take, new, upper), w if upper_logw is None else np.where(take, w, upper_logw), top
         if sweep >= BURN:
-            for total, now in zip(kept, (tables, top, upper), strict=True):
-                total += now
-    return tuple(x / (SWEEPS - BURN) for x in kept)
+            total += tables
+    return tables, total / (SWEEPS - BURN)
+
 
+def _seating(names: list[str], discount: float, seed: int):
+    def seated(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        n, parent, others = (rows[x].to_numpy().astype(float) for x in ("n", "parent", "others"))
+        rng = np.random.default_rng([seed, len(names), int(rows["w"][0].as_py()) & 0x7FFFFFFF, len(n)])
+        tables, mean = sample(n, parent, others, discount, rng)
+        return pa.RecordBatch.from_arrays([*(rows[x].combine_chunks() for x in names), rows["n"].combine_chunks(), pa.array(tables), pa.array(mean)], [*names, "n", "t", "mean"])
 
-def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    words, lists = batch["word"].to_numpy(zero_copy_only=False), batch["counts"]
-    flat = lists.flatten()
-    rows = np.repeat(np.arange(len(batch)), np.asarray(lists.value_lengths()))
-    return words, rows, flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= SEATED:
+                yield seated(held)
+                held, size = [], 0
+        if held:
+            yield seated(held)
+
+    return run
 
 
-def _seating(state: dict, final: bool):
+def _keyed(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(CONTEXTS + 1 + 4)
         for batch in batches:
-            if not len(batch):
-                continue
-            words, rows, classes, n = _unpack(batch)
-            rng = np.random.default_rng([state["seed"], int(words[0]) & 0x7FFFFFFF, len(words)])
-            tables, top, upper = sample(words, rows, classes, n, state, rng)
-            if final:
-                p1 = (np.maximum(top - state["discount1"] * upper, 0) + (STRENGTH + state["discount1"] * state["tables1"]) * state["base"]) / (STRENGTH + state["customers1"])
-                pairs = np.zeros(len(n), PAIR)
-                pairs["cls"], pairs["rest"] = classes, np.maximum(n - state["discount"] * tables, 0)
-                ends = np.searchsorted(rows, np.arange(len(words) + 1)) * PAIR.itemsize
-                data = pairs.tobytes()
-                packed = [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["word"], pa.array(np.bincount(rows, n, minlength=len(words)).astype(np.int64)), pa.array(p1), pa.array(packed, pa.binary())], ["word", "c", "p1", "pairs"])
-            else:
-                sums[: CONTEXTS + 1] += np.bincount(classes, tables, minlength=CONTEXTS + 1)
-                sums[CONTEXTS + 1 :] += [top.sum(), upper.sum(), (np.rint(top) == 1).sum(), (np.rint(top) == 2).sum()]
-        if not final:
-            yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["sums"])
+            key = gram_key([batch[x].to_numpy(zero_copy_only=False).view(np.uint64) for x in names])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *(batch[x] for x in ANSWER)], ["key", *ANSWER])
 
     return run
 
@@ -187,69 +190,127 @@ def _discount(one: float, two: float) -> float:
     return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one else 0.5
 
 
-def train(docs: DataFrame, seed: int = 29) -> tuple[DataFrame, dict]:
-    """(word, c, p1, pairs) for every training word, and the model's totals."""
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def train(docs: DataFrame, seed: int = 29, order: int = ORDER) -> tuple[DataFrame, dict]:
+    """(key, c, rest, customers, tables) of training n-grams and contexts, whose rows of one key add up, and the model's totals."""
     learn = docs.filter(~held_out(DIVISOR, HELD_OUT))
-    counted = learn.select("text").mapInArrow(_counts, "word long, cls int, n long")
-    # Each task sends a word and class once, so even the most frequent word is a few rows a task.
-    table = counted.repartition("word").groupBy("word", "cls").agg(F.sum("n").alias("n")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("counts"))
-    table = cut(table.sortWithinPartitions("word"))
-    flat = table.select("word", F.explode("counts").alias("x")).select("word", "x.cls", "x.n")
-    by_class = {r["cls"]: r for r in flat.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect()}
-    v = table.count()
-    one, two = (sum(r[x] for r in by_class.values()) for x in ("one", "two"))
-    types = [float(by_class[k]["types"]) if k in by_class else 0.0 for k in range(CONTEXTS + 1)]
-    state = {
-        "seed": seed, "base": 1.0 / (v + 1), "v": v, "n": sum(r["n"] for r in by_class.values()), "discount": _discount(one, two), "discount1": 0.5,
-        "customers": [float(by_class[k]["n"]) if k in by_class else 0.0 for k in range(CONTEXTS + 1)], "tables": types, "customers1": sum(types), "tables1": float(v),
-    }
-    for r in range(ROUNDS):
-        rows = table.mapInArrow(_seating(dict(state, seed=seed + r), False), "sums array<double>")
-        total = rows.select(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(CONTEXTS + 5)]).first()
-        state |= {"tables": list(total[: CONTEXTS + 1]), "customers1": total[CONTEXTS + 1], "tables1": total[CONTEXTS + 2], "discount1": _discount(total[CONTEXTS + 3], total[CONTEXTS + 4])}
-    model = table.mapInArrow(_seating(dict(state, seed=seed + ROUNDS), True), "word long, c long, p1 double, pairs binary")
-    return model, state
-
-
-def _asked(rows: pd.DataFrame) -> pd.DataFrame:
-    texts = pa.array(rows["text"], pa.string())
-    found = np.zeros(0, np.int64)
-    for a, b in chunks(texts):
-        words, _, _ = tokens(texts.slice(a, b - a))
-        found = np.sort(np.concatenate([found, signed(words)]))
-        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
-    words = found
-    return pd.DataFrame({"block": np.full(len(words), rows["block"].iloc[0]), "word": words})
+    names = columns(order)
+    counted = learn.select("text").mapInArrow(_counts(order), ", ".join(f"{x} long" for x in [*names, "n"]))
+    top = stored(counted.groupBy(*names).agg(F.sum("n").alias("n")))
+    single = top.filter("n = 1")
+    single_below = stored(single.groupBy(*names[:-1]).agg(F.count(F.lit(1)).alias("n")))
+    single_context = stored(single.groupBy(*names[1:]).agg(F.count(F.lit(1)).alias("customers")).withColumn("tables", F.col("customers").cast("double")))
+    words = stored(top.groupBy("w").agg(F.sum("n").alias("c")))
+    v, n = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    base = 1.0 / (v + 1)
+
+    def below(k: int, rows: DataFrame) -> DataFrame:
+        """The customers of n-grams of ``k`` words: the tables of those of one word more."""
+        parts = [rows.groupBy(*names[:k]).agg(F.sum("t").cast("long").alias("n"))]
+        return _union([*parts, single_below] if k == order - 1 else parts).groupBy(*names[:k]).agg(F.sum("n").alias("n"))
+
+    def contexts(k: int, rows: DataFrame, tables: str) -> DataFrame:
+        parts = [rows.groupBy(*names[1:k]).agg(F.sum("n").alias("customers"), F.sum(tables).alias("tables"))]
+        return stored(_union([*parts, single_context] if k == order else parts).groupBy(*names[1:k]).agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")))
+
+    def totals(rows: DataFrame, tables: str) -> tuple[float, float]:
+        return tuple(float(x or 0) for x in rows.agg(F.sum("n"), F.sum(tables)).first())
+
+    def discounts(rows: dict[int, DataFrame]) -> dict[int, float]:
+        ones = single_below.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        got = {k: rows[k].agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first() for k in rows}
+        return {k: _discount(one + (ones if k == order else 0), two) for k, (one, two) in got.items()}
+
+    # At first every n-gram has one table.
+    rows = {order: top.filter("n > 1").withColumn("t", F.lit(1.0))}
+    for k in range(order - 1, 0, -1):
+        rows[k] = stored(below(k, rows[k + 1]).withColumn("t", F.lit(1.0)))
+    for r in range(ROUNDS + 1):
+        d = discounts(rows)
+        context = {k: contexts(k, rows[k], "t") for k in range(2, order + 1)}
+        customers, tables = totals(rows[1], "t")
+        parent = {1: rows[1].select("w", ((F.col("n") - d[1] * F.col("t") + (STRENGTH + d[1] * tables) * base) / (STRENGTH + customers)).alias("parent"))}
+        for k in range(2, order):
+            joined = rows[k].join(context[k], names[1:k]).join(parent[k - 1], names[: k - 1])
+            parent[k] = stored(joined.select(*names[:k], ((F.col("n") - d[k] * F.col("t") + (STRENGTH + d[k] * F.col("tables")) * F.col("parent")) / (STRENGTH + F.col("customers"))).alias("parent")))
+        new = {}
+        for k in range(order, 0, -1):
+            here = rows[k] if k == order else _union([below(k, new[k + 1]).withColumn("t", F.lit(0.0)), rows[k].select(*names[:k], F.lit(0).cast("long").alias("n"), "t")]).groupBy(*names[:k]).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+            if k == 1:
+                here = here.select("w", "n", F.lit(base).alias("parent"), (F.lit(tables) - F.col("t")).alias("others"))
+            else:
+                here = here.join(parent[k - 1], names[: k - 1]).join(context[k], names[1:k]).select(*names[:k], "n", "parent", (F.col("tables") - F.col("t")).alias("others"))
+            schema = ", ".join([*(f"{x} long" for x in [*names[:k], "n"]), "t double", "mean double"])
+            new[k] = stored(here.sortWithinPartitions(*names[:k]).mapInArrow(_seating(names[:k], d[k], seed + r), schema))
+        rows = new
+    customers, tables = totals(rows[1], "mean")
+    no, none = F.lit(0).cast("long"), F.lit(0.0)
+    model = [words.select("w", "c", none.alias("rest"), no.alias("customers"), none.alias("tables")).mapInArrow(_keyed(["w"]), "key long, c long, rest double, customers long, tables double")]
+    for k in range(1, order + 1):
+        grams = rows[k].select(*names[:k], (F.col("n") - d[k] * F.col("mean")).alias("rest"))
+        if k == order:
+            grams = grams.unionByName(single.select(*names, F.lit(1 - d[k]).alias("rest")))
+        parts = [(names[:k], grams.select(*names[:k], no.alias("c"), "rest", no.alias("customers"), none.alias("tables")))]
+        if k > 1:
+            parts.append((names[1:k], contexts(k, rows[k], "mean").select(*names[1:k], no.alias("c"), none.alias("rest"), "customers", "tables")))
+        model += [x.mapInArrow(_keyed(own), model[0].schema) for own, x in parts]
+    state = {"order": order, "v": v, "n": n, "base": base, "discount": d, "customers": customers, "tables": tables}
+    return _union(model), state
+
+
+def _keys(texts: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(keys of the n-grams of 1 to ``order`` words, of their contexts, offsets); single words have no context."""
+    found, offsets = tokens(texts, order)
+    return [gram_key(found[:k]) for k in range(1, order + 1)], [gram_key(found[1:k]) for k in range(2, order + 1)], offsets
+
+
+def _asked(order: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = pa.array(rows["text"], pa.string())
+        found = np.zeros(0, np.uint64)
+        for a, b in chunks(texts):
+            grams, contexts, _ = _keys(texts.slice(a, b - a), order)
+            found = np.unique(np.concatenate([found, *grams, *contexts]))
+        return pd.DataFrame({"block": np.full(len(found), rows["block"].iloc[0]), "key": signed(found)})
+
+    return run
 
 
 def _score(state: dict):
-    strength = STRENGTH + state["discount"] * np.asarray(state["tables"])
-    totals = STRENGTH + np.asarray(state["customers"])
-    unknown = (STRENGTH + state["discount1"] * state["tables1"]) * state["base"] / (STRENGTH + state["customers1"])
+    d, order = state["discount"], state["order"]
     flat = np.log10(state["n"] + 0.1 * (state["v"] + 1)) if state["n"] else 0.0
 
     def run(key: tuple, texts: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        model = model.sort_values("for_word")
-        known = model["for_word"].to_numpy(np.int64)
-        c, p1 = np.append(model["c"].to_numpy(np.int64), 0), np.append(model["p1"].to_numpy(np.float64), unknown)
-        rest = np.zeros((len(known) + 1, CONTEXTS + 1), np.float32)
-        packed = model["pairs"].tolist()
-        pairs = np.frombuffer(b"".join(packed), PAIR)
-        rest[np.repeat(np.arange(len(known)), [len(x) // PAIR.itemsize for x in packed]), pairs["cls"]] = pairs["rest"]
+        known, where = np.unique(model["for_key"].to_numpy(np.int64), return_inverse=True)
+        # The last place is that of keys without a row.
+        c, rest, customers, tables = (np.bincount(where, model[x].to_numpy(float), minlength=len(known) + 1) for x in ANSWER)
+
+        def at(keys: np.ndarray) -> np.ndarray:
+            place = np.searchsorted(known, signed(keys))
+            found = known[np.minimum(place, len(known) - 1)] == signed(keys) if len(known) else np.zeros(len(keys), bool)
+            return np.where(found, place, len(known))
+
         out = []
-        sizes = texts["text"].str.len().fillna(0).cumsum().to_numpy() // (4 << 20)
+        sizes = texts["text"].str.len().fillna(0).cumsum().to_numpy() // (1 << 20)
         for portion in np.unique(sizes):
             part = texts[sizes == portion]
-            words, classes, offsets = tokens(pa.array(part["text"], pa.string()))
-            at = np.searchsorted(known, signed(words))
-            at = np.where((at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] == signed(words)) if len(known) else False, at, len(known))
-            p = (rest[at, classes] + strength[classes] * p1[at]) / totals[classes] if state["n"] else np.ones(len(words))
-            plain = np.log10(c[at] + 0.1) - flat
+            grams, contexts, offsets = _keys(pa.array(part["text"], pa.string()), order)
+            word = at(grams[0])
+            p = (rest[word] + (STRENGTH + d[1] * state["tables"]) * state["base"]) / (STRENGTH + state["customers"])
+            for k in range(2, order + 1):
+                context = at(contexts[k - 2])
+                p = (rest[at(grams[k - 1])] + (STRENGTH + d[k] * tables[context]) * p) / (STRENGTH + customers[context])
+            if not state["n"]:
+                p = np.ones(len(p))
+            plain = np.log10(c[word] + 0.1) - flat
             starts = offsets[:-1]
             out.append(
                 pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": np.diff(offsets), "n_known": np.add.reduceat((c[at] > 0).astype(np.int64), starts),
+                        "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": np.diff(offsets), "n_known": np.add.reduceat((c[word] > 0).astype(np.int64), starts),
                         "train_tokens": state["n"], "base_score": np.add.reduceat(plain, starts), "score": np.add.reduceat(np.log10(p), starts),
                     }
                 )
@@ -264,13 +325,13 @@ def score(docs: DataFrame, model: DataFrame, state: dict, block_bytes: int = BLO
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     base = docs.select("doc_id", "text", held_out(DIVISOR, HELD_OUT).alias("held_out"), F.pmod(row_key("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    asked = base.groupBy("block").applyInPandas(_asked, "block int, word long")
-    answers = asked.join(model, "word").select(F.col("block").alias("for_block"), F.col("word").alias("for_word"), "c", "p1", "pairs")
+    asked = base.groupBy("block").applyInPandas(_asked(state["order"]), "block int, key long")
+    answers = asked.join(model, "key").select(F.col("block").alias("for_block"), F.col("key").alias("for_key"), *ANSWER)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return base.groupBy("block").cogroup(answers.groupBy("for_block")).applyInPandas(_score(state), schema)
 
 
-def score_all(docs: DataFrame) -> DataFrame:
-    model, state = train(docs.select("doc_id", "text"))
+def score_all(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    model, state = train(docs.select("doc_id", "text"), order=order)
     return score(docs, model, state)
