@@ -6,7 +6,8 @@ penalty is fitted on the scaled features. Only n-grams whose presence differs
 between the classes beyond chance (G statistic) carry weight.
 
 The classifier is fitted on a bounded sample of labelled rows: at most
-``sample_per_class`` of each class, those with the least hash of their id. All
+``sample_per_class`` of each class, those with the least hash of their id, and its
+intercept is moved back to the ratio of the classes among all labels. All
 documents are scored, over their whole text.
 
 Cases: null and empty texts get the model's score of a text with no feature;
@@ -131,11 +132,19 @@ def _logistic(row, column, value, labels, width: int, rounds: int = 300) -> tupl
     return x, b
 
 
+def prior_shift(toxic: int, clean: int, sample_per_class: int) -> float:
+    """What the log odds of a fit on at most ``sample_per_class`` rows of each class lack to the odds among all labels."""
+    if not toxic or not clean:
+        return 0.0
+    return float(np.log(toxic / min(toxic, sample_per_class)) - np.log(clean / min(clean, sample_per_class)))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float]:
     """Fit on the labelled documents outside the held-out fold."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label")).filter(~held_out(DIVISOR, HELD_OUT))
     order = F.xxhash64("doc_id", F.lit(7))
-    # At most 2 * sample_per_class ids, whatever the number of labels.
+    # At most 2 * sample_per_class ids, whatever the number of labels; how many there are of each class is counted over all.
+    sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for label in (1, 0):
         some = marked.filter(F.col("label") == label).orderBy(order, "doc_id").limit(sample_per_class)
@@ -144,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     found = sample.mapInArrow(_features, "label int, features binary, sketch array<long>").collect()
     found.sort(key=lambda r: (r["label"], bytes(r["features"])))
     found = without_copies(found)
-    return fit([np.frombuffer(r["features"], np.int32) for r in found], np.array([r["label"] for r in found], dtype=int))
+    weights, intercept = fit([np.frombuffer(r["features"], np.int32) for r in found], np.array([r["label"] for r in found], dtype=int))
+    return weights, intercept + prior_shift(sizes.get(1, 0), sizes.get(0, 0), sample_per_class)
 
 
 def score(docs: DataFrame, weights: np.ndarray, intercept: float, threshold: float = THRESHOLD) -> DataFrame:

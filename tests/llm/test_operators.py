@@ -246,6 +246,19 @@ def test_toxicity_and_language_without_labels(spark, docs):
     assert said[0] == said[1] == "und" and said[3] == "en"
 
 
+def test_toxicity_sample_keeps_the_ratio_of_the_classes(spark):
+    import math
+
+    rng = random.Random(6)
+    # Texts say nothing about their label, so that the score is the share of toxic ones, sampled or not.
+    rows = [(i, words(rng, 12), "en", "s", 0, 0.0, "") for i in range(1200)]
+    labels = spark.createDataFrame([(i, 0, int(i % 10 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    _, whole = toxicity.train(docs, labels)
+    _, sampled = toxicity.train(docs, labels, sample_per_class=60)
+    assert abs(1 / (1 + math.exp(-whole)) - 0.1) < 0.03 and abs(1 / (1 + math.exp(-sampled)) - 0.1) < 0.03
+
+
 def test_revisits(spark):
     rows = [(1, "http://a.org/x", 1, "response", "e1", None, {"a": "1", "date": "0"}, "body"), (2, "HTTP://www.A.org/x/", 2, "revisit", "e1", None, {"Date": "9", "a": "2"}, None), (3, "http://a.org/x", 3, "revisit", "e2", None, None, None), (4, "http://b.org/", 1, "revisit", "e", None, None, None), (5, None, None, "revisit", None, None, None, None)]
     got = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame(rows, warc.CAPTURE)).collect()}
