@@ -64,15 +64,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_copies(rows: list) -> list:
-    """The first of each group of copies: a copied text must not count as evidence many times."""
-    seen: list[set[int]] = []
+    """The first of each group of copies with one label: a copied text must not count as evidence many times.
+
+    Copies agree in most of their min-hashes; a passage that other texts have too makes no copy.
+    """
+    kept: dict[int, list[np.ndarray]] = {}
     out = []
     for r in rows:
-        seen = seen or [set() for _ in r["sketch"]]
-        if not any(x in s for x, s in zip(r["sketch"], seen, strict=True)):
+        have, own = kept.setdefault(r["label"], []), np.array(r["sketch"])
+        if not have or not (2 * (np.array(have) == own).sum(axis=1) > len(own)).any():
             out.append(r)
-        for x, s in zip(r["sketch"], seen, strict=True):
-            s.add(x)
+            have.append(own)
     return out
 
 

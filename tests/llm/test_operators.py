@@ -259,6 +259,13 @@ def test_toxicity_sample_keeps_the_ratio_of_the_classes(spark):
     assert abs(1 / (1 + math.exp(-whole)) - 0.1) < 0.03 and abs(1 / (1 + math.exp(-sampled)) - 0.1) < 0.03
 
 
+def test_only_copies_of_one_label_leave_the_toxicity_fit():
+    row = lambda label, *sketch: {"label": label, "sketch": list(sketch)}
+    first = row(0, 1, 2, 3, 4, 5, 6)
+    rows = [first, row(0, 1, 2, 3, 4, 5, 7), row(0, 1, 12, 13, 14, 15, 16), row(1, 1, 2, 3, 4, 5, 6), row(1, 1, 2, 3, 4, 5, 6)]
+    assert toxicity.without_copies(rows) == [first, rows[2], rows[3]]
+
+
 def test_revisits(spark):
     rows = [(1, "http://a.org/x", 1, "response", "e1", None, {"a": "1", "date": "0"}, "body"), (2, "HTTP://www.A.org/x/", 2, "revisit", "e1", None, {"Date": "9", "a": "2"}, None), (3, "http://a.org/x", 3, "revisit", "e2", None, None, None), (4, "http://b.org/", 1, "revisit", "e", None, None, None), (5, None, None, "revisit", None, None, None, None)]
     got = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame(rows, warc.CAPTURE)).collect()}
