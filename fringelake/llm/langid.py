@@ -7,7 +7,8 @@ Texts are scored by batched products of their presence rows with the landmark
 presence matrix folded with the dual weights.
 
 The model is fitted on a bounded sample: at most ``sample_per_language``
-documents of each language and ``landmarks`` of them in all. All documents are
+documents of each language, and of them ``landmarks`` landmarks or two a language
+if that is more, each language having one at least. All documents are
 scored over their whole text.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; null
@@ -57,13 +58,23 @@ def matrix(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def landmark_places(langs: list[str], landmarks: int) -> list[int]:
+    """Evenly spaced places, ``landmarks`` or two for each language if that is more, and a place of every language."""
+    first = {}
+    for i, x in enumerate(langs):
+        first.setdefault(x, i)
+    count = min(len(langs), max(landmarks, 2 * len(first)))
+    places = {i * len(langs) // count for i in range(count)}
+    seen = {langs[i] for i in places}
+    return sorted(places | {i for x, i in first.items() if x not in seen})
+
+
 def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray]:
     """(languages, weight of each n-gram for each language)."""
     names = sorted(set(langs))
     if not names:
         return [], np.zeros((1 << BITS, 0), np.float32)
-    step = max(1, len(rows) // landmarks)
-    land = matrix(rows[::step][:landmarks])
+    land = matrix([rows[i] for i in landmark_places(langs, landmarks)])
     cross = np.concatenate([matrix(rows[i : i + 256]) @ land.T for i in range(0, len(rows), 256)]).astype(float)
     values, vectors = np.linalg.eigh((land @ land.T).astype(float))
     good = values > 1e-6 * values[-1]

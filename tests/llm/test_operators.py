@@ -266,6 +266,19 @@ def test_only_copies_of_one_label_leave_the_toxicity_fit():
     assert toxicity.without_copies(rows) == [first, rows[2], rows[3]]
 
 
+def test_every_language_has_a_landmark():
+    import numpy as np
+
+    for sizes in ((126, 66, 96, 95), (300, 300, 300, 1), (3, 1, 1), (1,) * 400):
+        langs = [f"l{k:03}" for k, n in enumerate(sizes) for _ in range(n)]
+        assert {langs[i] for i in langid.landmark_places(langs, 192)} == set(langs)
+    # The last language has n-grams of its own, and so weights.
+    langs = ["a"] * 300 + ["b"] * 300 + ["c"] * 300 + ["d"] * 50
+    rows = [np.array([10 * ord(x), 10 * ord(x) + 1 + i % 5], np.int32) for i, x in enumerate(langs)]
+    names, weights = langid.fit(rows, langs)
+    assert [names[int(np.argmax(weights[x].sum(axis=0)))] for x in rows] == langs and abs(weights[10 * ord("d")]).max() > 0
+
+
 def test_revisits(spark):
     rows = [(1, "http://a.org/x", 1, "response", "e1", None, {"a": "1", "date": "0"}, "body"), (2, "HTTP://www.A.org/x/", 2, "revisit", "e1", None, {"Date": "9", "a": "2"}, None), (3, "http://a.org/x", 3, "revisit", "e2", None, None, None), (4, "http://b.org/", 1, "revisit", "e", None, None, None), (5, None, None, "revisit", None, None, None, None)]
     got = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame(rows, warc.CAPTURE)).collect()}
