@@ -6,6 +6,7 @@ Words are maximal runs of bytes outside {0x20, 0x09-0x0D}. All hashing is
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,29 +30,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a private one only where none is configured."""
+    """Use the cluster's shared folder; a private one only where all runs in one process and none is configured."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fringelake-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="fringelake-checkpoint-")
+        context.setCheckpointDir(folder)
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared checkpoint folder and read it from there on."""
+    """Write ``frame`` to the shared checkpoint folder and read it from there on, partition by partition."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
-def stored(frame: DataFrame) -> DataFrame:
+#: Shuffle files of an execution can go when it ends, for its result is a table on the shared folder.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(frame: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``frame`` as a table in the shared checkpoint folder and read it from there on.
 
     For loops: a table has its true size, while a checkpoint keeps the planner's
-    estimate, which multiplies with every join.
+    estimate, which multiplies with every join. ``by`` names a column of few values whose
+    rows are read apart. ``discard`` deletes the table.
     """
     spark = frame.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (frame.write.partitionBy(by) if by else frame.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more."""
+    for frame in frames:
+        spark, path = frame.sparkSession, frame.stored_path
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def row_key(*columns: str):

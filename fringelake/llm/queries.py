@@ -105,11 +105,11 @@ ORACLE_SQL = {
         g as (select k.rid, string_agg(word, ' ' order by i) kept, count(*) n from k anti join c on k.rid = c.rid and k.i = c.i group by k.rid)
         select d.doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - coalesce(g.n, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join g on d.rid = g.rid""",
     "op6_topk": """
-        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
+        with v as (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v from embeddings
                    where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        p as (select q.vec_id query_id, d.vec_id vec_id, cast(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) as bigint) score
-              from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
-        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from p)
+        p as (select q.rid, q.vec_id query_id, d.vec_id vec_id, cast(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) as bigint) score
+              from v q join v d on q.rid <> d.rid where q.vec_id % 50 = 0),
+        r as (select *, cast(row_number() over (partition by rid order by score desc, vec_id) as int) rank from p)
         select query_id, rank, vec_id, score from r where rank <= 5""",
     "op9_revisits": """
         with u as (select *, regexp_replace(trim(url), '#.*$', '') t from pages),
