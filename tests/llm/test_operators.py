@@ -183,61 +183,6 @@ def test_tokens_match_the_public_tokenizer(docs, corpus):
     assert [r["n_tokens"] for r in tokens.count_tokens(docs, vocabulary).orderBy("doc_id").collect()] == want
 
 
-def test_language_model_totals(docs, corpus):
-    got = {r["doc_id"]: r for r in pitmanyor.score_all(docs).collect()}
-    assert len(got) == len(corpus)
-    counts = Counter()
-    for i, text, *_ in corpus:
-        if not got[i]["held_out"]:
-            counts.update(split((text or "").lower()))
-            counts["end"] += 1
-    for i, text, *_ in corpus:
-        w = split((text or "").lower())
-        assert got[i]["n_tokens"] == len(w) + 1 and got[i]["train_tokens"] == sum(counts.values())
-        assert got[i]["n_known"] == 1 + sum(counts[x] > 0 for x in w) and got[i]["score"] <= 0
-
-
-def test_language_model_has_a_restaurant_for_each_context(spark):
-    rng = random.Random(4)
-    # The word before decides the next one, and of "middle" the two words before.
-    texts = []
-    for _ in range(400):
-        line = []
-        for _ in range(10):
-            k = rng.randrange(40)
-            line += [f"former{k}", f"latter{k}"] if k % 2 else [f"former{k}", "middle", f"third{k}"]
-        texts.append(" ".join(line))
-    docs = spark.createDataFrame([(i, t, "en", "s", 0, 0.0, "") for i, t in enumerate(texts)], DOCS).cache()
-    model, state = pitmanyor.train(docs.select("doc_id", "text"))
-    got = pitmanyor.score(docs, model, state, block_bytes=20_000).collect()
-    learned = [["\n\n"] * 2 + texts[r["doc_id"]].split() + ["\n"] for r in got if not r["held_out"]]
-    contexts = {tuple(w[i - k : i]) for w in learned for i in range(2, len(w)) for k in (1, 2)}
-    rows = model.filter("customers > 0").collect()
-    assert len({r["key"] for r in rows}) == len(rows) == len(contexts)
-    apart = [r["score"] / r["n_tokens"] for r in got if r["held_out"]]
-    # Ten of 26 tokens are free among 40 words (0.62 a token); without contexts all cost that and more (over 1.6).
-    assert apart and sum(apart) / len(apart) > -1.0
-    # The probabilities of all words add up to 1 in every restaurant of one word.
-    by = {}
-    for r in model.groupBy("key").agg(*[F.sum(x).alias(x) for x in pitmanyor.ANSWER]).collect():
-        by[r["key"]] = r
-    import numpy as np
-    import pyarrow as pa
-
-    words = sorted({x for w in learned for x in w} - {"\n\n"})
-    hashes = pitmanyor.hash_values(pa.array(words))
-    d = state["discount"]
-    zero = dict.fromkeys(pitmanyor.ANSWER, 0.0)
-    find = lambda x: by.get(int(np.uint64(x).view(np.int64)), zero)
-    unknown = (1 + d[1] * state["tables"]) * state["base"] / (1 + state["customers"])
-    one = np.array([find(h)["rest"] / (1 + state["customers"]) + unknown for h in hashes])
-    assert abs(one.sum() + unknown - 1) < 1e-9
-    for h in hashes[:5]:
-        c = find(h)
-        two = [(find(pitmanyor.gram_key([np.array([w]), np.array([h])])[0])["rest"] + (1 + d[2] * c["tables"]) * p) / (1 + c["customers"]) for w, p in zip(hashes, one, strict=True)]
-        assert abs(sum(two) + (1 + d[2] * c["tables"]) * unknown / (1 + c["customers"]) - 1) < 1e-9
-
-
 def test_toxicity_and_language_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.classify(docs, none).collect()
