@@ -511,8 +511,10 @@ class Model:
         parts = [_of(self.counted, STATIC, WORDS, ASKED), _of(self.contexts, HOME), *self.rounds]
         return _union(parts).groupBy("bucket").applyInPandas(_guarded(_answer(self.buckets, self.samples)), "for_block long, bucket int, answer binary")
 
-    def discard(self) -> None:
-        discard(*self.tables)
+    def discard(self, *kept: DataFrame) -> None:
+        """Delete the model's tables but those given."""
+        discard(*[x for x in self.tables if not any(x is y for y in kept)])
+        self.tables = list(kept)
 
 
 def _guarded(run):
@@ -569,6 +571,7 @@ def score_all(docs: DataFrame, by_token: bool = False, **options) -> DataFrame:
     schema = f"doc_id {model.kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + (", token_scores array<double>" if by_token else "")
     run = _score(model.buckets, model.hot, model.samples, model.v, model.n, by_token)
     answers = stored(model.answers())
+    model.discard(model.blocks)
     out = stored(model.blocks.groupBy("block").cogroup(answers.groupBy("for_block")).applyInPandas(run, schema))
     discard(answers)
     model.discard()
