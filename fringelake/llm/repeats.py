@@ -2,22 +2,28 @@
 
 Every window of ``WINDOW`` words picks one of its ``GRAM``-word grams as its
 anchor (the last of those with the least hash), so equal windows pick equal
-anchors. The run of windows of one document that share an anchor is a seed; its
+anchors at equal places. The run of windows of one text that share an anchor is a seed; its
 reach is the span these windows cover. Seeds are joined on their anchor:
 
-* an anchor seen once matches nothing;
-* if all seeds of an anchor have equal reaches, each extends over its whole
-  reach, and all its windows repeat;
-* otherwise the reaches differ somewhere, and the seeds are extended word by
-  word: the windows of the reach that also occur in another reach of the anchor
-  repeat.
+* an anchor of one seed matches nothing;
+* seeds of one anchor with equal reaches are a class, represented by one of them; the seeds
+  of a class of several match each other over the whole reach;
+* the representatives of an anchor's classes are joined with each other, and a match of two is
+  extended from the anchor to the left and to the right, word by word, as far as both
+  reaches go. Of the spans of ``WINDOW`` words or more the maximal ones are kept, and hold for all seeds
+  of the class.
 
-Repeated windows that overlap make up maximal repeats of at least ``WINDOW``
-words; their words are removed. Counts are summed before they are shuffled, and
-no task gathers an anchor's seeds, so a passage shared by a third of all
-documents costs what its words cost.
+An anchor of more than ``WIDE`` classes is not joined pair by pair: its representatives are
+extended to whole windows, which are counted, and neighbours among the repeated windows make up the
+spans; that takes time in proportion to its representatives. Counts are summed before they are
+shuffled, no task gathers an anchor's seeds, and the joins meet two stored or scanned tables,
+so that Spark can split a hot key.
 
-Reaches are compared by 128 bits of hash (anchor and reach), windows by 96.
+Equal texts are one text to all this; a text that several rows have repeats as a whole if it has a
+window.
+
+Reaches are compared by 128 bits of hash (anchor and reach), words in extensions by 48, windows
+of wide anchors by 128, texts by 64.
 
 Cases: null and empty texts have no words and keep nothing (the hash of the
 empty text); texts shorter than a window keep all; equal rows are separate
@@ -31,25 +37,34 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks, cut, expand, gram_hashes, row_key, signed, span_hasher, word_hashes
+from .common import chunks, discard, expand, gram_hashes, row_key, signed, span_hasher, stored, word_hashes
 
 WINDOW = 35
 GRAM = 8
+#: The most classes of an anchor whose representatives are joined pair by pair.
+WIDE = 64
+#: Representatives that are extended in one group, about.
+GROUP = 4000
+#: Pairs that are extended at a time.
+PAIRS = 100_000
+#: Bytes of a word's hash that an extension compares.
+WORD_BYTES = 6
 
 
 def seeds(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first window start, last window start, anchor hash) of each seed of a batch of documents."""
+    """(document, first window start, last window start, anchor's place, anchor hash) of each seed of a batch of documents."""
     lengths = np.diff(offsets)
     windows = np.maximum(lengths - window + 1, 0)
     starts = expand(offsets[:-1], windows)
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, empty, np.zeros(0, np.uint64)
     grams = gram_hashes(hashes, gram)
     span = window - gram + 1
     # The last of the least: compare (hash, -position) by doubling spans; ties take the right one.
@@ -69,102 +84,199 @@ def seeds(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     document = np.repeat(np.arange(len(lengths)), windows)
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (document[1:] != document[:-1])]))
     last = np.concatenate([new[1:], [len(starts)]]) - 1
-    return document[new], starts[new], starts[last], grams[place[new]]
+    return document[new], starts[new], starts[last], place[new], grams[place[new]]
+
+
+def _unseen(keys: np.ndarray, seen: set) -> np.ndarray:
+    """Which rows have a text that this task has not met; the set holds a number a text."""
+    new = np.zeros(len(keys), bool)
+    for i, key in enumerate(keys.tolist()):
+        if key not in seen:
+            seen.add(key)
+            new[i] = True
+    return new
 
 
 def find_seeds(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, reach, key, first, last): window starts are counted from the document's first word."""
+    """(anchor, reach, key, first, at, last): window starts and the anchor's place, counted from the text's first word."""
+    names = ["anchor", "reach", "key", "first", "at", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for a, b in chunks(batch["text"]):
                 part = batch.slice(a, b - a)
+                part = part.filter(pa.array(_unseen(part["key"].to_numpy(zero_copy_only=False), seen)))
                 hashes, offsets = word_hashes(part["text"])
-                document, first, last, anchor = seeds(hashes, offsets, window, gram)
+                document, first, last, place, anchor = seeds(hashes, offsets, window, gram)
                 reach = span_hasher(hashes)(first, last + window)
                 base = offsets[document]
                 keys = part["key"].to_numpy(zero_copy_only=False)[document]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(reach)), pa.array(keys), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], ["anchor", "reach", "key", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(reach)), pa.array(keys), *(pa.array((x - base).astype(np.int32)) for x in (first, place, last))], names)
 
-    return docs.select("key", "text").mapInArrow(run, "anchor long, reach long, key long, first int, last int")
+    return docs.select("key", "text").mapInArrow(run, "anchor long, reach long, key long, first int, at int, last int")
 
 
-def extend_seeds(texts: DataFrame, window: int) -> DataFrame:
-    """(check, content, key, start) of every window of the given seeds' reaches; ``check`` is half of the anchor."""
+def cut_reaches(texts: DataFrame, window: int) -> DataFrame:
+    """(anchor, reach, wide, left, words) of the seeds listed for each text: the words of the reach, ``left`` of them before the anchor."""
+    names = ["anchor", "reach", "wide", "left", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for a, b in chunks(batch["text"]):
                 part = batch.slice(a, b - a)
+                part = part.filter(pa.array(_unseen(part["key"].to_numpy(zero_copy_only=False), seen)))
                 hashes, offsets = word_hashes(part["text"])
-                spans = span_hasher(hashes)
-                keys, found = part["key"].to_numpy(zero_copy_only=False), part["seeds"]
-                flat = found.flatten()
-                owner = np.repeat(np.arange(len(part)), np.asarray(found.value_lengths().fill_null(0)))
-                first, last, anchor = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-                counts = last - first + 1
-                start = expand(first, counts)
-                row = np.repeat(owner, counts)
-                at = offsets[row] + start
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat((anchor >> 32).astype(np.int32), counts)), pa.array(signed(spans(at, at + window))), pa.array(keys[row]), pa.array(start.astype(np.int32))], ["check", "content", "key", "start"])
+                flat = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
+                listed = part["seeds"]
+                owner = np.repeat(np.arange(len(part)), np.asarray(listed.value_lengths().fill_null(0)))
+                own = listed.flatten()
+                field = {x: own.field(i) for i, x in enumerate(("first", "at", "last", "anchor", "reach", "wide"))}
+                start = offsets[owner] + field["first"].to_numpy(zero_copy_only=False)
+                stop = offsets[owner] + field["last"].to_numpy(zero_copy_only=False) + window
+                left = pa.compute.subtract(field["at"], field["first"])
+                words = pa.array([flat[WORD_BYTES * x : WORD_BYTES * y] for x, y in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([field["anchor"], field["reach"], field["wide"], left, words], names)
+
+    return texts.select("key", "text", "seeds").mapInArrow(run, "anchor long, reach long, wide boolean, left int, words binary")
+
+
+def _words(data) -> np.ndarray:
+    """48-bit hashes of a reach's words."""
+    out = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def extend(anchor: np.ndarray, left: np.ndarray, words: list[np.ndarray], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, words before the anchor, words after it) of the maximal matches of ``window`` words or more; seeds are sorted by anchor."""
+    side = window - gram
+    lengths = np.array([len(x) for x in words])
+    # One row a seed, aligned at the anchor; places beyond the reach hold a value of the row's own.
+    table = np.repeat((np.arange(len(words), dtype=np.uint64) + np.uint64(1 << 63))[:, None], 2 * side + gram, axis=1)
+    table[np.repeat(np.arange(len(words)), lengths), expand(side - left, lengths)] = np.concatenate(words)
+    ends = np.searchsorted(anchor, anchor, side="right")
+    partners = ends - 1 - np.arange(len(anchor))
+    part = np.cumsum(partners) // PAIRS
+    found = []
+    for p in np.unique(part[partners > 0]):
+        rows = np.flatnonzero((part == p) & (partners > 0))
+        i, j = np.repeat(rows, partners[rows]), expand(rows + 1, partners[rows])
+        same = table[i] == table[j]
+        before = np.cumprod(same[:, :side][:, ::-1], axis=1).sum(axis=1)
+        after = np.cumprod(same[:, side + gram :], axis=1).sum(axis=1)
+        good = (before + gram + after >= window) & same[:, side : side + gram].all(axis=1)
+        found.append(np.stack([np.concatenate([i[good], j[good]]), np.tile(before[good], 2), np.tile(after[good], 2)]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    who, before, after = np.unique(np.concatenate(found, axis=1), axis=1)
+    # By seed, longest to the left first: a span is maximal if it goes further right than those before it.
+    order = np.lexsort((-after, -before, who))
+    who, before, after = who[order], before[order], after[order]
+    keep, furthest, last = [], -1, -1
+    for n, (w, r) in enumerate(zip(who.tolist(), after.tolist(), strict=True)):
+        if w != last:
+            last, furthest = w, -1
+        if r > furthest:
+            keep.append(n)
+            furthest = r
+    return who[keep], before[keep], after[keep]
+
+
+def _extended(window: int, gram: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["anchor", "reach"]).sort_values("anchor", kind="stable").reset_index(drop=True)
+        who, before, after = extend(rows["anchor"].to_numpy(), rows["left"].to_numpy(np.int64), [_words(x) for x in rows["words"]], window, gram)
+        return pd.DataFrame({"anchor": rows["anchor"].to_numpy()[who], "reach": rows["reach"].to_numpy()[who], "before": before, "after": after})
+
+    return run
 
-    return texts.mapInArrow(run, "check int, content long, key long, start int")
+
+def _windows(window: int):
+    """The windows of wide anchors' representatives: (anchor, content, reach, before), ``before`` words of it before the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, reach, left, data in zip(*(batch[x].to_pylist() for x in ("anchor", "reach", "left", "words")), strict=True):
+                content = gram_hashes(_words(data), window)
+                n = len(content)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(signed(content)), pa.array(np.full(n, reach)), pa.array((left - np.arange(n)).astype(np.int32))], ["anchor", "content", "reach", "before"])
+
+    return run
+
+
+def find_repeats(base: DataFrame, window: int, gram: int) -> DataFrame:
+    """(key, spans) of the texts of ``base`` (key, text) that hold repeats: (start, end) in words."""
+    found = find_seeds(base, window, gram).withColumn("place", F.xxhash64("key", "first"))
+    several = F.min("place") != F.max("place")
+    anchors = stored(found.groupBy("anchor").agg(several.alias("several"), (F.min("reach") != F.max("reach")).alias("mixed")).filter("several").drop("several"))
+    joined = stored(found.join(anchors, "anchor"))
+    mixed = joined.filter("mixed").drop("mixed")
+    classes = stored(mixed.groupBy("anchor", "reach").agg(several.alias("whole"), F.min(F.struct("key", "first", "at", "last")).alias("seed")))
+    widths = stored(classes.groupBy("anchor").agg((F.count(F.lit(1)) > WIDE).alias("wide")))
+    n_classes = classes.count()
+    listed = classes.join(widths, "anchor").select("seed.*", "anchor", "reach", "wide")
+    by_text = listed.groupBy("key").agg(F.collect_list(F.struct("first", "at", "last", "anchor", "reach", "wide")).alias("seeds"))
+    reaches = stored(cut_reaches(base.join(by_text, "key"), window))
+    grouped = reaches.filter("not wide").withColumn("g", F.pmod(F.xxhash64("anchor"), F.lit(max(1, n_classes // GROUP))))
+    spans = grouped.groupBy("g").applyInPandas(_extended(window, gram), "anchor long, reach long, before int, after int")
+    wide = reaches.filter("wide")
+    if not wide.isEmpty():
+        windows = wide.mapInArrow(_windows(window), "anchor long, content long, reach long, before int")
+        twice = stored(windows.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+        again = windows.join(twice, ["anchor", "content"]).select("anchor", "reach", "before", (F.lit(window - gram) - F.col("before")).alias("after"))
+        spans = spans.unionByName(again)
+    # A class of several seeds repeats over its whole reach.
+    results = stored(spans.join(classes.filter("whole"), ["anchor", "reach"], "left_anti").unionByName(classes.filter("whole").select("anchor", "reach", F.lit(-1).alias("before"), F.lit(-1).alias("after"))))
+    whole = F.col("before") < 0
+    start = F.when(whole, F.col("first")).otherwise(F.col("at") - F.col("before"))
+    end = F.when(whole, F.col("last") + window).otherwise(F.col("at") + gram + F.col("after"))
+    covered = mixed.join(results, ["anchor", "reach"]).select("key", start.alias("start"), end.alias("end"))
+    covered = covered.unionByName(joined.filter("not mixed").select("key", F.col("first").alias("start"), (F.col("last") + window).alias("end")))
+    out = stored(covered.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    discard(anchors, joined, classes, widths, reaches, results)
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document.
 
     With ``keep_text`` also all columns of ``docs``, the text replaced by the
-    kept words joined by blanks where any was removed.
+    kept words joined by blanks where any was removed; columns named like the results are replaced.
     """
-    base = docs.select("doc_id", "text", *[x for x in docs.columns if keep_text and x not in ("doc_id", "text")], row_key("doc_id", "text").alias("_key"))
-    full, base = base, base.select("doc_id", "text", F.col("_key").alias("key"))
-    found = find_seeds(base, window, gram)
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("reach") != F.max("reach")).alias("mixed")).filter("n > 1").drop("n")
-    anchors = cut(anchors)  # a join of two plain exchanges can be split where an anchor is hot
-    joined = found.drop("reach").join(anchors, "anchor")
-    seed = F.struct("first", "last", "anchor")
-    # By document: seeds repeated over their whole reach, and seeds to extend.
-    by_doc = joined.groupBy("key").agg(F.collect_list(F.when(~F.col("mixed"), F.struct("first", "last"))).alias("whole"), F.collect_list(F.when(F.col("mixed"), seed)).alias("seeds"))
-    by_doc = cut(by_doc)
-    # The texts are shuffled once: both joins ask for the same columns, so Spark reuses the exchange.
-    texts = base.join(by_doc.filter(F.size("seeds") > 0).select("key", "seeds"), "key").select("doc_id", "text", "key", "seeds")
-    windows = extend_seeds(texts, window)
-    twice = windows.groupBy("check", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    single = windows.join(twice, ["check", "content"]).groupBy("key").agg(F.collect_set("start").alias("single"))
-    covered = by_doc.select("key", "whole").join(single, "key", "left").select("key", "whole", "single")
+    added = StructType.fromDDL("n_words long, n_removed long, kept_sha256 string")
+    docs_columns = [x for x in docs.columns if x not in added.names] if keep_text else ["doc_id"]
+    names = [*docs_columns, *added.names]
+    own = {x: f"c{i}" for i, x in enumerate(dict.fromkeys([*docs_columns, "text"]))}  # no name clashes with ours
+    full = docs.select(*[F.col(f"`{x}`").alias(c) for x, c in own.items()], row_key("text").alias("_key"))
+    base = full.select(F.col("_key").alias("key"), F.col(own["text"]).alias("text"))
+    spans = find_repeats(base, window, gram)
+    copied = stored(base.filter(F.col("text").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.lit(True).alias("copied")))
+    marks = spans.join(copied, "key", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, digests, kept = [], [], [], []
-            for text, whole, single in zip(batch["text"], batch["whole"], batch["single"], strict=True):
+            for text, found, copied in zip(batch[own["text"]], batch["spans"], batch["copied"].to_pylist(), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                edges = np.zeros(len(words) + 1, np.int64)
-                for x in whole.as_py() or ():
-                    edges[x["first"]] += 1
-                    edges[x["last"] + window] -= 1
-                for x in single.as_py() or ():
-                    edges[x] += 1
-                    edges[x + window] -= 1
-                stay = np.cumsum(edges[:-1]) == 0
-                if not stay.all():
-                    left = [words[i] for i in np.flatnonzero(stay).tolist()]
-                else:
-                    left = words
+                left = words
+                if copied and len(words) >= window:
+                    left = []
+                elif found.is_valid:
+                    edges = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edges, found.values.field(0).to_numpy(), 1)
+                    np.add.at(edges, found.values.field(1).to_numpy(), -1)
+                    left = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
                 counts.append(len(words))
                 removed.append(len(words) - len(left))
                 out = b" ".join(left)
                 digests.append(hashlib.sha256(out).hexdigest())
                 if keep_text:
                     kept.append(text.as_py() if len(left) == len(words) else out.decode("utf-8", "surrogatepass"))
-            columns = [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-            if keep_text:
-                columns = [pa.array(kept, pa.string()) if x == "text" else batch[x] for x in docs_columns] + columns[1:]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [pa.array(kept, pa.string()) if x == "text" else batch[own[x]] for x in docs_columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names)
 
-    added = StructType.fromDDL("n_words long, n_removed long, kept_sha256 string")
-    docs_columns = docs.columns if keep_text else ["doc_id"]
-    names = [*docs_columns, *added.names]
     schema = StructType([*(docs.schema[x] for x in docs_columns), *added.fields])
-    joined = full.withColumnRenamed("_key", "key").join(covered, "key", "left")
-    return joined.select(*dict.fromkeys([*docs_columns, "doc_id", "text"]), "whole", "single").mapInArrow(run, schema)
+    joined = full.join(marks.withColumnRenamed("key", "_key"), "_key", "left")
+    return joined.select(*own.values(), "spans", "copied").mapInArrow(run, schema)

@@ -42,29 +42,6 @@ def split(text):
     return (text or "").encode().split()
 
 
-def test_repeats(docs, corpus):
-    seen = Counter()
-    for _, text, *_ in corpus:
-        w = split(text)
-        seen.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
-    want = {}
-    for i, text, *_ in corpus:
-        w = split(text)
-        gone = set()
-        for k in range(len(w) - 34):
-            if seen[tuple(w[k : k + 35])] > 1:
-                gone.update(range(k, k + 35))
-        want[i] = (len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest())
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove_repeats(docs).collect()}
-    assert got == want and any(x[1] for x in want.values())
-
-
-def test_repeated_rows_are_repeats_of_each_other(spark):
-    row = (1, " ".join(f"a{i}" for i in range(40)), "en", "s", 0, 0.0, "")
-    got = repeats.remove_repeats(spark.createDataFrame([row, row], DOCS)).collect()
-    assert [r["n_removed"] for r in got] == [40, 40]
-
-
 def test_jaccard(docs, corpus):
     sets = {}
     for i, text, *_ in corpus:
