@@ -3,12 +3,13 @@
 The kernel of two texts is the normalised number of character n-grams (blended
 spectrum, n = 1 to 4, presence only) they share. Landmark documents give the
 Nyström map; one-versus-rest kernel ridge regression is solved in that space.
-Texts are scored by batched products of their presence rows with the landmark
-presence matrix folded with the dual weights.
+Texts are scored by batched matrix products: the presence rows of a batch, as one sparse
+matrix, times the landmark presence matrix folded with the dual weights.
 
 The model is fitted on a bounded sample: at most ``sample_per_language``
 documents of each language, and of them ``landmarks`` landmarks or two a language
-if that is more, each language having one at least. All documents are
+if that is more, each language having one at least. Every language is learned; the model has 2**16
+numbers for each, and the sample grows with their number. All documents are
 scored over their whole text.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; null
@@ -19,6 +20,7 @@ go to the language first in code-point order; equal rows get equal results.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,8 @@ SIZES = range(1, 5)
 BITS = 16
 LANDMARKS = 192
 SAMPLE_PER_LANGUAGE = 300
-LANGUAGES = 512
+#: Entries of a sparse batch matrix that are multiplied at a time.
+ENTRIES = 500_000
 RIDGE = 1e-2
 DIVISOR, HELD_OUT = 5, 0
 
@@ -82,15 +85,16 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS) ->
     mapped = cross @ root
     targets = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # Languages weigh alike, whatever their number of rows.
-    share = np.array([1.0 / langs.count(x) for x in langs])[:, None]
+    counts = Counter(langs)
+    share = np.array([1.0 / counts[x] for x in langs])[:, None]
     dual = np.linalg.solve(mapped.T @ (share * mapped) + RIDGE * np.eye(mapped.shape[1]), mapped.T @ (share * targets))
     return names, (land.T @ (root @ dual).astype(np.float32)).astype(np.float32)
 
 
 def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     learn = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(DIVISOR, HELD_OUT))
-    # The most frequent LANGUAGES languages at most; of each, the rows with the least hash of their id.
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    # Of each language, the rows with the least hash of their id.
+    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fit([], [])
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.5 * sample_per_language / n + 20 / n))])
@@ -103,30 +107,41 @@ def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> tu
     return fit([np.frombuffer(r["features"], np.int32) for r in kept], [r["lang"] for r in kept])
 
 
+def sparse_product(rows: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """The product of a sparse 0/1 matrix, given by the sorted columns of each row, with a dense one."""
+    out = np.zeros((len(rows), table.shape[1]))
+    sizes = np.array([len(x) for x in rows], np.int64)
+    group = np.cumsum(sizes) // ENTRIES
+    for g in np.unique(group):
+        own = np.flatnonzero((group == g) & (sizes > 0))
+        if len(own):
+            starts = np.cumsum(sizes[own]) - sizes[own]
+            out[own] = np.add.reduceat(table[np.concatenate([rows[i] for i in own])], starts, axis=0, dtype=np.float64)
+    return out
+
+
 def predict(docs: DataFrame, names: list[str], weights: np.ndarray) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to all columns of ``docs`` (which needs ``text``)."""
     shared = docs.sparkSession.sparkContext.broadcast((names, weights))
 
     def run(batches):
         languages, table = shared.value
+        said = np.array([*languages, "und"], dtype=object)
         for batch in batches:
             for a, b in chunks(batch["text"]):
                 part = batch.slice(a, b - a)
-                said, sure = [], []
-                for found in presence(part["text"], SIZES, BITS, letters_only=True):
-                    # The blank alone is no letter, so a text without letters has no n-gram of one.
-                    if not len(found) or not languages:
-                        said.append("und")
-                        sure.append(0.0)
-                        continue
-                    f = table[found].sum(axis=0) / np.sqrt(len(found))
-                    best = int(np.argmax(f))
-                    said.append(languages[best])
-                    sure.append(float(min(1.0, max(0.0, (f[best] + 1) / 2))))
+                rows = list(presence(part["text"], SIZES, BITS, letters_only=True))
+                sizes = np.array([len(x) for x in rows], np.int64)
                 blank = np.asarray(pc.fill_null(pc.invert(pc.match_substring_regex(part["text"], r"\p{L}")), True).to_numpy(zero_copy_only=False), dtype=bool)
-                said = ["und" if x else s for s, x in zip(said, blank, strict=True)]
-                sure = [0.0 if x else s for s, x in zip(sure, blank, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string()), pa.array(sure, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                none = blank | (sizes == 0) | (not languages)
+                if languages:
+                    f = sparse_product(rows, table) / np.sqrt(np.maximum(sizes, 1))[:, None]
+                    best = np.argmax(f, axis=1)
+                    sure = np.clip((f[np.arange(len(rows)), best] + 1) / 2, 0, 1)
+                else:
+                    best, sure = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+                found = said[np.where(none, len(languages), best)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(np.where(none, 0.0, sure), pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 

@@ -7,10 +7,13 @@ between the classes beyond chance (G statistic) carry weight.
 
 The classifier is fitted on a bounded sample of labelled rows: at most
 ``sample_per_class`` of each class, those with the least hash of their id, and its
-intercept is moved back to the ratio of the classes among all labels. All
-documents are scored, over their whole text.
+intercept is moved back to the ratio of the classes among all labels. Of near copies of one
+label in the sample one counts, for a copied text must not count as evidence many times: rows are copies if
+``COPY`` of their min-hashes of five-word shingles agree (``HASHES`` of them, an estimate of the
+Jaccard similarity). The driver gets these min-hashes, counts of n-grams, and of each
+row the n-grams that have weight. All documents are scored, over their whole text.
 
-Cases: null and empty texts get the model's score of a text with no feature;
+Cases: of several documents of one id one stands for it in the sample; null and empty texts get the model's score of a text with no feature;
 documents with several labels count as toxic if one of them is; null labels are
 none; without both classes, every score is the share of toxic among the labelled
 (0 without labels); equal rows get equal scores; extra columns are left out.
@@ -21,13 +24,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .charfeat import BITS, presence
-from .common import chunks, gram_hashes, mix, word_hashes
+from .common import chunks, discard, gram_hashes, mix, stored, word_hashes
 
 SIZES = range(3, 7)
 SAMPLE_PER_CLASS = 2500
@@ -36,6 +40,9 @@ G_LEAST = 24.0
 SMOOTH = 0.5
 PENALTY = 1.0
 DIVISOR, HELD_OUT = 4, 2
+#: Near copies among the sampled rows.
+HASHES, COPY = 64, 0.8
+PIECES = 64
 #: Texts whose n-grams a worker holds at a time; a longer text is held by itself.
 TEXT_BYTES = 1 << 20
 
@@ -45,7 +52,7 @@ def held_out(divisor: int, remainder: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(divisor)) == remainder
 
 
-def sketches(texts: pa.Array, words: int = 5, count: int = 6) -> list[list[int]]:
+def sketches(texts: pa.Array, words: int = 5, count: int = HASHES) -> list[list[int]]:
     """Min-hashes of each text's word shingles, to tell copies among the training rows."""
     hashes, offsets = word_hashes(texts, lower=True)
     out = []
@@ -60,42 +67,58 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in chunks(batch["text"], TEXT_BYTES):
             part = batch.slice(a, b - a)
             found = [x.astype(np.int32).tobytes() for x in presence(part["text"], SIZES)]
-            yield pa.RecordBatch.from_arrays([part["label"], pa.array(found, pa.binary()), pa.array(sketches(part["text"]), pa.list_(pa.int64()))], ["label", "features", "sketch"])
+            yield pa.RecordBatch.from_arrays([part["row"], part["label"], pa.array(found, pa.binary()), pa.array(sketches(part["text"]), pa.list_(pa.int64()))], ["row", "label", "features", "sketch"])
 
 
 def without_copies(rows: list) -> list:
-    """The first of each group of copies with one label: a copied text must not count as evidence many times.
-
-    Copies agree in most of their min-hashes; a passage that other texts have too makes no copy.
-    """
+    """The first of each group of copies with one label."""
     kept: dict[int, list[np.ndarray]] = {}
     out = []
     for r in rows:
         have, own = kept.setdefault(r["label"], []), np.array(r["sketch"])
-        if not have or not (2 * (np.array(have) == own).sum(axis=1) > len(own)).any():
+        if not have or not ((np.array(have) == own).sum(axis=1) >= COPY * len(own)).any():
             out.append(r)
             have.append(own)
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """(weight of each feature, intercept) from presence sets and 0/1 labels."""
-    weights = np.zeros(1 << bits)
+def _counts(bits: int):
+    """In how many rows of each label each n-gram is, in ``PIECES`` parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << bits), np.int32)
+        for batch in batches:
+            for label, found in zip(batch["label"].to_pylist(), batch["features"], strict=True):
+                total[int(label > 0), np.frombuffer(found.as_buffer(), np.int32)] += 1
+        parts = [x.tobytes() for x in np.split(total, PIECES, axis=1)] if total.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
+
+    return run
+
+
+def _add_counts(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"piece": rows["piece"].iloc[:1], "counts": [np.sum([np.frombuffer(x, np.int32) for x in rows["counts"]], axis=0, dtype=np.int32).tobytes()]})
+
+
+def choose(p: np.ndarray, q: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """The n-grams whose presence (in ``p`` toxic and ``q`` clean rows) differs beyond chance, by the G statistic."""
+    n, g = float(toxic + clean), np.zeros(len(p))
+    for seen, size in ((p, toxic), (q, clean)):
+        for observed, expected in ((seen, (p + q) * size / n), (size - seen, (n - p - q) * size / n)):
+            g += 2 * observed * np.log(np.where((observed > 0) & (expected > 0), observed / np.maximum(expected, 1e-12), 1.0))
+    return np.flatnonzero(g >= G_LEAST)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of each n-gram, intercept) from presence sets, 0/1 labels, and in how many toxic and clean rows each n-gram is."""
+    weights = np.zeros(len(p))
     toxic, clean = int(labels.sum()), int((1 - labels).sum())
     if not toxic or not clean:
         share = toxic / len(labels) if len(labels) else 0.0
         return weights, float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    p, q = np.zeros(1 << bits), np.zeros(1 << bits)
-    for x, label in zip(rows, labels, strict=True):
-        (p if label else q)[x] += 1
-    # G statistic of presence against class, for the choice of n-grams.
-    n, g = float(toxic + clean), np.zeros(1 << bits)
-    for seen, size in ((p, toxic), (q, clean)):
-        for observed, expected in ((seen, (p + q) * size / n), (size - seen, (n - p - q) * size / n)):
-            g += 2 * observed * np.log(np.where((observed > 0) & (expected > 0), observed / np.maximum(expected, 1e-12), 1.0))
-    chosen = np.flatnonzero(g >= G_LEAST)
+    chosen = choose(p, q, toxic, clean)
     ratio = np.log((p[chosen] + SMOOTH) / (toxic + 2 * SMOOTH)) - np.log((q[chosen] + SMOOTH) / (clean + 2 * SMOOTH))
-    place = np.full(1 << bits, -1)
+    place = np.full(len(p), -1)
     place[chosen] = np.arange(len(chosen))
     columns = [place[x][place[x] >= 0] for x in rows]
     column, row = np.concatenate(columns), np.repeat(np.arange(len(rows)), [len(x) for x in columns])
@@ -143,7 +166,7 @@ def prior_shift(toxic: int, clean: int, sample_per_class: int) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, float]:
     """Fit on the labelled documents outside the held-out fold."""
-    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label")).filter(~held_out(DIVISOR, HELD_OUT))
+    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).filter(~held_out(DIVISOR, HELD_OUT))
     order = F.xxhash64("doc_id", F.lit(7))
     # At most 2 * sample_per_class ids, whatever the number of labels; how many there are of each class is counted over all.
     sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -151,11 +174,30 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
     for label in (1, 0):
         some = marked.filter(F.col("label") == label).orderBy(order, "doc_id").limit(sample_per_class)
         picked = some if picked is None else picked.unionByName(some)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("label").cast("int").alias("label"))
-    found = sample.mapInArrow(_features, "label int, features binary, sketch array<long>").collect()
-    found.sort(key=lambda r: (r["label"], bytes(r["features"])))
-    found = without_copies(found)
-    weights, intercept = fit([np.frombuffer(r["features"], np.int32) for r in found], np.array([r["label"] for r in found], dtype=int))
+    once = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
+    sample = once.select(F.xxhash64("doc_id").alias("row"), "text", F.col("label").cast("int").alias("label"))
+    found = stored(sample.mapInArrow(_features, "row long, label int, features binary, sketch array<long>"))
+    sketched = sorted(found.select("row", "label", "sketch").collect(), key=lambda r: (r["label"], r["row"]))
+    kept = {r["row"] for r in without_copies(sketched)}
+    kept_rows = found.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in sorted(kept)], "row long")), "row")
+    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for r in kept_rows.select("label", "features").mapInArrow(_counts(BITS), "piece int, counts binary").groupBy("piece").applyInPandas(_add_counts, "piece int, counts binary").collect():
+        size = (1 << BITS) // PIECES
+        own = slice(r["piece"] * size, (r["piece"] + 1) * size)
+        q[own], p[own] = np.frombuffer(r["counts"], np.int32).reshape(2, size)
+    n = {label: sum(r["label"] == label and r["row"] in kept for r in sketched) for label in (0, 1)}
+    wanted = np.zeros(1 << BITS, bool)
+    if n[0] and n[1]:
+        wanted[choose(p, q, n[1], n[0])] = True
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int32) for x in batch["features"]]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["label"], pa.array([x[wanted[x]].tobytes() for x in own], pa.binary())], ["row", "label", "features"])
+
+    rows = sorted(kept_rows.select("row", "label", "features").mapInArrow(few, "row long, label int, features binary").collect(), key=lambda r: (r["label"], r["row"]))
+    discard(found)
+    weights, intercept = fit([np.frombuffer(r["features"], np.int32) for r in rows], np.array([r["label"] for r in rows], dtype=int), p, q)
     return weights, intercept + prior_shift(sizes.get(1, 0), sizes.get(0, 0), sample_per_class)
 
 

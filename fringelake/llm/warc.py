@@ -14,12 +14,12 @@ Cases: null URLs match nothing; null times sort first; captures of one time
 sort by record id, then by content; a revisit of no earlier response is ``unresolved``; a
 response without validators, or a revisit without any, is ``no_validator``;
 disagreeing validators give ``mismatch``; responses are passed through as
-``response``; equal rows are separate captures; extra columns are left out.
+``response``; entity tags agree by weak comparison; equal rows are separate captures; extra columns are left out.
 """
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,13 +38,19 @@ def canonical_url(url: Column) -> Column:
     scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     rest = F.regexp_replace(text, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r":(80|443)$", "")
+    host = F.regexp_replace(host, r"^www\.", "")
+    host = F.when(scheme == "https", F.regexp_replace(host, r":443$", "")).when(scheme.isin("", "http"), F.regexp_replace(host, r":80$", "")).otherwise(host)
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/+$", "")
     query = F.regexp_extract(rest, r"\?(.*)$", 1)
     ordered = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike("^(utm_[A-Za-z]*|ref)(=|$)"))), "&")
     return F.concat(F.when(scheme == "", F.lit("http")).when(scheme == "https", F.lit("http")).otherwise(scheme), F.lit("://"), host, path, F.when(ordered != "", F.concat(F.lit("?"), ordered)).otherwise(F.lit("")))
 
 
+def opaque(tag: Column) -> Column:
+    """What weak comparison sees of an entity tag (RFC 9110, 8.8.3.2): not whether it is weak."""
+    return F.regexp_replace(F.trim(tag), "^W/", "")
+
+
 def body_key() -> Column:
     """16 bytes that tell captures apart as far as their bodies differ: equal and null ids are no matter."""
     return F.unhex(F.md5(F.to_json(F.struct("record_id", "url", "ts", "kind", F.sha2(F.col("body"), 256).alias("digest")))))
@@ -85,7 +91,7 @@ def resolve_revisits(captures: DataFrame, partitions: int | None = None) -> Data
     status = (
         F.when(F.col("kind") != "revisit", F.lit("response"))
         .when(got.isNull(), F.lit("unresolved"))
-        .when(F.col("etag").isNotNull() & got["etag"].isNotNull(), F.when(F.col("etag") == got["etag"], F.lit("resolved")).otherwise(F.lit("mismatch")))
+        .when(F.col("etag").isNotNull() & got["etag"].isNotNull(), F.when(opaque(F.col("etag")) == opaque(got["etag"]), F.lit("resolved")).otherwise(F.lit("mismatch")))
         .when(F.col("last_modified").isNotNull() & got["last_modified"].isNotNull(), F.when(F.col("last_modified") == got["last_modified"], F.lit("resolved")).otherwise(F.lit("mismatch")))
         .otherwise(F.lit("no_validator"))
     )
@@ -105,22 +111,65 @@ def with_bodies(resolved: DataFrame, captures: DataFrame) -> DataFrame:
     return resolved.join(bodies, "body_key", "left").drop("body_key")
 
 
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes, plain or gzip members: {headers, block}; a damaged tail ends the reading."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+#: Bytes that are unpacked at a time, and the most records of a batch.
+PORTION, RECORDS = 1 << 20, 256
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file in portions, its gzip members unpacked one after another; a damaged member ends them."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), PORTION):
+            yield data[at : at + PORTION]
+        return
     at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof and at < len(data):
+            piece = data[at : at + PORTION]
+            try:
+                out = member.decompress(piece)
+            except zlib.error:
+                return
+            at += len(piece) - len(member.unused_data)
+            if out:
+                yield out
+        if not member.eof:
             return
-        lines = data[start:end].decode("utf-8", "replace").split("\r\n")
+
+
+def parse_records(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file's bytes, plain or gzip members: {headers, block}; a damaged tail ends the reading.
+
+    One record, and a portion of the file, are held unpacked at a time.
+    """
+    portions, held = _unpacked(data), b""
+
+    def more(least: int) -> bool:
+        nonlocal held
+        parts, size = [held], len(held)
+        while size < least and (part := next(portions, None)) is not None:
+            parts.append(part)
+            size += len(part)
+        held = b"".join(parts)
+        return size >= least
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0:
+            held = held[-4:]
+            if not more(len(held) + 1):
+                return
+        held = held[start:]
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more(len(held) + 1):
+                return
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = int(headers.get("content-length", 0) or 0)
-        if end + 4 + length > len(data):
+        length = headers.get("content-length", "0")
+        length = int(length) if length.isdecimal() else 0
+        if not more(end + 4 + length):
             return
-        yield {"headers": headers, "block": data[end + 4 : end + 4 + length]}
-        at = end + 4 + length
+        yield {"headers": headers, "block": held[end + 4 : end + 4 + length]}
+        held = held[end + 4 + length :]
 
 
 def _http(block: bytes) -> tuple[dict, str]:
@@ -130,26 +179,41 @@ def _http(block: bytes) -> tuple[dict, str]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Captures (``CAPTURE`` columns) of the response and revisit records of WARC files."""
+    """Captures (``CAPTURE`` columns) of the response and revisit records of WARC files; a date that is none is null.
+
+    A file is one row of bytes; its records are unpacked one at a time.
+    """
     import datetime
 
     import pandas as pd
     import xxhash
 
+    names = ["record_id", "url", "ts", "kind", "etag", "last_modified", "headers", "body"]
+
+    def moment(text: str) -> int | None:
+        try:
+            return int(datetime.datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp())
+        except ValueError:
+            return None
+
     def run(batches):
         for batch in batches:
-            rows = []
             for data in batch["content"]:
+                rows = []
                 for r in parse_records(data):
                     h = r["headers"]
                     if h.get("warc-type") not in ("response", "revisit"):
                         continue
                     http, body = _http(r["block"])
                     when = h.get("warc-date", "")
-                    ts = int(datetime.datetime.fromisoformat(when.replace("Z", "+00:00")).timestamp()) if when else None
+                    ts = moment(when)
                     rid = xxhash.xxh3_64_intdigest(h.get("warc-record-id", "").encode()) >> 1
                     rows.append((rid, h.get("warc-target-uri"), ts, h["warc-type"], http.get("etag"), http.get("last-modified"), http, body if h["warc-type"] == "response" else None))
-            yield pd.DataFrame(rows, columns=["record_id", "url", "ts", "kind", "etag", "last_modified", "headers", "body"])
+                    if len(rows) == RECORDS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, CAPTURE)
 

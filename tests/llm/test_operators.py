@@ -104,13 +104,6 @@ def test_sketch_counts_are_packed():
         assert jaccard._counts(jaccard._packed(counts), 4).tolist() == counts.tolist()
 
 
-def test_leaks(spark, docs, corpus):
-    item = split(corpus[10][1] or "")
-    bench = spark.createDataFrame([(0, " ".join(x.decode() for x in split(corpus[6][1])[100:140])), (1, None), (2, ""), (3, words(random.Random(9), 30, "q"))], "item_id long, text string")
-    got = decontaminate.find_leaks(docs, bench).collect()
-    assert item and [(r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in got] == [(6, 0, 1.0, 100)]
-
-
 def test_mixing(docs):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == docs.count()
@@ -133,22 +126,6 @@ def test_flight_keeps_the_totals():
     assert abs(out.sum() - 60) < 1e-6 and abs(out @ size - 0.3 * size.sum()) < 1e-3
 
 
-def test_top_k(spark):
-    rng = random.Random(2)
-    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], 0) for i in range(300)]
-    rows += [(300, None, 0), (301, [float("nan")] * 8, 0), (302, [None] + [1.0] * 7, 0)]
-    import math
-
-    q = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows[:300]}
-    want = []
-    for i in q:
-        if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i)[:5]
-            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 50 == 0, block_rows=32).collect()
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
-
-
 @pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary file")
 def test_tokens_match_the_public_tokenizer(docs, corpus):
     from tokenizers import Tokenizer, models, pre_tokenizers
@@ -181,13 +158,6 @@ def test_toxicity_sample_keeps_the_ratio_of_the_classes(spark):
     assert abs(1 / (1 + math.exp(-whole)) - 0.1) < 0.03 and abs(1 / (1 + math.exp(-sampled)) - 0.1) < 0.03
 
 
-def test_only_copies_of_one_label_leave_the_toxicity_fit():
-    row = lambda label, *sketch: {"label": label, "sketch": list(sketch)}
-    first = row(0, 1, 2, 3, 4, 5, 6)
-    rows = [first, row(0, 1, 2, 3, 4, 5, 7), row(0, 1, 12, 13, 14, 15, 16), row(1, 1, 2, 3, 4, 5, 6), row(1, 1, 2, 3, 4, 5, 6)]
-    assert toxicity.without_copies(rows) == [first, rows[2], rows[3]]
-
-
 def test_every_language_has_a_landmark():
     import numpy as np
 
@@ -250,5 +220,7 @@ def test_empty_tables(spark):
     assert langid.identify(none).count() == 0
     assert pitmanyor.score_all(none).count() == 0
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), F.col("vec_id") % 50 == 0).count() == 0
+    some = spark.createDataFrame([(1, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int")
+    assert toxicity.classify(none, some).count() == 0
     assert decontaminate.find_leaks(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert warc.resolve_revisits(spark.createDataFrame([], warc.CAPTURE)).count() == 0
