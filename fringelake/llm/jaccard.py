@@ -4,7 +4,7 @@ Documents are sets of distinct word shingles; equal sets are one node. Two nodes
 link when ``100 * |intersection| >= percent * |union|``. The join is exact:
 
 1. Shingles are ordered globally, rare ones first by a bounded count sketch of all
-   documents, ties by hash; any order gives the same result.
+   documents, ties by hash; any order gives the same result. Prefixes and tries are in this order.
 2. Linked sets share a shingle among the first ``n - ceil(percent * n / 100) + 1``
    of each. Those prefixes are posted and shuffled once, by shingle; shingles of one node
    only are dropped there. Shingles that the sketch calls hot are dealt by node and all kept.
@@ -78,12 +78,24 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 class PrefixTree:
-    """A trie of ordered sets, with edges of several elements."""
+    """A trie of sets in the global order (rare ones first by ``counts``, a sketch), with edges of several elements.
 
-    def __init__(self, sets: list[np.ndarray]):
+    Elements are held as their places in the order of the tree's own elements.
+    """
+
+    def __init__(self, sets: list[np.ndarray], counts: np.ndarray | None = None):
         self.values = np.unique(np.concatenate(sets))
-        order = sorted(range(len(sets)), key=[s.astype(">u8").tobytes() for s in sets].__getitem__)
-        self.root = self._grow([(sets[i], i) for i in order], 0)
+        common = np.zeros(len(self.values)) if counts is None else counts[(self.values & np.uint64(len(counts) - 1)).astype(np.int64)]
+        self.rank = np.empty(len(self.values), np.int64)
+        self.rank[np.lexsort((self.values, common))] = np.arange(len(self.values))
+        placed = [self.places(s) for s in sets]
+        order = sorted(range(len(sets)), key=[s.astype(">u4").tobytes() for s in placed].__getitem__)
+        self.root = self._grow([(placed[i], i) for i in order], 0)
+
+    def places(self, query: np.ndarray) -> np.ndarray:
+        """The places of those elements that the tree has, in order."""
+        at = np.minimum(np.searchsorted(self.values, query), len(self.values) - 1)
+        return np.sort(self.rank[at[self.values[at] == query]])
 
     def _grow(self, rows: list[tuple[np.ndarray, int]], depth: int) -> tuple:
         """(edge, members that end here, children, least size, greatest size) of the rows that share ``depth`` elements."""
@@ -103,18 +115,18 @@ class PrefixTree:
         return first[depth:end], members, children, min(sizes), max(sizes)
 
     def linked(self, query: np.ndarray, percent: int) -> list[int]:
-        """Members whose Jaccard similarity with the (ordered) query is ``percent`` % or more."""
-        size, found = len(query), []
-        stack = [(self.root, 0, 0, 0)]
+        """Members whose Jaccard similarity with the query is ``percent`` % or more."""
+        size, own, found = len(query), self.places(query), []
+        stack = [(self.root, 0, 0, 0)] if len(own) else []
         while stack:
             (edge, members, children, least, most), overlap, depth, passed = stack.pop()
             if len(edge):
-                at = np.searchsorted(query, edge)
-                overlap += int((query[np.minimum(at, size - 1)] == edge).sum())
+                at = np.searchsorted(own, edge)
+                overlap += int((own[np.minimum(at, len(own) - 1)] == edge).sum())
                 depth += len(edge)
-                passed = int(np.searchsorted(query, edge[-1], side="right"))
+                passed = int(np.searchsorted(own, edge[-1], side="right"))
             # overlap / (size + s - overlap) >= percent / 100, at best for the least size below.
-            if (100 + percent) * (overlap + min(size - passed, most - depth)) < percent * (size + max(least, depth)):
+            if (100 + percent) * (overlap + min(len(own) - passed, most - depth)) < percent * (size + max(least, depth)):
                 continue
             if members and (100 + percent) * overlap >= percent * (size + depth):
                 found += members
@@ -132,9 +144,7 @@ class PrefixTree:
         sizes = np.array([len(q) for q in queries])
         has = np.zeros((len(self.values) + 1, len(queries)), np.int8)
         for i, q in enumerate(queries):
-            at = np.searchsorted(self.values, q)
-            same = self.values[np.minimum(at, len(self.values) - 1)] == q
-            has[at[same] + 1, i] = 1
+            has[self.places(q) + 1, i] = 1
         # so_far[v]: shingles of a query among the first v values of the tree.
         so_far = np.cumsum(has, axis=0, dtype=np.int32)
         everyone = np.arange(len(queries))
@@ -142,7 +152,7 @@ class PrefixTree:
         while stack:
             (edge, members, children, least, most), overlap, depth, passed, who = stack.pop()
             if len(edge):
-                at = np.searchsorted(self.values, edge) + 1
+                at = edge + 1
                 overlap = overlap + has[at].sum(axis=0, dtype=np.int64)[who]
                 depth += len(edge)
                 passed = int(at[-1])
@@ -329,7 +339,7 @@ def _block_pairs(open_: DataFrame, blocks: DataFrame, percent: int) -> DataFrame
     return stored(between.unionByName(spans.filter("low < high").select(F.col("block").alias("x"), F.col("block").alias("y"))))
 
 
-def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     """Links (a, b) that join the components of ``open_`` as far as its nodes are linked."""
     blocks = _blocks(open_)
     pairs = _block_pairs(open_, blocks, percent)
@@ -348,7 +358,7 @@ def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, n: int, per
             ids_a, comps_a = first["node"].to_numpy(), first["comp"].tolist()
             ids_b, comps_b = second["node"].to_numpy(), second["comp"].tolist()
             forest = Forest()
-            for member, found in PrefixTree(sets).joined(queries, percent):
+            for member, found in PrefixTree(sets, sketch.value).joined(queries, percent):
                 for i in found.tolist():
                     if forest.join(comps_a[i], comps_b[member]):
                         out_a.append(ids_a[i])
@@ -358,7 +368,7 @@ def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, n: int, per
     return rows.groupBy("g").applyInPandas(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     """The linked ones of ``pairs`` (a, b)."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     placed = stored(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(13)), F.col("parts")).alias("part")))
@@ -375,7 +385,7 @@ def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent:
         for block, rows in others.drop_duplicates(["a", "b"]).groupby(["a", "part"], sort=False):
             sets = list(shingle_sets(pa.array(rows["other"], pa.string()), n))
             query = next(shingle_sets(pa.array([queries[block]], pa.string()), n))
-            found = PrefixTree(sets).linked(query, percent)
+            found = PrefixTree(sets, sketch.value).linked(query, percent)
             out_a += [block[0]] * len(found)
             out_b += rows["b"].to_numpy()[found].tolist()
         return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
@@ -400,23 +410,29 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
     sketch = base.sparkSession.sparkContext.broadcast(frequency_sketch(base, n))
     postings = stored(_shared_postings(_postings(base, n, percent, sketch)))
 
+    # Rows that are equal in id and text are sent to comparisons once.
+    again = stored(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key"))
+    texts = base.select("key", "text")
+    if not again.isEmpty():
+        texts = texts.join(again, "key", "left_anti").unionByName(texts.join(again, "key", "left_semi").dropDuplicates(["key"]))
     reps = nodes.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
 
     tried = stored(_star_pairs(postings, percent))
-    links = stored(_verify(tried, base, reps, n, percent))
+    links = stored(_verify(tried, texts, reps, n, percent, sketch))
     tested = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     open_ = _open_postings(postings.drop("low", "high"), links)
     rest = stored(_near_pairs(open_.filter(F.col("width") <= NARROW), percent).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = stored(links.unionByName(_verify(rest, base, reps, n, percent)))
+        links = stored(links.unionByName(_verify(rest, texts, reps, n, percent, sketch)))
     wide = open_.filter(F.col("width") > NARROW)
     if not wide.isEmpty():
-        links = stored(links.unionByName(_join_blocks(wide, base, reps, n, percent)))
+        links = stored(links.unionByName(_join_blocks(wide, texts, reps, n, percent, sketch)))
 
     if links.isEmpty():
         found = nodes.withColumn("comp", F.col("sid"))
     else:
         comp = components(links)
         found = nodes.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    named = found.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that the join with a hot component can be split.
+    named = stored(found.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     return found.join(named, "comp", "left").select("doc_id", "key", "comp", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -5,8 +5,10 @@ ratio ``r`` (target over size) is taken floor(r) times for sure and once more
 with inclusion probability r - floor(r). Which documents are taken once more is
 decided by the cube method: the probabilities of a block move along the null
 space of the balancing constraints (words and documents) until at most two per
-block are undecided; those meet the undecided of other blocks, level by level,
-and the last ones of each source are landed on the outcome nearest its target.
+block are undecided; those meet the undecided of other blocks, level by level.
+The last ones of each source, with up to ``RESERVE`` documents kept out of the last flight, are
+landed on the outcome nearest its target: these few (2 + ``RESERVE`` a source at most) are taken
+for the total's sake and not by a draw, all others with exactly their inclusion probability.
 
 Cases: null texts have size 0; null sources are one source, last in order;
 sources whose size is 0 have target 0; equal rows are separate documents;
@@ -145,7 +147,9 @@ def _fly(seed: int, last: bool):
 def mix_sources(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (= size * copies)."""
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
-    sized = cut(sized)
+    # Equal rows are numbered, so that they are dealt to different blocks.
+    same = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    sized = cut(same.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_same")))
     targets = cut(source_targets(sized, weights, share, most).withColumn("_source", F.monotonically_increasing_id()))
     n_sources, largest = targets.agg(F.count(F.lit(1)), F.max("n_docs")).first()
     small = targets.withColumnRenamed("source", "_name")
@@ -153,7 +157,7 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float =
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = joined.select(
         "doc_id", "source", "size", "source_size", "target", "_source", F.floor(ratio).alias("_sure"), (ratio - F.floor(ratio)).alias("_pi"),
-        F.ceil(F.col("n_docs") / block_rows).alias("_blocks"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("_row"),
+        F.ceil(F.col("n_docs") / block_rows).alias("_blocks"), F.xxhash64("doc_id", "size", "_same", F.lit(seed)).alias("_row"),
     )
     units = units.withColumn("_block", F.pmod("_row", "_blocks"))
     blocks = math.ceil((largest or 1) / block_rows)

@@ -18,6 +18,7 @@ columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -98,11 +99,11 @@ class Counter(dict):
         return pieces[size]
 
 
-def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]] | None = None) -> DataFrame:
-    """doc_id, n_words, n_tokens for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or read_vocabulary())
-    number = shared.id if hasattr(shared, "id") else id(shared)
-    token = f"{docs.sparkSession.sparkContext.applicationId}-{number}"
+def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]] | None = None, path: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_words, n_tokens for every document, under ``vocabulary`` or that of the file ``path``."""
+    pieces = vocabulary or read_vocabulary(path)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    token = hashlib.sha256(repr(pieces).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if token not in _counters:  # kept for the worker's next tasks
