@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringelake.llm import decontaminate, jaccard, mixing, repeats, toxicity
-from fringelake.llm.common import cut, ensure_checkpoint_dir, row_key, table
+from fringelake.llm.common import discard, row_key, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Up to so many row keys (8 bytes each) are broadcast; beyond, they are joined by shuffle.
@@ -22,7 +22,7 @@ SHINGLE, PERCENT = 5, 80
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is not in ``keys``."""
-    keys = cut(keys.distinct())
+    keys = stored(keys.distinct())
     keyed = docs.withColumn("_key", row_key("doc_id", "text"))
     gone = keys.select(F.col("key").alias("_key"))
     return keyed.join(F.broadcast(gone) if keys.count() <= BROADCAST_KEYS else gone, "_key", "left_anti").select(*docs.columns)
@@ -38,8 +38,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the least id stays; texts without words are no group."""
     docs = docs.select(*COLUMNS)
-    found = cut(jaccard.jaccard_components(docs, SHINGLE, PERCENT).filter("n_shingles > 0"))
-    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")).select("comp", F.col("best.key").alias("stays"))
+    found = stored(jaccard.jaccard_components(docs, SHINGLE, PERCENT).filter("n_shingles > 0"))
+    # Stored, so that the join with a hot component can be split.
+    best = stored(found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")).select("comp", F.col("best.key").alias("stays")))
     kept = _without(docs, found.join(best, "comp").filter("key <> stays").select("key"))
     same = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     if same.isEmpty():
@@ -79,15 +80,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    docs, before = table(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{folder}/{i}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = stored(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
