@@ -44,11 +44,13 @@ from pyspark.sql import functions as F
 from .common import BASE, discard, hash_values, mix, split_words, stored
 from .toxicity import held_out
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: About so many tokens are a bucket; a small corpus has up to ``LEAST_BUCKETS`` smaller ones.
-BUCKET_TOKENS, SMALL_BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 250_000, 8
+BUCKET_TOKENS, SMALL_BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 250_000, 8
 ROUNDS, BURN = 4, 1
 EXACT = 64
+#: Entries of a table of weights that is drawn from at a time.
+PLACES = 500_000
 SWEEPS, SINGLY, GROW = 4, 64, 0.05
 STRENGTH = 1.0
 DIVISOR, HELD_OUT = 10, 0
@@ -116,6 +118,7 @@ def _blocks(kind, block_bytes: int):
             rows = pa.Table.from_batches(held).combine_chunks()
             lengths, words, tokens = read_texts(rows["text"])
             own = [pa.array([number], pa.int64()), pa.array([rows["doc_id"].to_pylist()], pa.list_(kind)), pa.array([rows["held_out"].to_pylist()], pa.list_(pa.bool_())), pa.array([len(tokens)], pa.int64()), pa.array([pack(lengths, words, tokens)], pa.binary())]
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays(own, ["block", "doc_id", "held_out", "n", "texts"])
 
         for batch in batches:
@@ -128,7 +131,7 @@ def _blocks(kind, block_bytes: int):
                     yield out()
                     held, size, number = [], 0, number + 1
                     continue
-                held.append(batch.slice(start, stop - start))
+                held.append(pa.RecordBatch.from_arrays([x.take(pa.array(range(start, stop))) for x in batch.columns], batch.schema.names))  # a copy, for slices hold on to the whole batch
                 size += int(ends[stop - 1] - before)
                 start = stop
         if held:
@@ -249,8 +252,8 @@ def draw(customers: np.ndarray, parent: np.ndarray, others: np.ndarray, discount
     order = np.argsort(customers, kind="stable")
     cuts = np.searchsorted(customers[order], np.arange(2, exact + 2))
     for n, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), start=2):
-        for start in range(a, b, 1 + 2_000_000 // n):
-            own = order[start : min(b, start + 1 + 2_000_000 // n)]
+        for start in range(a, b, 1 + PLACES // n):
+            own = order[start : min(b, start + 1 + PLACES // n)]
             t = np.arange(n)
             weight = np.cumsum(np.log(STRENGTH + discount * (others[own, None] + t)), axis=1) + np.log(parent[own, None]) * (t + 1) + numbers[n, 1 : n + 1]
             total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
