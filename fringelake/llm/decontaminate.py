@@ -119,8 +119,8 @@ class MultiIndex:
     def _values(self, prints: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(prints).view({8: np.uint8, 16: np.uint16}[self.width]).reshape(len(prints), -1).astype(np.uint32)
 
-    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprint, indexed fingerprint) of the pairs within the radius, in order."""
+    def within(self, prints: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, indexed fingerprint) of the pairs within the radius, in order; ``wanted`` marks those of the index that matter."""
         found = []
         for start in range(0, len(prints), LOOKUPS):
             own = self._values(prints[start : start + LOOKUPS])
@@ -131,7 +131,8 @@ class MultiIndex:
                 at, which = np.nonzero(high > low)
                 counts = (high - low)[at, which].astype(np.int64)
                 items = order[expand(low[at, which].astype(np.int64), counts)]
-                pairs.append(np.repeat(at, counts) * len(self.prints) + items)
+                found_pairs = np.repeat(at, counts) * len(self.prints) + items
+                pairs.append(found_pairs if wanted is None else found_pairs[wanted[items]])
             both = np.unique(np.concatenate(pairs))
             at, item = both // len(self.prints), both % len(self.prints)
             close = np.bitwise_count(prints[start + at] ^ self.prints[item]).sum(axis=1) <= self.radius
@@ -153,10 +154,7 @@ class Items:
                 self.shingles.append(grams)
                 prints.append(fingerprints(grams, np.zeros(1, np.int64), len(grams))[0])
         self.sizes = np.array(self.words, np.int64)
-        prints = np.array(prints, np.uint64).reshape(-1, WORDS)
-        # Windows of one size are looked up among the items of that size.
-        self.of_size = {int(n): np.flatnonzero(self.sizes == n) for n in np.unique(self.sizes)}
-        self.index = {n: MultiIndex(prints[own], radius, blocks) for n, own in self.of_size.items()}
+        self.index = MultiIndex(np.array(prints, np.uint64).reshape(-1, WORDS), radius, blocks)
         pairs = [(g, j) for j, x in enumerate(self.shingles) for g in np.unique(x).tolist()]
         pairs.sort()
         self.keys = np.array([g for g, _ in pairs], np.uint64)
@@ -199,8 +197,9 @@ class Items:
             starts = np.flatnonzero(np.cumsum(marks)[: final + 1] >= needed(count, similarity))
             for part in np.split(starts, np.flatnonzero(np.diff(starts // SPAN)) + 1) if len(starts) else ():
                 low, high = int(part[0]), int(part[-1]) + count
-                at, found = self.index[size].within(fingerprints(grams[low:high], part - low, count))
-                for i, j in zip(at.tolist(), self.of_size[size][found].tolist(), strict=True):
+                # Windows of one size are looked up among the items of that size.
+                at, found = self.index.within(fingerprints(grams[low:high], part - low, count), self.sizes == size)
+                for i, j in zip(at.tolist(), found.tolist(), strict=True):
                     verify(j, int(part[i]), count)
         return [(j, *best[j]) for j in sorted(best)]
 
