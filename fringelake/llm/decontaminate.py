@@ -117,7 +117,7 @@ class MultiIndex:
         self.first = [np.searchsorted(own[order, k], np.arange((1 << self.width) + 1)).astype(np.int32) for k, order in enumerate(self.order)]
 
     def _values(self, prints: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(prints).view({8: np.uint8, 16: np.uint16}[self.width]).reshape(len(prints), -1).astype(np.uint32)
+        return np.ascontiguousarray(prints).view({8: np.uint8, 16: np.uint16}[self.width]).reshape(len(prints), BITS // self.width).astype(np.uint32)
 
     def within(self, prints: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(fingerprint, indexed fingerprint) of the pairs within the radius, in order; ``wanted`` marks those of the index that matter."""
