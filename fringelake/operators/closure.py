@@ -41,14 +41,68 @@ def average_phases(cphases: DataFrame, seconds: float) -> DataFrame:
     return cphases.groupBy("t1", "t2", "t3", bucket.alias("bucket")).agg((F.atan2(F.avg(F.sin(r)), F.avg(F.cos(r))) / DEGREE).alias("cphase"), (F.sqrt(F.sum(F.col("sigmacp") * F.col("sigmacp"))) / F.count(F.lit(1))).alias("sigmacp"), F.avg("time").alias("time"), F.count(F.lit(1)).alias("n"))
 
 
-def closure_amplitudes(vis: DataFrame) -> DataFrame:
-    """(12)(34)/((14)(23)) of stations in order, all four legs present."""
-    a = vis.select("time", "t1", "t2", cx.amplitude(cx.pair("vis")).alias("amp"), "sigma")
-    leg = lambda p, q, n: a.select("time", F.col("t1").alias(p), F.col("t2").alias(q), F.col("amp").alias(n), F.col("sigma").alias(f"{n}_s"))
-    j = leg("t1", "t2", "p").join(leg("t2", "t3", "r"), ["time", "t2"]).join(leg("t3", "t4", "q"), ["time", "t3"]).join(leg("t1", "t4", "s"), ["time", "t1", "t4"])
-    c = F.col("p") * F.col("q") / F.nullif(F.col("r") * F.col("s"), F.lit(0.0))
-    rel = lambda n: F.col(f"{n}_s") * F.col(f"{n}_s") / F.nullif(F.col(n) * F.col(n), F.lit(0.0))
-    return j.select("time", "t1", "t2", "t3", "t4", c.alias("camp"), (c * F.sqrt(rel("p") + rel("q") + rel("r") + rel("s"))).alias("sigmaca"))
+def average_bispectra(bispectra_: DataFrame, seconds: float, snr_cut: float = 0.0) -> DataFrame:
+    """Mean bispectrum of each triangle and bucket (rounded half to even), of those above the cut."""
+    bucket = F.rint(F.col("time") * 3600.0 / seconds).cast("long")
+    grouped = bispectra_.groupBy("t1", "t2", "t3", bucket.alias("bucket")).agg(F.avg("bispec_re").alias("bispec_re"), F.avg("bispec_im").alias("bispec_im"), (F.sqrt(F.sum(F.col("sigmab") * F.col("sigmab"))) / F.count(F.lit(1))).alias("sigmab"), F.avg("time").alias("time"), F.count(F.lit(1)).alias("n"))
+    return grouped.filter(cx.amplitude(cx.pair("bispec")) / F.nullif(F.col("sigmab"), F.lit(0.0)) > snr_cut)
+
+
+def average_amplitudes(camps: DataFrame, seconds: float) -> DataFrame:
+    """Mean closure amplitude of each quadrangle and bucket (rounded half to even)."""
+    bucket = F.rint(F.col("time") * 3600.0 / seconds).cast("long")
+    return camps.groupBy("t1", "t2", "t3", "t4", bucket.alias("bucket")).agg(F.avg("camp").alias("camp"), (F.sqrt(F.sum(F.col("sigmaca") * F.col("sigmaca"))) / F.count(F.lit(1))).alias("sigmaca"), F.avg("time").alias("time"), F.count(F.lit(1)).alias("n"))
+
+
+def _quadrangles(count: str):
+    """The quadrangles (12)(34)/(14)(23) over the array ``s`` of a time's stations in order."""
+    s = F.col("s")
+    n = F.size(s)
+    to = lambda low, high: F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda i: F.get(s, i)
+    four = lambda a, b, c, d: F.struct(a.alias("t1"), b.alias("t2"), c.alias("t3"), d.alias("t4"))
+    if count == "min":
+        each = lambda i: F.transform(to(F.lit(1), i), lambda j: four(at(F.lit(0)), at(i), at(j), at(F.when(j == i - 1, 1).otherwise(j + 1))))
+        return F.flatten(F.transform(to(F.lit(3), n), each))
+    three = lambda a, b, c, d: F.array(four(a, b, c, d), four(a, c, b, d), four(a, b, d, c))
+    last = lambda i, j, k: F.flatten(F.transform(to(k + 1, n), lambda m: three(at(i), at(j), at(k), at(m))))
+    third = lambda i, j: F.flatten(F.transform(to(j + 1, n), lambda k: last(i, j, k)))
+    second = lambda i: F.flatten(F.transform(to(i + 1, n), lambda j: third(i, j)))
+    return F.flatten(F.transform(to(F.lit(0), n), second))
+
+
+def closure_amplitudes(vis: DataFrame, count: str = "max", kind: str = "camp", debias: bool = True, snr_cut: float = 0.0, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(time, t1..t4, camp, sigmaca): three quadrangles of every four stations ("max"), or those that suffice ("min").
+
+    ``kind`` is "camp" or "logcamp". A time's rows are brought together once; its baselines are looked up in a map.
+    ``columns`` (a prefix of complex columns each) adds the same quantity of other values, not debiased.
+    """
+    key = lambda a, b: F.concat_ws("|", F.least(a, b), F.greatest(a, b))
+    leg = F.struct(cx.amplitude(cx.pair("vis")).alias("amp"), "sigma", *[cx.amplitude(cx.pair(c)).alias(c) for c in columns])
+    times = vis.groupBy("time").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("t1", "t2"))))).alias("s"), F.map_from_entries(F.collect_list(F.struct(key(F.col("t1"), F.col("t2")), leg))).alias("legs"))
+    rows = times.select("time", "legs", F.explode(_quadrangles(count)).alias("q")).select("time", "q.*", "legs")
+    pairs = {"p1": ("t1", "t2"), "p2": ("t3", "t4"), "p3": ("t1", "t4"), "p4": ("t2", "t3")}
+    rows = rows.withColumns({p: F.try_element_at("legs", key(F.col(a), F.col(b))) for p, (a, b) in pairs.items()}).drop("legs").filter(" and ".join(f"{p} is not null" for p in pairs))
+
+    def amplitude(p: str, force: bool):
+        a, s = F.col(f"{p}.amp"), F.col(f"{p}.sigma")
+        return F.when(a > s, F.sqrt(a * a - s * s)).otherwise(s) if force else a
+
+    rows = rows.withColumns({f"a{k}": amplitude(f"p{k}", debias) for k in "1234"})
+    inverse = [F.col(f"p{k}.sigma") / F.nullif(F.col(f"a{k}"), F.lit(0.0)) for k in "1234"]
+    squares = [x * x for x in inverse]
+    error = F.sqrt(squares[0] + squares[1] + squares[2] + squares[3])
+    combine = (lambda a, b, c, d: a * b / F.nullif(c * d, F.lit(0.0))) if kind == "camp" else (lambda a, b, c, d: F.log(a) + F.log(b) - F.log(c) - F.log(d))
+    value = combine(*(F.col(f"a{k}") for k in "1234"))
+    spread = value * error if kind == "camp" else error
+    if debias:
+        new = value / (1 + squares[2] + squares[3]) if kind == "camp" else value + 0.5 * (squares[0] + squares[1] - squares[2] - squares[3])
+    else:
+        new = value
+    out = rows.select("time", "t1", "t2", "t3", "t4", new.alias("camp"), spread.alias("sigmaca"), *[combine(*(F.col(f"p{k}.{c}") for k in "1234")).alias(c) for c in columns])
+    if snr_cut > 0:
+        out = out.filter((F.col("camp") / F.col("sigmaca") if kind == "camp" else 1 / F.col("sigmaca")) >= snr_cut)
+    return out
 
 
 def noise_rescale(cphases: DataFrame, gap_hours: float, least: int) -> DataFrame:

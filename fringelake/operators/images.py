@@ -40,3 +40,71 @@ def light_curve(frames: DataFrame) -> DataFrame:
 
 def block_sums(images: DataFrame, side: int, n: int) -> DataFrame:
     return pixels(images, side).groupBy("image_id", F.floor(F.col("ix") / n).alias("bx"), F.floor(F.col("iy") / n).alias("by")).agg(F.sum("value").alias("value"))
+
+
+def priors(images: DataFrame, side: int, flux: float, psize: float, beam: float | None = None, alpha: float = 1.0, normalised: bool = True) -> DataFrame:
+    """The image terms of ``pix`` (positive, row by row) against the array ``prior``: each grows as the image becomes likelier.
+
+    total flux, centre of mass, simple and Gull-Skilling entropy, l1, weighted l1, l_A, total variation and its square
+    (zeros beyond the edge), patch, and two size terms.
+    """
+    beam, n = beam or psize, side
+    step = F.sequence(F.lit(0), F.lit(n * n - 1))
+    at = lambda i: F.get("pix", i).cast("double")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    each = lambda f: total(F.transform(step, lambda i: f(at(i), F.get("prior", i).cast("double"), F.pmod(i, F.lit(n)), F.floor(i / n), i)))
+    right = lambda i: F.when(F.pmod(i, F.lit(n)) < n - 1, at(i + 1)).otherwise(0.0) - at(i)
+    down = lambda i: F.when(i < n * (n - 1), at(i + n)).otherwise(0.0) - at(i)
+    norm = lambda x: x if normalised else 1.0
+    ep, half, middle = 1e-10, n // 2, (n - 1) / 2
+    square = lambda x: x * x
+    base = images.withColumns({"_sum": each(lambda x, p, ix, iy, i: x), "_x": each(lambda x, p, ix, iy, i: x * (ix - middle) * psize) / flux, "_y": each(lambda x, p, ix, iy, i: x * (iy - middle) * psize) / flux})
+    weight0, weight1 = alpha, 1 / (1 + alpha)
+    scale_a = (weight1 + (beam / psize) ** 2 * weight0) / (weight0 + weight1)
+    pi = 3.141592653589793
+    terms = {
+        "flux": -square(F.col("_sum") - flux) / norm(flux**2),
+        "cm": -(square(each(lambda x, p, ix, iy, i: x * psize * (half - ix))) + square(each(lambda x, p, ix, iy, i: x * psize * (half - iy)))) / norm(beam**2 * flux**2),
+        "simple": -each(lambda x, p, ix, iy, i: x * F.log(x / p)) / norm(flux),
+        "gs": each(lambda x, p, ix, iy, i: x - p - x * F.log(x / p)) / norm(flux),
+        "l1": -each(lambda x, p, ix, iy, i: F.abs(x)) / norm(flux),
+        "l1w": -each(lambda x, p, ix, iy, i: F.sqrt(x * x + ep) / (F.sqrt(p * p + ep) + ep)),
+        "la": -each(lambda x, p, ix, iy, i: 2 / pi * (1 + alpha) / alpha * F.atan(pi * alpha / 2 * F.abs(x) / flux)) / norm(scale_a),
+        "tv": -each(lambda x, p, ix, iy, i: F.sqrt(square(right(i)) + square(down(i)))) / norm(flux * psize / beam),
+        "tv2": -each(lambda x, p, ix, iy, i: square(right(i)) + square(down(i))) / norm(psize**4 * flux**2 / beam**4),
+        "patch": -0.5 * each(lambda x, p, ix, iy, i: square(x - p)) / norm(flux**2),
+        "compact": -each(lambda x, p, ix, iy, i: x * (square((ix - middle) * psize - F.col("_x")) + square((iy - middle) * psize - F.col("_y")))) / norm(flux * beam**2),
+        "compact2": -each(lambda x, p, ix, iy, i: x * x * (square((ix - middle) * psize) + square((iy - middle) * psize))) / norm(flux**2 * beam**2),
+    }
+    return base.select("image_id", *[c.alias(k) for k, c in terms.items()])
+
+
+def threshold(images: DataFrame, share: float) -> DataFrame:
+    """Pixels below ``share`` of the image's peak become 0."""
+    return images.withColumn("pix", F.transform("pix", lambda x: F.when(x >= share * F.array_max("pix"), x).otherwise(F.lit(0.0).cast("float"))))
+
+
+def compare(images: DataFrame, others: DataFrame) -> DataFrame:
+    """Normalised root mean square error and cross correlation of the images that share an id."""
+    other = others.select("image_id", F.col("pix").alias("other"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    pair = lambda f: total(F.zip_with("pix", "other", lambda a, b: f(a.cast("double"), b.cast("double"))))
+    joined = images.join(other, "image_id").withColumns({"_a": pair(lambda a, b: a) / F.size("pix"), "_b": pair(lambda a, b: b) / F.size("pix")})
+    cross = pair(lambda a, b: (a - F.col("_a")) * (b - F.col("_b")))
+    own, their = pair(lambda a, b: (a - F.col("_a")) * (a - F.col("_a"))), pair(lambda a, b: (b - F.col("_b")) * (b - F.col("_b")))
+    return joined.select("image_id", F.sqrt(pair(lambda a, b: (a - b) * (a - b)) / pair(lambda a, b: a * a)).alias("nrmse"), (cross / F.sqrt(own * their)).alias("nxcorr"))
+
+
+def polarised_curves(frames: DataFrame) -> DataFrame:
+    """(movie_id, frame, flux, linear, circular): light curve and polarised shares of frames with arrays i, q, u, v."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    sums = frames.select("movie_id", "frame", *[total(c).alias(c) for c in "iquv"])
+    return sums.select("movie_id", "frame", F.col("i").alias("flux"), (F.sqrt(F.col("q") * F.col("q") + F.col("u") * F.col("u")) / F.col("i")).alias("linear"), (F.col("v") / F.col("i")).alias("circular"))
+
+
+def frame_at(frames: DataFrame, times: DataFrame) -> DataFrame:
+    """The latest frame not after each time of its movie (the first before all), of frames (movie_id, t, ...)."""
+    listed = frames.groupBy("movie_id").agg(F.array_sort(F.collect_list(F.struct("t", "image_id"))).alias("f"))
+    joined = times.join(listed, "movie_id")
+    at = F.greatest(F.size(F.filter("f", lambda x: x["t"] <= F.col("time"))) - 1, F.lit(0))
+    return joined.select("movie_id", "time", F.get("f", at)["image_id"].alias("image_id"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +33,17 @@ def unpack(vis: DataFrame, debias: bool = False) -> DataFrame:
     return vis.select("time", "t1", "t2", "u", "v", (debiased(a, F.col("sigma")) if debias else a).alias("amp"), (cx.phase(cx.pair("vis")) / DEGREE).alias("phase"), snr().alias("snr"), (F.col("sigma") / F.nullif(a, F.lit(0.0)) / DEGREE).alias("sigma_phase"), F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")).alias("uvdist"))
 
 
+SWAPPED = {"t1": "t2", "t2": "t1", "tau1": "tau2", "tau2": "tau1", "rlvis_re": "lrvis_re", "rlvis_im": "lrvis_im", "lrvis_re": "rlvis_re", "lrvis_im": "rlvis_im", "rlsigma": "lrsigma", "lrsigma": "rlsigma"}
+
+
+def conjugate_row(columns: list[str]) -> list[Column]:
+    """The columns of the conjugate baseline; cross hands are exchanged."""
+    return [(-F.col(SWAPPED.get(c, c)) if c in ("u", "v") or c.endswith("_im") else F.col(SWAPPED.get(c, c))).alias(c) for c in columns]
+
+
 def conjugates(vis: DataFrame) -> DataFrame:
     """Each row and its conjugate, read once."""
-    own = F.struct(*vis.columns)
-    swap = {"t1": "t2", "t2": "t1", "tau1": "tau2", "tau2": "tau1"}
-    other = F.struct(*[(-F.col(c) if c in ("u", "v") or c.endswith("_im") else F.col(swap.get(c, c))).alias(c) for c in vis.columns])
-    return vis.select(F.explode(F.array(own, other)).alias("x")).select("x.*")
+    return vis.select(F.explode(F.array(F.struct(*vis.columns), F.struct(*conjugate_row(vis.columns)))).alias("x")).select("x.*")
 
 
 def flag(vis: DataFrame, keep: Column, output: str = "kept") -> DataFrame:
@@ -71,7 +80,7 @@ def outside_hours(start: float, stop: float) -> Column:
 def flag_table(vis: DataFrame, flags: DataFrame) -> DataFrame:
     """Anti-join of ``flags`` (start, stop, site): strict inside, either station."""
     f = flags.select("start", "stop", "site")
-    return vis.join(F.broadcast(f), (vis["time"] > f["start"]) & (vis["time"] < f["stop"]) & ((vis["t1"] == f["site"]) | (vis["t2"] == f["site"])), "left_anti")
+    return vis.join(f, (vis["time"] > f["start"]) & (vis["time"] < f["stop"]) & ((vis["t1"] == f["site"]) | (vis["t2"] == f["site"])), "left_anti")
 
 
 def fractional_noise(vis: DataFrame, fraction: float) -> DataFrame:
@@ -118,6 +127,11 @@ def coherent(vis: DataFrame, seconds: float) -> DataFrame:
     return grouped.withColumn("time", (F.col("bucket") + 0.5) * (seconds / 3600.0))
 
 
+def coherent_by(tagged: DataFrame, group: str) -> DataFrame:
+    """Mean visibility of each baseline and group (a scan); the time is the group's first."""
+    return tagged.groupBy(*BASELINE, group).agg(F.avg("vis_re").alias("vis_re"), F.avg("vis_im").alias("vis_im"), (F.sqrt(F.sum(F.col("sigma") * F.col("sigma"))) / F.count("sigma")).alias("sigma"), F.min("time").alias("time"), F.sum("tint").alias("tint"), F.count(F.lit(1)).alias("n"))
+
+
 def incoherent(vis: DataFrame, seconds: float) -> DataFrame:
     """Rice-debiased mean amplitude of each baseline and bucket, with its error."""
     bucket, a, s = F.floor(F.col("time") * 3600.0 / seconds), amp(), F.col("sigma")
@@ -140,8 +154,9 @@ def scans(vis: DataFrame, gap: float) -> DataFrame:
     return times.withColumn("scan_id", F.sum(new).over(w)).groupBy("scan_id").agg(F.min("time").alias("t_start"), F.max("time").alias("t_stop"), F.count(F.lit(1)).alias("n_times"))
 
 
-def in_scans(vis: DataFrame, scan_table: DataFrame) -> DataFrame:
-    return vis.join(F.broadcast(scan_table), F.col("time").between(F.col("t_start"), F.col("t_stop")))
+def in_scans(vis: DataFrame, scan_table: DataFrame, margin: float = 1e-5) -> DataFrame:
+    """Rows with the scan whose interval (start - margin, stop + margin], in hours, holds their time."""
+    return vis.join(scan_table, (F.col("time") > F.col("t_start") - margin) & (F.col("time") <= F.col("t_stop") + margin))
 
 
 def subscan_dropouts(tagged: DataFrame, share: float) -> DataFrame:
@@ -156,11 +171,11 @@ def subscan_dropouts(tagged: DataFrame, share: float) -> DataFrame:
 
 
 def moving(vis: DataFrame, seconds: int) -> DataFrame:
-    """Rolling mean over (t - dt, t] of each baseline."""
+    """Rolling mean over (t - dt, t] of each baseline, its time the middle of the window."""
     micro = F.round(F.col("time") * 3.6e9).cast("long")
     w = Window.partitionBy(*BASELINE).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     s2 = F.col("sigma") * F.col("sigma")
-    return vis.withColumn("_us", micro).select("time", *BASELINE, F.avg("vis_re").over(w).alias("vis_re"), F.avg("vis_im").over(w).alias("vis_im"), (F.avg(s2).over(w) / F.sqrt(F.sum(s2).over(w))).alias("sigma"), F.count(F.lit(1)).over(w).alias("n"))
+    return vis.withColumn("_us", micro).select((F.col("time") - seconds / 7200.0).alias("time"), *BASELINE, F.avg("vis_re").over(w).alias("vis_re"), F.avg("vis_im").over(w).alias("vis_im"), (F.avg(s2).over(w) / F.sqrt(F.sum(s2).over(w))).alias("sigma"), F.count(F.lit(1)).over(w).alias("n"))
 
 
 def anomalies(vis: DataFrame, seconds: int, nsigma: float) -> DataFrame:
@@ -186,19 +201,28 @@ def common_times(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
 
 
 def apply_gains(vis: DataFrame, gains: DataFrame) -> DataFrame:
-    """Multiply by g1 conj(g2), gains (site, time, g_re, g_im) interpolated linearly; NULL outside a curve."""
-    at = vis.select(F.explode(F.array("t1", "t2")).alias("site"), "time").distinct()
-    union = at.withColumns({"g": F.lit(None).cast("struct<time:double,g_re:double,g_im:double>")}).unionByName(gains.select("site", "time", F.struct("time", "g_re", "g_im").alias("g")))
-    past, ahead = Window.partitionBy("site").orderBy("time"), Window.partitionBy("site").orderBy(F.col("time").desc())
-    held = union.withColumns({"before": F.last("g", ignorenulls=True).over(past), "after": F.last("g", ignorenulls=True).over(ahead)}).filter(F.col("g").isNull())
-    f = (F.col("time") - F.col("before.time")) / F.nullif(F.col("after.time") - F.col("before.time"), F.lit(0.0))
-    lin = lambda n: F.when(F.col("before.time") == F.col("after.time"), F.col(f"before.{n}")).otherwise(F.col(f"before.{n}") + f * (F.col(f"after.{n}") - F.col(f"before.{n}")))
-    curve = held.select("site", "time", lin("g_re").alias("g_re"), lin("g_im").alias("g_im"))
-    one, two = (curve.select(F.col("site").alias(t), "time", F.col("g_re").alias(f"{p}_re"), F.col("g_im").alias(f"{p}_im")) for t, p in (("t1", "_g"), ("t2", "_h")))
-    joined = vis.join(one, ["t1", "time"], "left").join(two, ["t2", "time"], "left")
-    g = cx.mul(cx.pair("_g"), cx.conj(cx.pair("_h")))
+    """Multiply by g1 conj(g2), gains (site, time, g_re, g_im) interpolated linearly.
+
+    A station without a curve has gain 1, one with a single knot that gain at all times; NULL outside a longer curve.
+    A curve is one row; rows meet the curves of their stations without a shuffle of times.
+    """
+    curves = gains.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("time", "g_re", "g_im"))).alias("k"))
+    joined = vis
+    for k in ("1", "2"):
+        joined = joined.join(curves.select(F.col("site").alias(f"t{k}"), F.col("k").alias(f"_k{k}")), f"t{k}", "left")
+        knots, n = F.col(f"_k{k}"), F.size(f"_k{k}")
+        at = F.size(F.filter(knots, lambda x: x["time"] <= F.col("time")))
+        low, high = F.get(knots, at - 1), F.get(knots, at)
+        share = (F.col("time") - low["time"]) / (high["time"] - low["time"])
+
+        def value(part: str, alone: float):
+            inside = F.when(low["time"] == F.col("time"), low[part]).when((at > 0) & (at < n), low[part] + share * (high[part] - low[part]))  # noqa: B023
+            return F.when(knots.isNull(), F.lit(alone)).when(n == 1, F.get(knots, F.lit(0))[part]).otherwise(inside)  # noqa: B023
+
+        joined = joined.withColumns({f"_g{k}_re": value("g_re", 1.0), f"_g{k}_im": value("g_im", 0.0)})
+    g = cx.mul(cx.pair("_g1"), cx.conj(cx.pair("_g2")))
     out = cx.mul(cx.pair("vis"), g)
-    return joined.withColumns({"vis_re": out[0], "vis_im": out[1], "sigma": F.col("sigma") * cx.amplitude(g)}).drop("_g_re", "_g_im", "_h_re", "_h_im")
+    return joined.withColumns({"vis_re": out[0], "vis_im": out[1], "sigma": F.col("sigma") * cx.amplitude(g)}).select(*vis.columns)
 
 
 def gaussian_model(flux: float, fwhm: float) -> Column:
@@ -216,11 +240,22 @@ def chisq(vis: DataFrame, model: Column) -> DataFrame:
 
 
 def dirty_beam(vis: DataFrame, npix: int, fov: float) -> DataFrame:
-    """(ix, iy, value): mean of cos over the visibilities; the pixel list is the bounded, broadcast side."""
+    """(ix, iy, value): mean of cos over the visibilities; each task adds up its own pixels first."""
     size = fov / npix
-    axis = [(i, (i - (npix - 1) / 2) * size) for i in range(npix)]
-    x = vis.sparkSession.createDataFrame([(i, a, j, b) for i, a in axis for j, b in axis], "ix int, x double, iy int, y double")
-    return vis.select("u", "v").crossJoin(F.broadcast(x)).groupBy("ix", "iy").agg(F.avg(F.cos(2 * 3.141592653589793 * (F.col("x") * F.col("u") + F.col("y") * F.col("v")))).alias("value"))
+    axis = (np.arange(npix) - (npix - 1) / 2) * size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((npix, npix)), 0
+        for batch in batches:
+            u, v = (batch[c].to_numpy(zero_copy_only=False) for c in ("u", "v"))
+            x, y = (2 * np.pi * np.outer(axis, c) for c in (u, v))
+            total += np.cos(x) @ np.cos(y).T - np.sin(x) @ np.sin(y).T
+            n += len(u)
+        ix, iy = (g.ravel() for g in np.meshgrid(np.arange(npix), np.arange(npix), indexing="ij"))
+        yield pa.RecordBatch.from_arrays([pa.array(ix.astype(np.int32)), pa.array(iy.astype(np.int32)), pa.array(total.ravel()), pa.array(np.full(npix * npix, n))], ["ix", "iy", "total", "n"])
+
+    sums = vis.select("u", "v").mapInArrow(run, "ix int, iy int, total double, n long")
+    return sums.groupBy("ix", "iy").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("value"))
 
 
 def beam_moments(vis: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def filter_subscan_dropouts(vis):
 
 
 @query(
-    "x as (select *, cast(round(time*3.6e9) as bigint) us from vis), w as (select time, t1, t2, avg(vis_re) over d re, avg(vis_im) over d im, avg(sigma*sigma) over d / sqrt(sum(sigma*sigma) over d) sg, count(*) over d n from x window d as (partition by t1, t2 order by us range between 119999999 preceding and current row))@@select [time] time, t1, t2, [re] vis_re, [im] vis_im, [sg] sigma, n from w"
+    "x as (select *, cast(round(time*3.6e9) as bigint) us from vis), w as (select time, t1, t2, avg(vis_re) over d re, avg(vis_im) over d im, avg(sigma*sigma) over d / sqrt(sum(sigma*sigma) over d) sg, count(*) over d n from x window d as (partition by t1, t2 order by us range between 119999999 preceding and current row))@@select [time-12e1/7.2e3] time, t1, t2, [re] vis_re, [im] vis_im, [sg] sigma, n from w"
 )
 def avg_moving(vis):
     return V.moving(vis, 120)
@@ -220,13 +220,6 @@ def noise_rescale_factor(vis):
     return closure.noise_rescale(closure.closure_phases(vis), 0.05, 10)
 
 
-@query(
-    "a as (select time, t1, t2, AMP amp, sigma from vis), c as (select p.time, p.t1, p.t2, q.t1 t3, q.t2 t4, p.amp*q.amp/(r.amp*s.amp) c, p.sigma*p.sigma/(p.amp*p.amp)+q.sigma*q.sigma/(q.amp*q.amp)+r.sigma*r.sigma/(r.amp*r.amp)+s.sigma*s.sigma/(s.amp*s.amp) e from a p join a r on p.time=r.time and p.t2=r.t1 join a q on p.time=q.time and r.t2=q.t1 join a s on p.time=s.time and p.t1=s.t1 and q.t2=s.t2)@@select [time] time, t1, t2, t3, t4, [c] camp, [c*sqrt(e)] sigmaca from c"
-)
-def closure_amplitudes(vis):
-    return closure.closure_amplitudes(vis)
-
-
 @query("select [time] time, t1, t2 from vis a where sigma < 0.11 and exists (select 1 from vis b where b.sigma >= 0.09 and a.t1=b.t1 and a.t2=b.t2 and round_even(a.time/1e-1,0)=round_even(b.time/1e-1,0))")
 def common_set(vis):
     return V.common_times(vis.filter("sigma < 0.11"), vis.filter("sigma >= 0.09"), 0.1).select(*KEYS)
