@@ -18,6 +18,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Up to so many row keys (8 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 SHINGLE, PERCENT = 5, 80
+#: Rows of a batch that goes between Spark and a Python worker: texts are long, and every stage shares its memory with those before it.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    """The columns of documents, in batches of ``BATCH_ROWS`` rows at most."""
+    spark = docs.sparkSession
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return docs.select(*COLUMNS)
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -30,14 +41,14 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
-    docs = docs.select(*COLUMNS)
+    docs = _columns(docs)
     weights, intercept = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, weights, intercept).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the least id stays; texts without words are no group."""
-    docs = docs.select(*COLUMNS)
+    docs = _columns(docs)
     found = stored(jaccard.jaccard_components(docs, SHINGLE, PERCENT).filter("n_shingles > 0"))
     # Stored, so that the join with a hot component can be split.
     best = stored(found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best")).select("comp", F.col("best.key").alias("stays")))
@@ -52,19 +63,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere too are cut out of the texts."""
-    found = repeats.remove_repeats(docs.select(*COLUMNS), keep_text=True)
+    found = repeats.remove_repeats(_columns(docs), keep_text=True)
     return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    docs = docs.select(*COLUMNS)
+    docs = _columns(docs)
     return _without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("key"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is taken for the mixture."""
-    return mixing.mix_sources(docs)
+    return mixing.mix_sources(_columns(docs))
 
 
 STAGES = [
