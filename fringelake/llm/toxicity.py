@@ -44,7 +44,7 @@ DIVISOR, HELD_OUT = 4, 2
 HASHES, COPY = 64, 0.8
 PIECES = 64
 #: Texts whose n-grams a worker holds at a time; a longer text is held by itself.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 
 
 def held_out(divisor: int, remainder: int):
