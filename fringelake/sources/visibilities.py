@@ -29,14 +29,35 @@ def visibilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Visibility text files of 20 columns; amplitudes and phases (degrees) become complex pairs."""
-    fields = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(*[fields[i].alias(n) for i, n in enumerate(TEXT_COLUMNS)])
-    out = rows.select(*[F.col(n) if n in ("t1", "t2") else F.col(n).cast("double").alias(n) for n in TEXT_COLUMNS])
-    for p, name in (("i", "vis"), ("q", "qvis"), ("u", "uvis"), ("v", "vvis")):
-        angle = F.radians(f"{p}phase")
-        out = out.withColumns({f"{name}_re": F.col(f"{p}amp") * F.cos(angle), f"{name}_im": F.col(f"{p}amp") * F.sin(angle)}).drop(f"{p}amp", f"{p}phase")
-    return out
+    """Visibility text files of 20 columns, or of the older 19, 17 or 15; amplitudes and phases (degrees) become complex pairs.
+
+    Older files have tau in columns 7 and 8, one sigma for all products, and lack V (17) or all but I (15), which are 0.
+    A line of another width gives nulls.
+    """
+    f = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).filter(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(f.alias("f"), F.size(f).alias("n"))
+    get = lambda i: F.get("f", F.lit(i))
+    new, old = F.col("n") == 20, F.col("n").isin(15, 17, 19)
+    number = lambda now, then: F.when(new, get(now).cast("double")).when(old, get(then).cast("double"))
+    columns = [get(0).cast("double").alias("time"), get(1).cast("double").alias("tint"), get(2).alias("t1"), get(3).alias("t2")]
+    columns += [number(now, then).alias(c) for c, now, then in (("tau1", 4, 6), ("tau2", 5, 7), ("u", 6, 8), ("v", 7, 9))]
+    for k, name in enumerate(("vis", "qvis", "uvis", "vvis")):
+        has = old & (F.col("n") >= (15, 17, 17, 19)[k])
+        size = F.when(new, get(8 + 2 * k).cast("double")).when(has, get(10 + 2 * k).cast("double")).when(old, F.lit(0.0))
+        angle = F.radians(F.when(new, get(9 + 2 * k).cast("double")).when(has, get(11 + 2 * k).cast("double")).when(old, F.lit(0.0)))
+        columns += [(size * F.cos(angle)).alias(f"{name}_re"), (size * F.sin(angle)).alias(f"{name}_im")]
+    # Of 15 columns the sigma is the thirteenth, else the last.
+    one = F.when(F.col("n") == 15, get(12)).otherwise(F.get("f", F.col("n") - 1)).cast("double")
+    columns += [F.when(new, get(16 + k).cast("double")).when(old, one).alias(c) for k, c in enumerate(("sigma", "qsigma", "usigma", "vsigma"))]
+    return rows.select(*columns)
+
+
+def read_flags(spark: SparkSession, path: str, kind: str = "station") -> DataFrame:
+    """(start, stop, site) in hours of the day, from CSV files with mjd_start, mjd_stop and a column named ``kind`` ("station" or "baseline"; "all" has none)."""
+    rows = spark.read.option("header", True).csv(path)
+    hours = lambda c: F.pmod(F.col(c).cast("double"), F.lit(1.0)) * 24.0
+    what = F.lit(None).cast("string") if kind == "all" else F.trim(kind)
+    return rows.select(hours("mjd_start").alias("start"), hours("mjd_stop").alias("stop"), what.alias("site"))
 
 
 def write_text(vis: DataFrame, path: str) -> None:
@@ -70,4 +91,11 @@ def read_gains(spark: SparkSession, path: str, square_root: bool = False) -> Dat
     get = lambda i: F.get("f", F.lit(i)).cast("double")
     wide = F.size("f") >= 5
     out = rows.select("site", get(0).alias("time"), get(1).alias("r_re"), F.when(wide, get(2)).otherwise(0.0).alias("r_im"), F.when(wide, get(3)).otherwise(get(2)).alias("l_re"), F.when(wide, get(4)).otherwise(0.0).alias("l_im"))
-    return out.withColumns({"r_re": F.sqrt("r_re"), "l_re": F.sqrt("l_re")}) if square_root else out
+    if not square_root:
+        return out
+    columns = {}
+    for hand in "rl":  # the principal root of a complex number
+        re, im = F.col(f"{hand}_re"), F.col(f"{hand}_im")
+        size, turn = F.sqrt(F.hypot(re, im)), F.atan2(im, re) / 2
+        columns |= {f"{hand}_re": size * F.cos(turn), f"{hand}_im": size * F.sin(turn)}
+    return out.withColumns(columns)
