@@ -22,6 +22,17 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(F.col(n), 6) + 0.0).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
+_staged: dict[tuple[str, str], DataFrame] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The synthetic visibilities, kept by Spark for the session's next queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _staged:
+        _staged[key] = visibilities(spark, sf_dir).persist()
+    return _staged[key]
+
+
 def query(sql: str, of: str = "vis"):
     """Register a function of the visibilities (or images), its doubles rounded, with SQL over ``vis``.
 
@@ -30,7 +41,7 @@ def query(sql: str, of: str = "vis"):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(f(visibilities(spark, sf_dir) if of == "vis" else pictures(spark, sf_dir)))
+            return rounded(f(staged(spark, sf_dir) if of == "vis" else pictures(spark, sf_dir)))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
