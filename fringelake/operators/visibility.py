@@ -200,31 +200,80 @@ def common_times(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
     return left.join(key(b).distinct(), ["_k", "_a", "_b"], "left_semi").drop("_k", "_a", "_b")
 
 
-def apply_gains(vis: DataFrame, gains: DataFrame) -> DataFrame:
-    """Multiply by g1 conj(g2), gains (site, time, g_re, g_im) interpolated linearly.
-
-    A station without a curve has gain 1, one with a single knot that gain at all times; NULL outside a longer curve.
-    A curve is one row; rows meet the curves of their stations without a shuffle of times.
+def _at(knots: Column, time: Column, part: str, method: str, extrapolate: bool, outside: Column) -> Column:
+    """A curve's value at a time: knots are sorted structs of time and parts; one knot serves all times."""
+    n = F.size(knots)
+    at = F.size(F.filter(knots, lambda x: x["time"] <= time))
+    last = F.least(F.greatest(at, F.lit(1)), n - 1) if extrapolate else at  # the segment from knot last - 1 to last
+    low, high = F.get(knots, last - 1), F.get(knots, last)
+    within = F.lit(True) if extrapolate else (at > 0) & (at < n)
+    share = (time - low["time"]) / (high["time"] - low["time"])
+    if method == "nearest":
+        share = F.when(share > 0.5, 1.0).otherwise(0.0)
+    elif method != "linear":
+        raise ValueError(method)
+    on = F.get(knots, at - 1)
+    inside = F.when(on["time"] == time, on[part]).when(within, low[part] + share * (high[part] - low[part])).otherwise(outside)
+    return F.when(n == 1, F.get(knots, F.lit(0))[part]).otherwise(inside)
+
+
+def _curves(gains: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    return gains.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("time", *parts))).alias("k"))
+
+
+def apply_gains(vis: DataFrame, gains: DataFrame, method: str = "linear", extrapolate: bool = False) -> DataFrame:
+    """Multiply by g1 conj(g2), gains (site, time, g_re, g_im) interpolated ("linear", or "nearest", the earlier of equals).
+
+    A station without a curve has gain 1, one with a single knot that gain at all times; NULL outside a longer curve unless the
+    end segments go on (``extrapolate``). A curve is one row; rows meet the curves of their stations without a shuffle of times.
     """
-    curves = gains.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("time", "g_re", "g_im"))).alias("k"))
-    joined = vis
+    curves = _curves(gains, ("g_re", "g_im"))
+    joined, none = vis, F.lit(None).cast("double")
     for k in ("1", "2"):
         joined = joined.join(curves.select(F.col("site").alias(f"t{k}"), F.col("k").alias(f"_k{k}")), f"t{k}", "left")
-        knots, n = F.col(f"_k{k}"), F.size(f"_k{k}")
-        at = F.size(F.filter(knots, lambda x: x["time"] <= F.col("time")))
-        low, high = F.get(knots, at - 1), F.get(knots, at)
-        share = (F.col("time") - low["time"]) / (high["time"] - low["time"])
-
-        def value(part: str, alone: float):
-            inside = F.when(low["time"] == F.col("time"), low[part]).when((at > 0) & (at < n), low[part] + share * (high[part] - low[part]))  # noqa: B023
-            return F.when(knots.isNull(), F.lit(alone)).when(n == 1, F.get(knots, F.lit(0))[part]).otherwise(inside)  # noqa: B023
-
+        knots = F.col(f"_k{k}")
+        value = lambda part, alone: F.when(knots.isNull(), F.lit(alone)).otherwise(_at(knots, F.col("time"), part, method, extrapolate, none))  # noqa: B023, E731
         joined = joined.withColumns({f"_g{k}_re": value("g_re", 1.0), f"_g{k}_im": value("g_im", 0.0)})
     g = cx.mul(cx.pair("_g1"), cx.conj(cx.pair("_g2")))
     out = cx.mul(cx.pair("vis"), g)
     return joined.withColumns({"vis_re": out[0], "vis_im": out[1], "sigma": F.col("sigma") * cx.amplitude(g)}).select(*vis.columns)
 
 
+def merge_gains(first: DataFrame, second: DataFrame, method: str = "linear") -> DataFrame:
+    """Products of two gain tables (site, time, g_re, g_im) at the times of both; a table has gain 1 outside its knots and for absent sites."""
+    times = first.select("site", "time").union(second.select("site", "time")).distinct()
+    parts = []
+    for n, gains in enumerate((first, second)):
+        times = times.join(_curves(gains, ("g_re", "g_im")).withColumnRenamed("k", f"_k{n}"), "site", "left")
+        knots = F.col(f"_k{n}")
+        parts.append(tuple(F.when(knots.isNull(), F.lit(one)).otherwise(_at(knots, F.col("time"), part, method, False, F.lit(one))) for part, one in (("g_re", 1.0), ("g_im", 0.0))))
+    g = cx.mul(*parts)
+    return times.select("site", "time", g[0].alias("g_re"), g[1].alias("g_im"))
+
+
+def outside_hours_of(start: float, stop: float, *sites: str) -> Column:
+    """False for rows between the hours whose stations include all of ``sites`` (one: a station, two: a baseline)."""
+    named = F.lit(True)
+    for site in sites:
+        named = named & F.lit(site).isin(F.col("t1"), F.col("t2"))
+    return ~(F.col("time").between(start, stop) & named)
+
+
+def station_order(vis: DataFrame) -> DataFrame:
+    """(site, snr, ord) by falling median signal to noise over the rows of each station, equal ones by name."""
+    ends = vis.select(F.explode(F.array("t1", "t2")).alias("site"), snr().alias("s"))
+    return ends.groupBy("site").agg(F.median("s").alias("snr")).withColumn("ord", F.row_number().over(Window.orderBy(F.desc("snr"), "site")))
+
+
+def merge_intervals(scan_table: DataFrame, widen: float = 1e-5) -> DataFrame:
+    """(label, t_start, t_stop): overlapping or touching intervals as one, widened, counted from 1; an end before its start is a day later."""
+    stop = F.when(F.col("t_stop") < F.col("t_start"), F.col("t_stop") + 24.0).otherwise(F.col("t_stop"))
+    w = Window.orderBy("t_start", "t_stop")
+    runs = scan_table.select("t_start", stop.alias("t_stop")).withColumn("_before", F.max("t_stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("label", F.sum(F.when(F.col("t_start") <= F.col("_before"), 0).otherwise(1)).over(w))
+    return runs.groupBy("label").agg((F.min("t_start") - widen).alias("t_start"), (F.max("t_stop") + widen).alias("t_stop"))
+
+
 def gaussian_model(flux: float, fwhm: float) -> Column:
     """Visibility (real) of a round Gaussian at the phase centre."""
     size = fwhm / (2 * (2 * 0.6931471805599453) ** 0.5)
