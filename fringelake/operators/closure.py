@@ -112,3 +112,47 @@ def noise_rescale(cphases: DataFrame, gap_hours: float, least: int) -> DataFrame
     s, before = F.col("sigmacp"), F.lag("sigmacp").over(w)
     x = cphases.select("t1", "t2", "t3", (F.col("time") - F.lag("time").over(w)).alias("dt"), (d / F.sqrt(s * s + before * before)).alias("d")).filter(F.col("dt") < gap_hours)
     return x.groupBy("t1", "t2", "t3").agg(F.stddev_pop("d").alias("spread"), F.count("d").alias("n")).filter(F.col("n") > least).agg(F.coalesce(F.median("spread"), F.lit(1.0)).alias("factor"))
+
+
+def one_triangle(table: DataFrame, a: str, b: str, c: str, value: str = "cphase") -> DataFrame:
+    """Rows of the triangle in any order of its stations, as a, b, c: odd orders change the sign of the phase."""
+    from ..functions.scalars import parity
+
+    sign = parity([F.col("t1"), F.col("t2"), F.col("t3")], [F.lit(a), F.lit(b), F.lit(c)])
+    return table.filter(sign.isNotNull()).withColumns({"t1": F.lit(a), "t2": F.lit(b), "t3": F.lit(c), value: F.col(value) * sign})
+
+
+def one_quadrangle(table: DataFrame, a: str, b: str, c: str, d: str, log: bool = False) -> DataFrame:
+    """Closure amplitudes (12)(34)/(14)(23) of four stations, from any equal or inverse form of theirs."""
+    same = [(a, b, c, d), (b, a, d, c), (c, d, a, b), (d, c, b, a)]
+    inverse = [(a, d, c, b), (b, c, d, a), (c, b, a, d), (d, a, b, c)]
+    stations = F.array("t1", "t2", "t3", "t4")
+    is_one = lambda forms: F.coalesce(*[F.when(stations == F.array(*[F.lit(s) for s in f]), F.lit(True)) for f in forms], F.lit(False))
+    turned = -F.col("camp") if log else 1 / F.nullif(F.col("camp"), F.lit(0.0))
+    # The error of an inverse is that of the value over its square.
+    error = F.col("sigmaca") if log else F.col("sigmaca") / F.nullif(F.col("camp") * F.col("camp"), F.lit(0.0))
+    found = table.filter(is_one(same) | is_one(inverse))
+    return found.withColumns({"camp": F.when(is_one(same), F.col("camp")).otherwise(turned), "sigmaca": F.when(is_one(same), F.col("sigmaca")).otherwise(error), "t1": F.lit(a), "t2": F.lit(b), "t3": F.lit(c), "t4": F.lit(d)})
+
+
+def minimal_triangles(table: DataFrame, vis: DataFrame) -> DataFrame:
+    """The triangles of a maximal table that hold their time's first station."""
+    first = vis.groupBy("time").agg(F.min(F.least("t1", "t2")).alias("t1"))
+    return table.join(first, ["time", "t1"], "left_semi")
+
+
+def triangles_without_short(vis: DataFrame, uv_min: float, minimal: bool = True) -> DataFrame:
+    """Triangles of which no side is shorter than ``uv_min``.
+
+    A minimal set goes through each time's first station; where a station has a short side to it, the triangles of that station
+    go through the first station that neither end is close to instead.
+    """
+    short = vis.filter(F.hypot("u", "v") < uv_min).select("time", "t1", "t2")
+    every = bispectra(vis)
+    for x, y in (("t1", "t2"), ("t2", "t3"), ("t1", "t3")):
+        every = every.join(short.select("time", F.col("t1").alias(x), F.col("t2").alias(y)), ["time", x, y], "left_anti")
+    if not minimal:
+        return every
+    # Each pair of other stations keeps the triangle through its first possible reference.
+    sides = every.withColumn("_k", F.row_number().over(Window.partitionBy("time", "t2", "t3").orderBy("t1")))
+    return sides.filter("_k = 1").drop("_k")

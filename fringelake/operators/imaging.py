@@ -57,31 +57,39 @@ def positions(n: int, pixel: float) -> np.ndarray:
     return ((n - 1) / 2 - np.arange(n)) * pixel
 
 
-def normal_sums(vis: DataFrame, n: int, pixel: float, weighting: str = "natural") -> Sums:
+def normal_sums(vis: DataFrame, n: int, pixel: float, weighting: str = "natural", data: str = "vis", sigma: str = "sigma") -> Sums:
     """One pass over the visibilities; weights are 1 / sigma^2, or ("uniform") 1. Rows with nulls take no part."""
+    return frame_sums(vis.withColumn("_frame", F.lit(0)), n, pixel, "_frame", weighting, data, sigma).get(0) or Sums(np.zeros((n, n)), np.zeros((2 * n - 1, 2 * n - 1)), 0.0, 0.0, 0, pixel)
+
+
+def frame_sums(vis: DataFrame, n: int, pixel: float, frame: str, weighting: str = "natural", data: str = "vis", sigma: str = "sigma") -> dict[int, Sums]:
+    """The sums of each value of the integer column ``frame``, all by one pass; a task holds a raster for each frame it meets."""
     x, offsets = positions(n, pixel), np.arange(-(n - 1), n) * pixel
 
+    size = n * n + (2 * n - 1) ** 2 + 3
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dirty, spread, one = np.zeros((n, n)), np.zeros((2 * n - 1, 2 * n - 1)), np.zeros(3)
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            for a in range(0, batch.num_rows, ROWS):
-                u, v, re, im, s = (c[a : a + ROWS] for c in cols)
-                w = 1 / s**2 if weighting == "natural" else np.ones(len(s))
-                z = re + 1j * im
-                dirty += np.real((np.exp(-2j * np.pi * np.outer(x, v)) * (w * z)) @ np.exp(-2j * np.pi * np.outer(u, x)))
-                spread += np.real((np.exp(-2j * np.pi * np.outer(offsets, v)) * w) @ np.exp(-2j * np.pi * np.outer(u, offsets)))
-                one += [(w * np.abs(z) ** 2).sum(), w.sum(), len(u)]
-        values = np.concatenate([dirty.ravel(), spread.ravel(), one])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "value"])
-
-    usable = vis.select("u", "v", "vis_re", "vis_im", "sigma").dropna().filter("sigma > 0")
-    got = usable.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow().sort_by("at")["value"].to_numpy()
-    if not len(got):
-        got = np.zeros(n * n + (2 * n - 1) ** 2 + 3)
-    m = n * n
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            for k in np.unique(cols[5]):
+                rows = np.flatnonzero(cols[5] == k)
+                total = held.setdefault(int(k), np.zeros(size))
+                for a in range(0, len(rows), ROWS):
+                    u, v, re, im, s = (c[rows[a : a + ROWS]] for c in cols[:5])
+                    w = 1 / s**2 if weighting == "natural" else np.ones(len(s))
+                    z = re + 1j * im
+                    dirty = np.real((np.exp(-2j * np.pi * np.outer(x, v)) * (w * z)) @ np.exp(-2j * np.pi * np.outer(u, x)))
+                    spread = np.real((np.exp(-2j * np.pi * np.outer(offsets, v)) * w) @ np.exp(-2j * np.pi * np.outer(u, offsets)))
+                    total += np.concatenate([dirty.ravel(), spread.ravel(), [(w * np.abs(z) ** 2).sum(), w.sum(), len(u)]])
+        for k, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k)), pa.array(np.arange(size)), pa.array(total)], ["frame", "at", "value"])
+
+    usable = vis.select("u", "v", f"{data}_re", f"{data}_im", sigma, F.col(frame).cast("long").alias("_f")).dropna().filter(F.col(sigma) > 0)
+    sums = usable.mapInArrow(run, "frame long, at long, value double").groupBy("frame", "at").agg(F.sum("value").alias("value")).toArrow().sort_by([("frame", "ascending"), ("at", "ascending")])
+    values, m = sums["value"].to_numpy().reshape(-1, size), n * n
     # Offsets rise along the axes of spread while positions fall; the cosine is even, so either order serves.
-    return Sums(got[:m].reshape(n, n), got[m:-3].reshape(2 * n - 1, 2 * n - 1), float(got[-3]), float(got[-2]), int(got[-1]), pixel)
+    return {int(k): Sums(got[:m].reshape(n, n), got[m:-3].reshape(2 * n - 1, 2 * n - 1), float(got[-3]), float(got[-2]), int(got[-1]), pixel) for k, got in zip(sums["frame"].to_numpy()[::size], values, strict=True)}
 
 
 def dirty_image(sums: Sums) -> np.ndarray:
@@ -177,6 +185,40 @@ def make_image(terms: list[tuple[float, Term]], start: np.ndarray, steps: int =
     return np.exp(np.clip(lbfgs(f, np.log(start).ravel(), steps), -80, 80)).reshape(shape)
 
 
+def make_signed_image(terms: list[tuple[float, Term]], start: np.ndarray, steps: int = 300) -> np.ndarray:
+    """The image of either sign (Q, U or V) of the least weighted sum of terms."""
+    shape = start.shape
+
+    def f(z: np.ndarray) -> tuple[float, np.ndarray]:
+        got = [(w, *term(z.reshape(shape))) for w, term in terms]
+        return sum(w * a for w, a, _ in got), sum(w * b for w, _, b in got).ravel()
+
+    return lbfgs(f, start.ravel(), steps).reshape(shape)
+
+
+def make_movie(sums: dict[int, Sums], start: np.ndarray, image_terms: list[tuple[float, Term]], steadiness: float = 1.0, steps: int = 300) -> dict[int, np.ndarray]:
+    """Positive frames of all keys in order: each frame's data term and image terms, and ``steadiness`` times the squared steps
+    between consecutive frames over the squared flux of ``start`` (the mean frame's guess)."""
+    keys = sorted(sums)
+    shape, flux = (len(keys), *start.shape), start.sum()
+
+    def f(z: np.ndarray) -> tuple[float, np.ndarray]:
+        x = np.exp(np.clip(z, -80, 80)).reshape(shape)
+        value, slope = 0.0, np.zeros(shape)
+        for k, frame in enumerate(x):
+            for weight, term in [(1.0, sums[keys[k]].chisq), *image_terms]:
+                a, b = term(frame)
+                value, slope[k] = value + weight * a, slope[k] + weight * b
+        step = np.diff(x, axis=0) * (steadiness / flux**2)
+        value += float((step * np.diff(x, axis=0)).sum())
+        slope[1:] += 2 * step
+        slope[:-1] -= 2 * step
+        return value, (slope * x).ravel()
+
+    x = np.exp(np.clip(lbfgs(f, np.log(np.broadcast_to(start, shape)).ravel(), steps), -80, 80)).reshape(shape)
+    return dict(zip(keys, x, strict=True))
+
+
 #: Of each data product: its columns, and the legs (u, v) of a row.
 DATA = {
     "vis": (("vis_re", "vis_im", "sigma"), (("u", "v"),)),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.bessel import jn
@@ -96,3 +97,59 @@ def model_visibilities(points: DataFrame, components: list[Component], prefix: s
 
     base = points.drop(*names)
     return base.mapInArrow(run, StructType([*base.schema.fields, *(StructField(n, DoubleType()) for n in names)]))
+
+
+def fit_components(vis: DataFrame, components: list[Component], free: list[tuple[int, str]], scales: list[float], steps: int = 40) -> tuple[list[Component], float]:
+    """Least squares of the free parameters (number of the component, name), and the reduced chi-square.
+
+    ``scales`` are the sizes by which parameters are expected to change. Each step is one pass: tasks add up the normal equations
+    of their rows (derivatives by central differences), of the size of the parameters squared. Steps are damped until they lower
+    chi-square. Rows with nulls take no part.
+    """
+    usable = vis.select("u", "v", "vis_re", "vis_im", "sigma").dropna().filter("sigma > 0").persist()
+    k = len(free)
+    size = 1 + k + k * k + 1
+
+    def moved(parts: list[Component], changes: np.ndarray) -> list[Component]:
+        out = list(parts)
+        for (i, name), scale, change in zip(free, scales, changes, strict=True):
+            out[i] = replace(out[i], **{name: getattr(out[i], name) + float(change) * scale})
+        return out
+
+    def equations(parts: list[Component]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size)
+            for batch in batches:
+                u, v, re, im, s = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+                model = lambda p: sum(sample(c, u, v) for c in p)  # noqa: B023, E731
+                d = (re + 1j * im - model(parts)) / s
+                steps_ = 1e-4 * np.eye(k)
+                slopes = [(model(moved(parts, e)) - model(moved(parts, -e))) / 2e-4 / s for e in steps_]
+                j = np.array([np.concatenate([x.real, x.imag]) for x in slopes]).reshape(k, -1)
+                r = np.concatenate([d.real, d.imag])
+                total += np.concatenate([[r @ r], j @ r, (j @ j.T).ravel(), [len(u)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["at", "value"])
+
+        got = usable.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow().sort_by("at")["value"].to_numpy()
+        return got if len(got) else np.zeros(size)
+
+    now, damp = equations(components), 1e-3
+    if not now[-1]:
+        usable.unpersist()
+        raise ValueError("no usable visibilities")
+    for _ in range(steps):
+        matrix = now[1 + k : -1].reshape(k, k)
+        change = np.linalg.lstsq(matrix + damp * np.diag(np.diag(matrix) + 1e-300), now[1 : 1 + k], rcond=None)[0]
+        there = moved(components, change)
+        new = equations(there)
+        if np.isfinite(new[0]) and new[0] <= now[0]:
+            done = now[0] - new[0] <= 1e-9 * max(now[0], 1e-300)
+            components, now, damp = there, new, damp / 10
+            if done:
+                break
+        else:
+            damp *= 10
+            if damp > 1e10:
+                break
+    usable.unpersist()
+    return components, float(now[0] / (2 * now[-1]))

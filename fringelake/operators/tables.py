@@ -54,3 +54,69 @@ def every_nth(vis: DataFrame, n: int) -> DataFrame:
 
     order = F.row_number().over(Window.partitionBy(*BASELINE).orderBy("time"))
     return vis.withColumn("_at", order).filter((F.col("_at") - 1) % n == 0).drop("_at")
+
+
+def merge_observations(observations: list[tuple[DataFrame, int]]) -> DataFrame:
+    """All rows of (table, mjd) pairs as one table: hours since the first day's midnight, stations in order, one row a time and baseline.
+
+    Of rows with one time and baseline the one with the least sigma stays, then the first by its visibility.
+    """
+    from pyspark.sql import Window
+
+    day = min(mjd for _, mjd in observations)
+    moved = [canonical(t).withColumn("time", F.col("time") + 24.0 * (mjd - day)) for t, mjd in observations]
+    order = Window.partitionBy("time", *BASELINE).orderBy(F.col("sigma").asc_nulls_last(), "vis_re", "vis_im")
+    return merge(*moved).withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+
+
+def merge_stations(*tables: DataFrame) -> DataFrame:
+    """Distinct rows of several station tables."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.distinct()
+
+
+def common_rows(a: DataFrame, b: DataFrame, tolerance: float, by: str = "ut", once: bool = False, offset: float = 0.0) -> DataFrame:
+    """Rows of ``a`` whose key ``b`` has too: baseline with time ("ut"), with time turned to sidereal rate and shifted by ``offset`` hours
+    for ``b`` ("gmst"), or with the projected length ("uvdist"), all to ``tolerance``. ``once`` keeps the first row of a key."""
+    from pyspark.sql import Window
+
+    sidereal = 1.0027379093507951
+    value = {"ut": lambda o: F.col("time"), "gmst": lambda o: F.pmod(F.col("time") * sidereal + o, F.lit(24.0)), "uvdist": lambda o: F.hypot("u", "v")}[by]
+    keys = ["_k", "_a", "_b"]
+    keyed = lambda t, o: t.withColumns({"_k": F.rint(value(o) / tolerance), "_a": F.least(*BASELINE), "_b": F.greatest(*BASELINE)})
+    found = keyed(a, 0.0).join(keyed(b, offset).select(*keys).distinct(), keys, "left_semi")
+    if once:
+        found = found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("time", *BASELINE))).filter("_n = 1").drop("_n")
+    return found.drop(*keys)
+
+
+def station_clusters(stations: DataFrame, reach: float) -> DataFrame:
+    """(site, cluster): in order of name, a station within ``reach`` metres of a cluster's first member joins it, else it begins one."""
+    firsts: list[tuple[float, float, float]] = []
+    out = []
+    for r in sorted(stations.select("site", "x", "y", "z").collect()):  # one row a telescope
+        place = (r["x"], r["y"], r["z"])
+        near = next((k for k, p in enumerate(firsts) if sum((m - n) ** 2 for m, n in zip(p, place, strict=True)) <= reach**2), None)
+        if near is None:
+            near = len(firsts)
+            firsts.append(place)
+        out.append((r["site"], near))
+    return stations.sparkSession.createDataFrame(out, "site string, cluster int")
+
+
+def joined_products(spark, paths: dict[str, str]) -> DataFrame:
+    """Simulator text files of one product each (i, q, u, v): lines of time, t1, t2, u, v, re, im, sigma, joined by time and baseline.
+
+    A product whose file lacks the row is NULL.
+    """
+    out, names = None, {"i": "vis", "q": "qvis", "u": "uvis", "v": "vvis"}
+    for product, path in paths.items():
+        f = F.split(F.trim("value"), r"[\s,]+")
+        rows = spark.read.text(path).filter(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(f.alias("f"))
+        number = lambda k: F.get("f", F.lit(k)).try_cast("double")
+        sigma = "sigma" if product == "i" else f"{product}sigma"
+        one = rows.select(number(0).alias("time"), F.get("f", F.lit(1)).alias("t1"), F.get("f", F.lit(2)).alias("t2"), number(3).alias("u"), number(4).alias("v"), number(5).alias(f"{names[product]}_re"), number(6).alias(f"{names[product]}_im"), number(7).alias(sigma))
+        out = one if out is None else out.join(one.drop("u", "v"), ["time", "t1", "t2"], "left")
+    return out
