@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, pitmanyor, repeats, tokens, topk, toxicity, warc
+from . import decontaminate, exactdup, jaccard, langid, mixing, pitmanyor, repeats, tokens, topk, toxicity, warc
 from .common import table
 
 
@@ -79,7 +79,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op4_jaccard, op5_repeats, op6_topk, op7_toxicity, op8_pitmanyor, op9_revisits, op9_bodies, op10_language)}
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.mark_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op4_jaccard, op5_repeats, op6_topk, op7_toxicity, op8_pitmanyor, op9_revisits, op9_bodies, op10_language, op11_exact)}
 
 ORACLE_SQL = {
     "op4_jaccard": """
@@ -124,4 +128,8 @@ ORACLE_SQL = {
         union all
         select cast(page_id * 2 + 1 as bigint), canonical_url, cast(page_id + 10000000 as bigint), 'revisit', st, case when st = 'resolved' then cast(latest * 2 as bigint) end,
                case when st = 'resolved' then 'content-type=text/html;date=day 1;etag=' || latest_tag else 'content-length=0;date=day 1' end from s""",
+    "op11_exact": """
+        with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) text_sha256 from documents)
+        select doc_id, max(doc_id) over (partition by text_sha256) keep_id, count(*) over (partition by text_sha256) group_size,
+               row_number() over (partition by text_sha256 order by doc_id desc nulls last) = 1 kept, text_sha256 from d""",
 }
