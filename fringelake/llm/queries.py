@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdup, jaccard, langid, mixing, pitmanyor, repeats, tokens, topk, toxicity, variants, warc
+from . import align, decontaminate, exactdup, jaccard, langid, mixing, pitmanyor, repeats, tokens, topk, toxicity, variants, warc
 from .common import table
 
 
@@ -83,11 +83,15 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.cross_align(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op4_jaccard, op5_repeats, op6_topk, op7_toxicity, op8_pitmanyor, op9_revisits, op9_bodies, op10_language, op11_exact, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_leaks, op2_tokens, op3_mixing, op4_jaccard, op5_repeats, op6_topk, op7_toxicity, op8_pitmanyor, op9_revisits, op9_bodies, op10_language, op11_exact, op12_alignment, op13_spelling)}
 
 ORACLE_SQL = {
     "op4_jaccard": """
