@@ -24,6 +24,7 @@ rows; extra columns are left out, whatever their names.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ FILE_BYTES = 64 << 20
 #: Pairs of ids that are broadcast at most (about 60 bytes each).
 FREQUENT = 250_000
 #: Units and bytes of units that a worker remembers, units encoded at once, bytes of text of a batch.
-UNITS, UNIT_BYTES, AT_ONCE, BATCH = 400_000, 16 << 20, 10_000, 1 << 20
+UNITS, UNIT_BYTES, AT_ONCE, BATCH = 150_000, 8 << 20, 2_000, 1 << 20
 MARK = "▁"
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 _ODD = re.compile(r"\s ")
@@ -93,6 +94,7 @@ class Encoder:
     """Tokens of both vocabularies; a unit is remembered without the space that it starts with."""
 
     def __init__(self, byte_level: bytes, pieces: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -108,7 +110,7 @@ class Encoder:
         names = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         before = model.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and model.get("normalizer") is None and not any(MARK in x.lstrip(MARK) for x in names)
-        self.a = Side(a_bytes, lambda units: [x.ids for x in a.encode_batch([" " + u for u in units], add_special_tokens=False)])
+        self.a = Side(a_bytes, lambda units: [x.ids for x in a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)])
         self.b = Side([_piece_bytes(x) for x in names], lambda units: b.encode(units, num_threads=1))
         self.clear()
 
@@ -197,7 +199,8 @@ def _ranks(ends: str, at: str) -> Column:
 
 def _parts(ids: str, last: str) -> str:
     """The ids of each group, joined by commas; ``last`` has the place of each group's last token."""
-    return f"zip_with({last}, slice(concat(array(-1), {last}), 1, size({last})), (i, p) -> array_join(cast(slice({ids}, p + 2, i - p) as array<string>), ','))"
+    several = f"array_join(transform(sequence(p + 1, i), k -> cast(get({ids}, k) as string)), ',')"
+    return f"zip_with({last}, slice(concat(array(-1), {last}), 1, size({last})), (i, p) -> if(i = p + 1, cast(get({ids}, i) as string), {several}))"
 
 
 def align(tokens: DataFrame) -> DataFrame:
