@@ -3,14 +3,15 @@
 Python only tokenises; all else are Spark's higher-order functions and joins.
 
 1. A text behind a space is cut at each space that follows a character which is not
-   white space, spaces at the end stay with the last word. No token of either vocabulary spans such a place (checked on the
-   vocabulary; else whole texts are encoded), so equal units have equal tokens and
-   are encoded once while a task remembers them. A row holds the ids and the byte
-   offsets at which tokens end.
-2. ``array_intersect`` of the ends gives the groups. The sorted union of the ends cuts the
-   text into segments, each within one token of A and one of B: those are exactly the
-   pairs that overlap. Which token a segment or a group's end belongs to
-   is its rank among the ends, read off one sort of both (linear, for runs are merged).
+   white space, spaces at the end stay with the last word. No token of either vocabulary
+   spans such a place (checked on the vocabulary; else whole texts are encoded), so a
+   unit has the same tokens everywhere. A row holds the distinct units of some texts, with the
+   ids and the byte offsets at which tokens end, and each text as a list of units.
+2. ``array_intersect`` of a unit's ends gives its groups. The union of the ends cuts it into
+   segments, each within one token of A and one of B: those are exactly the pairs that
+   overlap. Which token a segment or a group belongs to is looked up by its byte in
+   an array that repeats each token's place (linear in the unit's bytes). Groups
+   and links of a text are those of its units.
 3. Pairs are counted once a document. Frequent pairs (``FREQUENT`` at most) are
    broadcast and answer most links where they are read; the others are summed by document
    and pair before they are shuffled to their counts.
@@ -42,7 +43,7 @@ FILE_BYTES = 64 << 20
 #: Pairs of ids that are broadcast at most (about 60 bytes each).
 FREQUENT = 250_000
 #: Units and bytes of units that a worker remembers, units encoded at once, bytes of text of a batch.
-UNITS, UNIT_BYTES, AT_ONCE, BATCH = 150_000, 8 << 20, 2_000, 1 << 20
+UNITS, UNIT_BYTES, AT_ONCE, BATCH = 150_000, 8 << 20, 2_000, 2 << 20
 MARK = "▁"
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 _ODD = re.compile(r"\s ")
@@ -139,13 +140,13 @@ class Encoder:
         self.held += sum(map(len, new))
 
 
-def _lists(side: Side, codes: np.ndarray, doc_first: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """(ids, ends) of each document, given its units' codes."""
+def _lists(side: Side, codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(ids, ends) of each unit."""
     first, count = np.asarray(side.first, np.int64)[codes], np.asarray(side.count, np.int64)[codes]
     ids = side.ids[expand(first, count)]
-    offsets = np.concatenate([[0], np.cumsum(count)])[doc_first]
+    offsets = np.concatenate([[0], np.cumsum(count)])
     total = np.concatenate([[0], np.cumsum(side.sizes[ids], dtype=np.int64)])
-    ends = total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+    ends = total[1:] - np.repeat(total[offsets[:-1]], count)
     at = pa.array(offsets.astype(np.int32))
     return pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int32)))
 
@@ -154,8 +155,8 @@ def _whole(side: Side, codes: list[int]) -> bytes:
     return b"".join(side.token_bytes[i] for c in codes for i in side.ids[side.first[c] : side.first[c] + side.count[c]])
 
 
-def _encoded(encoder: Encoder, texts: list[str | None]) -> list[pa.Array]:
-    """a_ids, a_ends, b_ids, b_ends of some texts."""
+def _encoded(encoder: Encoder, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    """One row: the distinct units of some texts with their tokens, and each document as the places of its units."""
     units = [encoder.units(t) if t else [] for t in texts]
     encoder.learn({u for us in units for u in us})
     found = [list(map(encoder.codes.__getitem__, us)) for us in units]
@@ -164,13 +165,19 @@ def _encoded(encoder: Encoder, texts: list[str | None]) -> list[pa.Array]:
             want = b" " + texts[k].encode("utf-8", "surrogatepass")
             if not _whole(encoder.a, codes) == want == _whole(encoder.b, codes):
                 found[k] = []
-    doc_first = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
-    codes = np.fromiter((c for x in found for c in x), np.int64, int(doc_first[-1]))
-    return [x for side in (encoder.a, encoder.b) for x in _lists(side, codes, doc_first)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+    distinct, places = np.unique(np.fromiter((c for x in found for c in x), np.int64, int(first[-1])), return_inverse=True)
+    count = [np.concatenate([[0], np.cumsum(np.asarray(side.count, np.int64)[distinct][places])]) for side in (encoder.a, encoder.b)]
+    n_a, n_b = (pa.array(np.diff(c[first])) for c in count)
+    codes = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(places.astype(np.int32)))
+    docs = pa.StructArray.from_arrays([ids, n_a, n_b, codes], ["doc_id", "n_a", "n_b", "codes"])
+    lists = pa.StructArray.from_arrays([x for side in (encoder.a, encoder.b) for x in _lists(side, distinct)], ["a_ids", "a_ends", "b_ids", "b_ends"])
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return pa.RecordBatch.from_arrays([one(lists), one(docs)], ["units", "docs"])
 
 
 def encode(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
-    """doc_id, a_ids, a_ends, b_ids, b_ends of every document."""
+    """A row for about ``BATCH`` bytes of texts: units (a_ids, a_ends, b_ids, b_ends of each distinct one) and docs (doc_id, n_a, n_b, codes: its units)."""
     with open(byte_level, "rb") as a, open(pieces, "rb") as b:
         files = (a.read(FILE_BYTES + 1), b.read(FILE_BYTES + 1))
     if max(map(len, files)) > FILE_BYTES:
@@ -185,33 +192,35 @@ def encode(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES)
         for batch in batches:
             for i, j in chunks(batch["text"], BATCH):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *_encoded(_encoders[token], part["text"].to_pylist())], ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                yield _encoded(_encoders[token], part["doc_id"], part["text"].to_pylist())
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"units array<struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>>, docs array<struct<doc_id:{kind},n_a:long,n_b:long,codes:array<int>>>")
 
 
-def _ranks(ends: str, at: str) -> Column:
-    """For each of the sorted offsets ``at``, how many of ``ends`` come before it."""
-    places = f"transform(sort_array(concat(transform({ends}, e -> 2 * e), transform({at}, e -> 2 * e - 1))), (x, i) -> if(x & 1 = 1, i, -1))"
-    return F.expr(f"transform(array_remove({places}, -1), (p, r) -> p - r)")
+def _owner(ends: str) -> str:
+    """For each byte, the place of the token that it belongs to."""
+    return f"flatten(transform({ends}, (e, i) -> array_repeat(i, e - coalesce(get({ends}, i - 1), 0))))"
 
 
-def _parts(ids: str, last: str) -> str:
-    """The ids of each group, joined by commas; ``last`` has the place of each group's last token."""
-    several = f"array_join(transform(sequence(p + 1, i), k -> cast(get({ids}, k) as string)), ',')"
-    return f"zip_with({last}, slice(concat(array(-1), {last}), 1, size({last})), (i, p) -> if(i = p + 1, cast(get({ids}, i) as string), {several}))"
+def _part(ids: str, owner: str) -> str:
+    """The ids of the tokens from byte p up to byte e, joined by commas."""
+    several = f"array_join(transform(sequence(get({owner}, p), get({owner}, e - 1)), i -> cast(get({ids}, i) as string)), ',')"
+    return f"if(get({owner}, p) = get({owner}, e - 1), cast(get({ids}, get({owner}, p)) as string), {several})"
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, groups (as text), links (A id << 32 | B id, an entry for each pair of tokens that overlap) from a row's ids and ends."""
-    both = tokens.withColumns({"shared": F.array_intersect("a_ends", "b_ends"), "cuts": F.sort_array(F.array_union("a_ends", "b_ends"))})
-    # Columns that are read more than once stay in a projection of their own; lambdas read input columns only.
-    placed = both.withColumns({"a_last": _ranks("a_ends", "shared"), "b_last": _ranks("b_ends", "shared"), "a_cut": _ranks("a_ends", "cuts"), "b_cut": _ranks("b_ends", "cuts")})
-    links = F.expr("zip_with(a_cut, b_cut, (i, j) -> shiftleft(cast(get(a_ids, i) as bigint), 32) | get(b_ids, j))")
-    groups = F.expr(f"zip_with({_parts('a_ids', 'a_last')}, {_parts('b_ids', 'b_last')}, (a, b) -> concat(a, '|', b))")
-    count = lambda x: F.size(x).cast("long")
-    return placed.select("doc_id", count("a_ids").alias("n_a"), count("b_ids").alias("n_b"), count("shared").alias("n_groups"), F.array_join(groups, ";").alias("groups"), links.alias("links"))
+#: Inner expressions are bound to a lambda's variable, so that each is evaluated once a unit.
+_PLACED = f"transform(units, u -> struct(u.a_ids as a_ids, u.b_ids as b_ids, {_owner('u.a_ends')} as a_at, {_owner('u.b_ends')} as b_at, array_intersect(u.a_ends, u.b_ends) as shared, array_union(u.a_ends, u.b_ends) as cuts))"
+_GROUPS = f"zip_with(w.shared, slice(concat(array(0), w.shared), 1, size(w.shared)), (e, p) -> concat({_part('w.a_ids', 'w.a_at')}, '|', {_part('w.b_ids', 'w.b_at')}))"
+_LINKS = "transform(w.cuts, e -> shiftleft(cast(get(w.a_ids, get(w.a_at, e - 1)) as bigint), 32) | get(w.b_ids, get(w.b_at, e - 1)))"
+_DOC = """struct(d.doc_id as doc_id, d.n_a as n_a, d.n_b as n_b, aggregate(d.codes, 0L, (s, c) -> s + size(get(aligned, c).shared)) as n_groups,
+    array_join(transform(d.codes, c -> get(aligned, c).groups), ';') as groups, flatten(transform(d.codes, c -> get(aligned, c).links)) as links)"""
+
+
+def align(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, groups (as text), links (A id << 32 | B id, an entry for each pair of tokens that overlap; in no order within a unit)."""
+    aligned = encoded.withColumn("aligned", F.expr(f"transform({_PLACED}, w -> struct(w.shared as shared, array_join({_GROUPS}, ';') as groups, {_LINKS} as links))"))
+    return aligned.select(F.explode(F.expr(f"transform(docs, d -> {_DOC})")).alias("d")).select("d.*")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from fringelake.llm import align, queries
@@ -95,16 +96,28 @@ def test_forgetting_changes_nothing(spark, monkeypatch):
     rows = [(i, t) for i, t in corpus() if t]
     encoder = align.Encoder(*(open(p, "rb").read() for p in (align.BYTE_LEVEL, align.PIECES)))
     assert encoder.cuts
-    whole = [x.to_pylist() for x in align._encoded(encoder, [t for _, t in rows])]
+    ids = pa.array([i for i, _ in rows])
+
+    def tokens(batch):
+        """Ids and ends of both sides, by document."""
+        units, docs = batch["units"][0].as_py(), batch["docs"][0].as_py()
+        out = []
+        for d in docs:
+            sides = [], [], [], []
+            for c in d["codes"]:
+                for side, name in zip(sides, ("a_ids", "a_ends", "b_ids", "b_ends"), strict=True):
+                    side += units[c][name]
+            assert (d["n_a"], d["n_b"]) == (len(sides[0]), len(sides[2]))
+            out.append((sides[0], sides[2]))
+        return out
+
+    whole = tokens(align._encoded(encoder, ids, [t for _, t in rows]))
     monkeypatch.setattr(align, "UNITS", 5)
     monkeypatch.setattr(align, "AT_ONCE", 3)
-    apart = [[], [], [], []]
-    for _, t in rows:
-        for out, x in zip(apart, align._encoded(encoder, [t]), strict=True):
-            out += x.to_pylist()
+    apart = [x for i, (_, t) in enumerate(rows) for x in tokens(align._encoded(encoder, ids[i : i + 1], [t]))]
     encoder.clear()
     encoder.cuts = False
-    uncut = [x.to_pylist() for x in align._encoded(encoder, [t for _, t in rows])]
+    uncut = tokens(align._encoded(encoder, ids, [t for _, t in rows]))
     assert whole == apart == uncut
 
 
