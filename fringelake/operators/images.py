@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,8 +103,9 @@ def polarised_curves(frames: DataFrame) -> DataFrame:
 
 
 def frame_at(frames: DataFrame, times: DataFrame) -> DataFrame:
-    """The latest frame not after each time of its movie (the first before all), of frames (movie_id, t, ...)."""
-    listed = frames.groupBy("movie_id").agg(F.array_sort(F.collect_list(F.struct("t", "image_id"))).alias("f"))
-    joined = times.join(listed, "movie_id")
-    at = F.greatest(F.size(F.filter("f", lambda x: x["t"] <= F.col("time"))) - 1, F.lit(0))
-    return joined.select("movie_id", "time", F.get("f", at)["image_id"].alias("image_id"))
+    """The latest frame not after each time of its movie (the first before all), of frames (movie_id, t, image_id)."""
+    first = frames.groupBy("movie_id").agg(F.min_by("image_id", "t").alias("_first"))
+    w = Window.partitionBy("movie_id").orderBy("time", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = frames.select("movie_id", F.col("t").alias("time"), F.lit(0).alias("_kind"), "image_id").unionByName(times.select("movie_id", "time", F.lit(1).alias("_kind"), F.lit(None).cast(frames.schema["image_id"].dataType).alias("image_id")))
+    found = both.withColumn("image_id", F.last("image_id", True).over(w)).filter("_kind = 1")
+    return found.join(first, "movie_id").select("movie_id", "time", F.coalesce("image_id", "_first").alias("image_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import complexes as cx
+from . import intervals
 
 DEGREE = 3.141592653589 / 180.0
 BASELINE = ("t1", "t2")
@@ -78,19 +79,37 @@ def outside_hours(start: float, stop: float) -> Column:
 
 
 def flag_table(vis: DataFrame, flags: DataFrame) -> DataFrame:
-    """Anti-join of ``flags`` (start, stop, site): strict inside, either station."""
-    f = flags.select("start", "stop", "site")
-    return vis.join(f, (vis["time"] > f["start"]) & (vis["time"] < f["stop"]) & ((vis["t1"] == f["site"]) | (vis["t2"] == f["site"])), "left_anti")
+    """Rows that no flag (start, stop, site) holds: strictly inside it and of its station, its baseline ("A-B", in any order) or, if it is null, any row.
 
+    An equality join by block of hours; a block's flags are few beside its rows.
+    """
+    f = flags.select("start", "stop", F.col("site").alias("_site"))
+    stations = F.array(F.col("t1"), F.col("t2"), F.concat_ws("-", "t1", "t2"), F.concat_ws("-", "t2", "t1"))
+    held = (F.col("time") > F.col("start")) & (F.col("time") < F.col("stop")) & (F.col("_site").isNull() | F.array_contains(stations, F.col("_site")))
+    return intervals.join_spans(vis, f, F.col("start"), F.col("stop"), held, "left_anti")
+
+
+#: Columns of errors in tables of either kind.
+SIGMAS = ("sigma", "qsigma", "usigma", "vsigma", "rrsigma", "llsigma", "rlsigma", "lrsigma")
 
-def fractional_noise(vis: DataFrame, fraction: float) -> DataFrame:
-    return vis.withColumn("sigma", F.sqrt(F.col("sigma") * F.col("sigma") + fraction * fraction * amp() * amp()))
+
+def fractional_noise(vis: DataFrame, fraction: float, debias: bool = False) -> DataFrame:
+    """All errors of the table grow by a share of the amplitude of Stokes I (debiased on request; of a circular table, of the mean of RR and LL)."""
+    if "vis_re" in vis.columns:
+        a, s = amp(), F.col("sigma")
+    else:
+        both = [F.coalesce((F.col(f"rrvis_{p}") + F.col(f"llvis_{p}")) / 2, F.col(f"rrvis_{p}"), F.col(f"llvis_{p}")) for p in ("re", "im")]
+        a, s = cx.amplitude((both[0], both[1])), F.coalesce(F.sqrt(F.col("rrsigma") * F.col("rrsigma") + F.col("llsigma") * F.col("llsigma")) / 2, F.col("rrsigma"), F.col("llsigma"))
+    a = debiased(a, s) if debias else a
+    return vis.withColumns({c: F.sqrt(F.col(c) * F.col(c) + fraction * fraction * a * a) for c in SIGMAS if c in vis.columns})
 
 
 def taper(vis: DataFrame, fwhm: float, reverse: bool = False) -> DataFrame:
+    """Every product and error under (or, reversed, without) the transform of a round Gaussian."""
     size = fwhm / (2 * (2 * 0.6931471805599453) ** 0.5)
     kernel = F.exp(F.lit(-2 * 3.141592653589793**2 * size * size) * (F.col("u") * F.col("u") + F.col("v") * F.col("v")))
-    return vis.withColumns({c: F.col(c) / kernel if reverse else F.col(c) * kernel for c in ("vis_re", "vis_im", "sigma")})
+    names = [c for c in vis.columns if c in SIGMAS or c.endswith(("vis_re", "vis_im"))]
+    return vis.withColumns({c: F.col(c) / kernel if reverse else F.col(c) * kernel for c in names})
 
 
 def rescale_short(vis: DataFrame, flux: float, uv_max: float) -> DataFrame:
@@ -143,31 +162,34 @@ def incoherent(vis: DataFrame, seconds: float) -> DataFrame:
     return g.select(*BASELINE, "bucket", "n", "amp", F.when(F.col("n") == 1, F.col("m")).when(F.col("amp") > 0, F.col("amp") / snr_a).otherwise(F.col("c")).alias("sigma"))
 
 
-def scans(vis: DataFrame, gap: float) -> DataFrame:
+def scans(vis: DataFrame, gap: float, hours: float = 24.0) -> DataFrame:
     """(scan_id, t_start, t_stop, n_times): a new scan begins after more than ``gap`` hours.
 
-    Times are pre-aggregated; only distinct ones meet the ordered window.
+    Distinct times are ordered within blocks of ``hours``; only a row a block meets a window over all.
     """
-    times = vis.select("time").distinct()
-    w = Window.orderBy("time")
-    new = F.when(F.col("time") - F.lag("time").over(w) > gap, 1).otherwise(0)
-    return times.withColumn("scan_id", F.sum(new).over(w)).groupBy("scan_id").agg(F.min("time").alias("t_start"), F.max("time").alias("t_stop"), F.count(F.lit(1)).alias("n_times"))
+    times = vis.select("time").distinct().withColumn("_block", F.floor(F.col("time") / hours))
+    w, over = Window.partitionBy("_block").orderBy("time"), Window.orderBy("_block")
+    ends = times.groupBy("_block").agg(F.max("time").alias("_end")).withColumn("_before", F.lag("_end").over(over)).drop("_end")
+    gaps = times.join(ends, "_block").withColumn("_new", F.coalesce(F.col("time") - F.coalesce(F.lag("time").over(w), F.col("_before")) > gap, F.lit(False)).cast("long"))
+    base = gaps.groupBy("_block").agg(F.sum("_new").alias("_n")).select("_block", (F.sum("_n").over(over) - F.col("_n")).alias("_base"))
+    numbered = gaps.withColumn("_k", F.sum("_new").over(w)).join(base, "_block").select("time", (F.col("_base") + F.col("_k")).alias("scan_id"))
+    return numbered.groupBy("scan_id").agg(F.min("time").alias("t_start"), F.max("time").alias("t_stop"), F.count(F.lit(1)).alias("n_times"))
 
 
 def in_scans(vis: DataFrame, scan_table: DataFrame, margin: float = 1e-5) -> DataFrame:
     """Rows with the scan whose interval (start - margin, stop + margin], in hours, holds their time."""
-    return vis.join(scan_table, (F.col("time") > F.col("t_start") - margin) & (F.col("time") <= F.col("t_stop") + margin))
+    low, high = F.col("t_start") - margin, F.col("t_stop") + margin
+    return intervals.join_spans(vis, scan_table, low, high, (F.col("time") > low) & (F.col("time") <= high))
 
 
 def subscan_dropouts(tagged: DataFrame, share: float) -> DataFrame:
     """Drop baselines with few rows in a scan, then times that lack a remaining baseline of their scan."""
-    counts = tagged.groupBy("scan_id", *BASELINE).agg(F.count(F.lit(1)).alias("n"))
-    typical = counts.groupBy("scan_id").agg(F.median("n").alias("typical"))
-    good = counts.join(typical, "scan_id").filter(F.col("n") >= share * F.col("typical")).select("scan_id", *BASELINE)
-    left = tagged.join(good, ["scan_id", *BASELINE], "left_semi")
-    expected = good.groupBy("scan_id").agg(F.count(F.lit(1)).alias("expected"))
-    full = left.groupBy("scan_id", "time").agg(F.count(F.lit(1)).alias("seen")).join(expected, "scan_id").filter("seen = expected").select("scan_id", "time")
-    return left.join(full, ["scan_id", "time"], "left_semi")
+    scan = Window.partitionBy("scan_id")
+    counts = tagged.groupBy("scan_id", *BASELINE).agg(F.count(F.lit(1)).alias("_n"))
+    good = counts.withColumn("_typical", F.median("_n").over(scan)).filter(F.col("_n") >= share * F.col("_typical"))
+    good = good.select("scan_id", *BASELINE, F.count(F.lit(1)).over(scan).alias("_expected"))
+    seen = F.count(F.lit(1)).over(Window.partitionBy("scan_id", "time"))
+    return tagged.join(good, ["scan_id", *BASELINE]).withColumn("_seen", seen).filter("_seen = _expected").select("scan_id", "time", *[c for c in tagged.columns if c not in ("scan_id", "time")])
 
 
 def moving(vis: DataFrame, seconds: int) -> DataFrame:
@@ -200,54 +222,50 @@ def common_times(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
     return left.join(key(b).distinct(), ["_k", "_a", "_b"], "left_semi").drop("_k", "_a", "_b")
 
 
-def _at(knots: Column, time: Column, part: str, method: str, extrapolate: bool, outside: Column) -> Column:
-    """A curve's value at a time: knots are sorted structs of time and parts; one knot serves all times."""
-    n = F.size(knots)
-    at = F.size(F.filter(knots, lambda x: x["time"] <= time))
-    last = F.least(F.greatest(at, F.lit(1)), n - 1) if extrapolate else at  # the segment from knot last - 1 to last
-    low, high = F.get(knots, last - 1), F.get(knots, last)
-    within = F.lit(True) if extrapolate else (at > 0) & (at < n)
-    share = (time - low["time"]) / (high["time"] - low["time"])
-    if method == "nearest":
-        share = F.when(share > 0.5, 1.0).otherwise(0.0)
-    elif method != "linear":
-        raise ValueError(method)
-    on = F.get(knots, at - 1)
-    inside = F.when(on["time"] == time, on[part]).when(within, low[part] + share * (high[part] - low[part])).otherwise(outside)
-    return F.when(n == 1, F.get(knots, F.lit(0))[part]).otherwise(inside)
-
-
-def _curves(gains: DataFrame, parts: tuple[str, ...]) -> DataFrame:
-    return gains.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("time", *parts))).alias("k"))
+def _factors(vis: DataFrame, gains: DataFrame, parts: tuple[str, ...], method: str, extrapolate: bool) -> DataFrame:
+    """_1<part> and _2<part>: the gains of a row's two stations, 1 for those without a curve."""
+    one = {c: float(c.endswith("_re")) for c in parts}
+    for k in "12":
+        own = gains.select(F.col("site").alias("_site"), "time", *[F.col(c).alias(f"_{k}{c}") for c in parts])
+        vis = intervals.at_curve(vis.withColumn("_site", F.col(f"t{k}")), own, "_site", tuple(f"_{k}{c}" for c in parts), method, extrapolate, {f"_{k}{c}": x for c, x in one.items()}).drop("_site")
+    return vis
 
 
 def apply_gains(vis: DataFrame, gains: DataFrame, method: str = "linear", extrapolate: bool = False) -> DataFrame:
-    """Multiply by g1 conj(g2), gains (site, time, g_re, g_im) interpolated ("linear", or "nearest", the earlier of equals).
+    """Multiply by g1 conj(g2), gains (site, time, g_re, g_im) interpolated ("linear", "cubic", or "nearest", the earlier of equals).
 
     A station without a curve has gain 1, one with a single knot that gain at all times; NULL outside a longer curve unless the
-    end segments go on (``extrapolate``). A curve is one row; rows meet the curves of their stations without a shuffle of times.
+    end segments go on (``extrapolate``).
     """
-    curves = _curves(gains, ("g_re", "g_im"))
-    joined, none = vis, F.lit(None).cast("double")
-    for k in ("1", "2"):
-        joined = joined.join(curves.select(F.col("site").alias(f"t{k}"), F.col("k").alias(f"_k{k}")), f"t{k}", "left")
-        knots = F.col(f"_k{k}")
-        value = lambda part, alone: F.when(knots.isNull(), F.lit(alone)).otherwise(_at(knots, F.col("time"), part, method, extrapolate, none))  # noqa: B023, E731
-        joined = joined.withColumns({f"_g{k}_re": value("g_re", 1.0), f"_g{k}_im": value("g_im", 0.0)})
-    g = cx.mul(cx.pair("_g1"), cx.conj(cx.pair("_g2")))
+    joined = _factors(vis, gains, ("g_re", "g_im"), method, extrapolate)
+    g = cx.mul(cx.pair("_1g"), cx.conj(cx.pair("_2g")))
     out = cx.mul(cx.pair("vis"), g)
     return joined.withColumns({"vis_re": out[0], "vis_im": out[1], "sigma": F.col("sigma") * cx.amplitude(g)}).select(*vis.columns)
 
 
+def apply_hands(vis: DataFrame, gains: DataFrame, method: str = "linear", extrapolate: bool = False, force: str | None = None) -> DataFrame:
+    """Multiply the products of a circular table by the gains (site, time, r_re, r_im, l_re, l_im) of both hands, as ``apply_gains`` does.
+
+    ``force`` ("R" or "L") takes that hand's gains for both.
+    """
+    joined = _factors(vis, gains, ("r_re", "r_im", "l_re", "l_im"), method, extrapolate)
+    hand = lambda k, h: cx.pair(f"_{k}{(force or h).lower()}")
+    columns = {}
+    for a in "rl":
+        for b in "rl":
+            g = cx.mul(hand(1, a), cx.conj(hand(2, b)))
+            z = cx.mul(cx.pair(f"{a}{b}vis"), g)
+            columns |= {f"{a}{b}vis_re": z[0], f"{a}{b}vis_im": z[1], f"{a}{b}sigma": F.col(f"{a}{b}sigma") * cx.amplitude(g)}
+    return joined.withColumns(columns).select(*vis.columns)
+
+
 def merge_gains(first: DataFrame, second: DataFrame, method: str = "linear") -> DataFrame:
     """Products of two gain tables (site, time, g_re, g_im) at the times of both; a table has gain 1 outside its knots and for absent sites."""
     times = first.select("site", "time").union(second.select("site", "time")).distinct()
-    parts = []
     for n, gains in enumerate((first, second)):
-        times = times.join(_curves(gains, ("g_re", "g_im")).withColumnRenamed("k", f"_k{n}"), "site", "left")
-        knots = F.col(f"_k{n}")
-        parts.append(tuple(F.when(knots.isNull(), F.lit(one)).otherwise(_at(knots, F.col("time"), part, method, False, F.lit(one))) for part, one in (("g_re", 1.0), ("g_im", 0.0))))
-    g = cx.mul(*parts)
+        one = {f"_{n}_re": 1.0, f"_{n}_im": 0.0}
+        times = intervals.at_curve(times, gains.select("site", "time", F.col("g_re").alias(f"_{n}_re"), F.col("g_im").alias(f"_{n}_im")), "site", (f"_{n}_re", f"_{n}_im"), method, False, one, one)
+    g = cx.mul(cx.pair("_0"), cx.pair("_1"))
     return times.select("site", "time", g[0].alias("g_re"), g[1].alias("g_im"))
 
 

@@ -1,11 +1,14 @@
-"""Named queries of gridded transforms, with their SQL."""
+"""Named queries of gridded transforms, cubic gains and flags of baselines, with their SQL."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from ..operators import gridding
+from ..operators import gridding, polarimetry
+from ..operators import visibility as V
 from .catalog import KEYS, query
+from .extended import CP, full
 
 PIXEL = 2e-9 / 8
 TAU = "6.283185307179586e0"
@@ -36,3 +39,33 @@ def sample_vis_gridded(vis):
     """Visibilities of an image of 8 by 8 pixels, read from its grid."""
     iy, ix = np.indices((8, 8))
     return gridding.model_visibilities(vis, 1 / (1.0 + ix + 2 * iy), gridding.Grid(8, PIXEL, width=14), "mod").select(*KEYS, "mod_re", "mod_im")
+
+
+def _cubic_gains(spark):
+    """Knots of cubic polynomials of time, which a cubic spline through them equals."""
+    k, t = F.col("k"), F.col("time")
+    knots = spark.range(6).select(F.col("id").alias("k")).crossJoin(spark.range(13).select((F.col("id") * 0.75 + 0.01 * F.pmod(F.col("id") * 7, F.lit(5))).alias("time")))
+    curve = lambda a, b: 1.0 + a * k * t * t * t - b * t * t
+    return knots.select(F.concat(F.lit("S"), k.cast("string")).alias("site"), "time", curve(1e-4, 2e-3).alias("r_re"), (1e-2 * k - 1e-4 * t * t * t).alias("r_im"), curve(2e-4, 1e-3).alias("l_re"), (2e-4 * t * t * k).alias("l_im"))
+
+
+_POLY = """c as (select *, cast(substr(t1, 2) as double) k1, cast(substr(t2, 2) as double) k2, time t, time >= 0 and time <= 9e0+1e-2*((12*7)%5) held from {vis}),
+    g as (select *, 1+1e-4*k1*t*t*t-2e-3*t*t ra, 1e-2*k1-1e-4*t*t*t rb, 1+1e-4*k2*t*t*t-2e-3*t*t rc, 1e-2*k2-1e-4*t*t*t rd, 1+2e-4*k1*t*t*t-1e-3*t*t la, 2e-4*t*t*k1 lb, 1+2e-4*k2*t*t*t-1e-3*t*t lc, 2e-4*t*t*k2 ld from c)"""
+
+
+@query(f"{_POLY.format(vis='vis')}@@select [time] time, t1, t2, [case when held then vis_re*(ra*rc+rb*rd)-vis_im*(rb*rc-ra*rd) end] vis_re, [case when held then vis_re*(rb*rc-ra*rd)+vis_im*(ra*rc+rb*rd) end] vis_im, [case when held then sigma*sqrt((ra*ra+rb*rb)*(rc*rc+rd*rd)) end] sigma from g")
+def applycal_cubic(vis):
+    gains = _cubic_gains(vis.sparkSession).select("site", "time", F.col("r_re").alias("g_re"), F.col("r_im").alias("g_im"))
+    return V.apply_gains(vis, gains, "cubic").select(*KEYS, "vis_re", "vis_im", "sigma")
+
+
+@query(f"{CP}, {_POLY.format(vis='cp')}@@select [time] time, t1, t2, [case when held then rr_re*(ra*rc+rb*rd)-rr_im*(rb*rc-ra*rd) end] rrvis_re, [case when held then rl_re*(ra*lc+rb*ld)-rl_im*(rb*lc-ra*ld) end] rlvis_re, [case when held then lr_re*(lb*rc-la*rd)+lr_im*(la*rc+lb*rd) end] lrvis_im, [case when held then ls*sqrt((la*la+lb*lb)*(lc*lc+ld*ld)) end] llsigma from g")
+def applycal_hands(vis):
+    """Both hands, by cubic curves."""
+    return V.apply_hands(polarimetry.switch(full(vis), "circ"), _cubic_gains(vis.sparkSession), "cubic").select(*KEYS, "rrvis_re", "rlvis_re", "lrvis_im", "llsigma")
+
+
+@query("select [time] time, t1, t2 from vis where not (time>1e0 and time<2e0 and 'S0' in (t1,t2)) and not (time>5e0 and time<55e-1 and t1='S2' and t2='S3') and not (time>6e0 and time<61e-1)")
+def flags_of_baselines_and_all(vis):
+    flags = vis.sparkSession.createDataFrame([(1.0, 2.0, "S0"), (5.0, 5.5, "S3-S2"), (6.0, 6.1, None)], "start double, stop double, site string")
+    return V.flag_table(vis, flags).select(*KEYS)
