@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,8 +74,7 @@ class Side:
 
     def clear(self) -> None:
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.first: list[int] = []
-        self.count: list[int] = []
+        self.first, self.count = array("q"), array("q")
 
     def add(self, units: list[str]) -> list[bool]:
         """Encode units; for each, whether its tokens give its bytes back."""
@@ -91,10 +91,44 @@ class Side:
         return same
 
 
+#: The public pattern at which byte-level tokenizers divide a text before they merge.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def by_rank(byte_level: bytes) -> bool:
+    """Whether merging by the rank of what comes out gives the tokens of the byte-level vocabulary.
+
+    It does if a merge only uses what earlier ones have made and every token comes out of its own bytes: what lies within a
+    token's place is then merged as it would be alone, and its last merge is the vocabulary's.
+    """
+    from tokenizers import Tokenizer
+
+    model = json.loads(byte_level)
+    rules, before = model["model"], model.get("pre_tokenizer") or {}
+    plain = rules.get("type") == "BPE" and not rules.get("dropout") and not rules.get("ignore_merges") and not rules.get("continuing_subword_prefix") and not rules.get("end_of_word_suffix")
+    if not plain or model.get("normalizer") is not None or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before.get("add_prefix_space"):
+        return False
+    vocabulary, last = rules["vocab"], -1
+    if any(c not in vocabulary for c in _byte_level()):
+        return False
+    for merge in rules["merges"]:
+        x, y = merge.split(" ") if isinstance(merge, str) else merge
+        i = vocabulary.get(x + y, -1)
+        if i <= last or max(vocabulary.get(x, i), vocabulary.get(y, i)) >= i:
+            return False
+        last = i
+    added = {x["content"] for x in model.get("added_tokens", [])}
+    tokens = [t for t in vocabulary if t not in added]
+    own = Tokenizer.from_str(byte_level.decode())
+    own.pre_tokenizer = None  # tokens as they are, in the byte-level alphabet
+    own.encode_special_tokens = True
+    return all(x.ids == [vocabulary[t]] for t, x in zip(tokens, own.encode_batch(tokens, add_special_tokens=False), strict=True))
+
+
 class Encoder:
-    """Tokens of both vocabularies; a unit is remembered without the space that it starts with."""
+    """Tokens of both vocabularies; a unit is remembered without the space that it starts with. ``ranked``: as ``by_rank`` says."""
 
-    def __init__(self, byte_level: bytes, pieces: bytes):
+    def __init__(self, byte_level: bytes, pieces: bytes, ranked: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -105,13 +139,22 @@ class Encoder:
         a_bytes = [b""] * (1 + max([*vocabulary.values(), *added]))
         for token, i in vocabulary.items():
             a_bytes[i] = bytes(map(alphabet.__getitem__, token)) if i not in added else added[i]
-        a = Tokenizer.from_str(byte_level.decode())
-        a.encode_special_tokens = True
+        a = None if ranked else Tokenizer.from_str(byte_level.decode())
+        if a is not None:
+            a.encode_special_tokens = True
         b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         names = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         before = model.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and model.get("normalizer") is None and not any(MARK in x.lstrip(MARK) for x in names)
-        self.a = Side(a_bytes, lambda units: [x.ids for x in a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)])
+        if ranked:
+            import tiktoken
+
+            ranks = {a_bytes[i]: i for i in vocabulary.values() if i not in added}
+            fast = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            encode = lambda units: [fast(" " + u) for u in units]
+        else:
+            encode = lambda units: [x.ids for x in a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        self.a = Side(a_bytes, encode)
         self.b = Side([_piece_bytes(x) for x in names], lambda units: b.encode(units, num_threads=1))
         self.clear()
 
@@ -142,7 +185,7 @@ class Encoder:
 
 def _lists(side: Side, codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """(ids, ends) of each unit."""
-    first, count = np.asarray(side.first, np.int64)[codes], np.asarray(side.count, np.int64)[codes]
+    first, count = np.array(side.first)[codes], np.array(side.count)[codes]
     ids = side.ids[expand(first, count)]
     offsets = np.concatenate([[0], np.cumsum(count)])
     total = np.concatenate([[0], np.cumsum(side.sizes[ids], dtype=np.int64)])
@@ -167,7 +210,7 @@ def _encoded(encoder: Encoder, ids: pa.Array, texts: list[str | None]) -> pa.Rec
                 found[k] = []
     first = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
     distinct, places = np.unique(np.fromiter((c for x in found for c in x), np.int64, int(first[-1])), return_inverse=True)
-    count = [np.concatenate([[0], np.cumsum(np.asarray(side.count, np.int64)[distinct][places])]) for side in (encoder.a, encoder.b)]
+    count = [np.concatenate([[0], np.cumsum(np.array(side.count)[distinct][places])]) for side in (encoder.a, encoder.b)]
     n_a, n_b = (pa.array(np.diff(c[first])) for c in count)
     codes = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(places.astype(np.int32)))
     docs = pa.StructArray.from_arrays([ids, n_a, n_b, codes], ["doc_id", "n_a", "n_b", "codes"])
@@ -182,7 +225,7 @@ def encode(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES)
         files = (a.read(FILE_BYTES + 1), b.read(FILE_BYTES + 1))
     if max(map(len, files)) > FILE_BYTES:
         raise ValueError(f"a vocabulary file has more than {FILE_BYTES} bytes")
-    shared = docs.sparkSession.sparkContext.broadcast(files)
+    shared = docs.sparkSession.sparkContext.broadcast((*files, by_rank(files[0])))
     token = hash(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,17 +252,24 @@ def _part(ids: str, owner: str) -> str:
     return f"if(get({owner}, p) = get({owner}, e - 1), cast(get({ids}, get({owner}, p)) as string), {several})"
 
 
-#: Inner expressions are bound to a lambda's variable, so that each is evaluated once a unit.
-_PLACED = f"transform(units, u -> struct(u.a_ids as a_ids, u.b_ids as b_ids, {_owner('u.a_ends')} as a_at, {_owner('u.b_ends')} as b_at, array_intersect(u.a_ends, u.b_ends) as shared, array_union(u.a_ends, u.b_ends) as cuts))"
+_PAIR = "shiftleft(cast({a} as bigint), 32) | {b}"
+_JOINED = "array_join(cast({ids} as array<string>), ',')"
+#: Units whose tokens all end together, and units that are one token on a side, are aligned without a search.
+_ALIKE = f"struct(size(u.a_ids) as n, array_join(zip_with(u.a_ids, u.b_ids, (a, b) -> concat(a, '|', b)), ';') as groups, zip_with(u.a_ids, u.b_ids, (a, b) -> {_PAIR.format(a='a', b='b')}) as links)"
+_ONE = f"struct(1 as n, concat({_JOINED.format(ids='u.a_ids')}, '|', {_JOINED.format(ids='u.b_ids')}) as groups, flatten(transform(u.a_ids, a -> transform(u.b_ids, b -> {_PAIR.format(a='a', b='b')}))) as links)"
+#: Else inner expressions are bound to a lambda's variable, so that each is evaluated once a unit.
+_PLACED = f"struct(u.a_ids as a_ids, u.b_ids as b_ids, {_owner('u.a_ends')} as a_at, {_owner('u.b_ends')} as b_at, array_intersect(u.a_ends, u.b_ends) as shared, array_union(u.a_ends, u.b_ends) as cuts)"
 _GROUPS = f"zip_with(w.shared, slice(concat(array(0), w.shared), 1, size(w.shared)), (e, p) -> concat({_part('w.a_ids', 'w.a_at')}, '|', {_part('w.b_ids', 'w.b_at')}))"
-_LINKS = "transform(w.cuts, e -> shiftleft(cast(get(w.a_ids, get(w.a_at, e - 1)) as bigint), 32) | get(w.b_ids, get(w.b_at, e - 1)))"
-_DOC = """struct(d.doc_id as doc_id, d.n_a as n_a, d.n_b as n_b, aggregate(d.codes, 0L, (s, c) -> s + size(get(aligned, c).shared)) as n_groups,
+_LINKS = f"transform(w.cuts, e -> {_PAIR.format(a='get(w.a_ids, get(w.a_at, e - 1))', b='get(w.b_ids, get(w.b_at, e - 1))')})"
+_ANY = f"get(transform(array({_PLACED}), w -> struct(size(w.shared) as n, array_join({_GROUPS}, ';') as groups, {_LINKS} as links)), 0)"
+_UNIT = f"if(u.a_ends = u.b_ends, {_ALIKE}, if(size(u.a_ids) = 1 or size(u.b_ids) = 1, {_ONE}, {_ANY}))"
+_DOC = """struct(d.doc_id as doc_id, d.n_a as n_a, d.n_b as n_b, aggregate(d.codes, 0L, (s, c) -> s + get(aligned, c).n) as n_groups,
     array_join(transform(d.codes, c -> get(aligned, c).groups), ';') as groups, flatten(transform(d.codes, c -> get(aligned, c).links)) as links)"""
 
 
 def align(encoded: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups (as text), links (A id << 32 | B id, an entry for each pair of tokens that overlap; in no order within a unit)."""
-    aligned = encoded.withColumn("aligned", F.expr(f"transform({_PLACED}, w -> struct(w.shared as shared, array_join({_GROUPS}, ';') as groups, {_LINKS} as links))"))
+    aligned = encoded.withColumn("aligned", F.expr(f"transform(units, u -> {_UNIT})"))
     return aligned.select(F.explode(F.expr(f"transform(docs, d -> {_DOC})")).alias("d")).select("d.*")
 
 

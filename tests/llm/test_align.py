@@ -118,7 +118,22 @@ def test_forgetting_changes_nothing(spark, monkeypatch):
     encoder.clear()
     encoder.cuts = False
     uncut = tokens(align._encoded(encoder, ids, [t for _, t in rows]))
-    assert whole == apart == uncut
+    with open(align.BYTE_LEVEL, "rb") as f:
+        assert align.by_rank(f.read())
+    ranked = align.Encoder(*(open(p, "rb").read() for p in (align.BYTE_LEVEL, align.PIECES)), True)
+    assert whole == apart == uncut == tokens(align._encoded(ranked, ids, [t for _, t in rows]))
+
+
+def test_vocabularies_that_ranks_do_not_tell_are_known():
+    import json
+
+    with open(align.BYTE_LEVEL) as f:
+        model = json.load(f)
+    swapped = json.loads(json.dumps(model))
+    swapped["model"]["merges"][5], swapped["model"]["merges"][500] = swapped["model"]["merges"][500], swapped["model"]["merges"][5]
+    spaced = json.loads(json.dumps(model))
+    spaced["pre_tokenizer"]["add_prefix_space"] = True
+    assert not align.by_rank(json.dumps(swapped).encode()) and not align.by_rank(json.dumps(spaced).encode())
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, ""), (None, None)], [(i, "same text") for i in range(9)]], ids=["empty", "null", "no text", "one text"])
