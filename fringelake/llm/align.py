@@ -29,6 +29,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,18 +77,24 @@ class Side:
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.first, self.count = array("q"), array("q")
 
-    def add(self, units: list[str]) -> list[bool]:
-        """Encode units; for each, whether its tokens give its bytes back."""
-        same = []
-        for unit, ids in zip(units, self.encode(units), strict=True):
-            end = self.used + len(ids)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.int32)])
-            self.ids[self.used : end] = ids
-            self.first.append(self.used)
-            self.count.append(len(ids))
-            self.used = end
-            same.append(b"".join(map(self.token_bytes.__getitem__, ids)) == b" " + unit.encode("utf-8", "surrogatepass"))
+    def add(self, units: list[str], want: list[bytes]) -> np.ndarray:
+        """Encode units; for each, whether its tokens give its bytes ``want`` back."""
+        lists = self.encode(units)
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(count.sum())
+        ids, end = np.fromiter(chain.from_iterable(lists), np.int32, total), self.used + total
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.int32)])
+        self.ids[self.used : end] = ids
+        last = np.cumsum(count)
+        self.first.frombytes((self.used + last - count).tobytes())
+        self.count.frombytes(count.tobytes())
+        self.used = end
+        # Units of the right sizes whose bytes agree in a row agree one by one.
+        sizes = np.concatenate([[0], np.cumsum(self.sizes[ids], dtype=np.int64)])
+        same = sizes[last] - sizes[last - count] == np.fromiter(map(len, want), np.int64, len(want))
+        if not same.all() or b"".join(map(self.token_bytes.__getitem__, ids.tolist())) != b"".join(want):
+            same = np.array([b"".join(map(self.token_bytes.__getitem__, x)) == w for x, w in zip(lists, want, strict=True)], bool)
         return same
 
 
@@ -179,7 +186,8 @@ class Encoder:
         for i in range(0, len(new), AT_ONCE):
             some = new[i : i + AT_ONCE]
             self.codes.update(zip(some, range(len(self.codes), len(self.codes) + len(some)), strict=True))
-            self.same += [x and y for x, y in zip(self.a.add(some), self.b.add(some), strict=True)]
+            want = [b" " + u.encode("utf-8", "surrogatepass") for u in some]
+            self.same += (self.a.add(some, want) & self.b.add(some, want)).tolist()
         self.held += sum(map(len, new))
 
 
