@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from fringelake.plans import catalog, closures, derived, extended, imaged  # noqa: F401  (all add to the catalog)
+from fringelake.plans import catalog, closures, derived, extended, files, imaged  # noqa: F401  (all add to the catalog)
 
 SF = "/root/testdata/sf0.001"
 
