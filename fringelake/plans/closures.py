@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import closure
-from .catalog import AMP, BISPEC, query
+from ..operators import closure, closureclean, gridding
+from .catalog import AMP, BISPEC, QUERIES, query, staged
 from .extended import off_ties
 
 #: Every baseline in both directions, the maximal and the minimal quadrangles of a time, and their legs.
@@ -73,3 +74,37 @@ def reduce_quad_minimal(vis):
     """The minimal set out of the maximal one."""
     some = closure.minimal_quadrangles(closure.closure_amplitudes(vis, debias=False), vis)
     return some.select("time", F.concat_ws("-", F.array_sort(F.array("t1", "t2", "t3", "t4"))).alias("stations"), "camp", "sigmaca")
+
+
+_AT = "(6.283185307179586e0*({s}*({u}*{x}+{v}*{y})))"
+_MIDDLE = "(-5e-1*(2e-9/4))"  # pixel 2 of 4, where the model is a point of flux 2
+_LEG = "2*cos({t}) m{k}, 2*sin({t}) n{k}"
+
+
+@query(
+    f"{_TRIANGLE_LEGS}, md as (select *, {', '.join(_LEG.format(k=k, t=_AT.format(s=1, u=f'u{k}', v=f'v{k}', x=_MIDDLE, y=_MIDDLE)) for k in '123')} from uv),"
+    " c as (select *, m2*m3-n2*n3 c1, m2*n3+n2*m3 d1, m1*m3-n1*n3 c2, m1*n3+n1*m3 d2, m1*m2-n1*n2 c3, m1*n2+n1*m2 d3 from md), r as (select *, re-(m1*c1-n1*d1) e, im-(m1*d1+n1*c1) f from c),"
+    " px as (select cast(i as int) i, (15e-1-i)*(2e-9/4) x from range(4) r(i)), z as (select b.i*4+a.i place, r.*, a.x x, b.x y from r, px a, px b)@@"
+    "select cast(place as bigint) place, [sum("
+    + "+".join(f"((e*c{k}+f*d{k})*cos(6.283185307179586e0*(u{k}*x+v{k}*y))-(e*d{k}-f*c{k})*sin(6.283185307179586e0*(u{k}*x+v{k}*y)))" for k in "123")
+    + ")*(-2e0)/count(*)/1e3] slope, [sum(e*e+f*f)/count(*)/1e3] misfit from z group by place"
+)
+def closure_clean_slopes(vis):
+    """The first raster of a CLEAN step on bispectra, of a model of one point."""
+    columns, legs = closureclean.DATA["bispec"]
+    rows = closure.bispectra(vis).select(*columns, *[c for leg in legs for c in leg])
+    image = np.zeros((4, 4))
+    image[2, 2] = 2.0
+    misfit, p, _, count = closureclean.derivatives(rows, "bispec", image, gridding.Grid(4, 2e-9 / 4, width=14), "uniform")
+    return vis.sparkSession.createDataFrame([(k, float(x) / count / 1e3, misfit / count / 1e3) for k, x in enumerate(p.ravel())], "place long, slope double, misfit double")
+
+
+def _clean_phases(spark, sf_dir):
+    """Components of eight CLEAN steps on the closure phases, from a point of flux 1 in the middle."""
+    table = closure.closure_phases(staged(spark, sf_dir))
+    image, _ = closureclean.clean_closures(table, "cphase", 8, 2e-9 / 8, steps=8, gain=0.3)
+    rows = [(int(k), float(image.ravel()[k])) for k in np.flatnonzero(image)]
+    return spark.createDataFrame(rows, "place long, flux double")
+
+
+QUERIES["clean_closure_phases"] = _clean_phases
