@@ -9,9 +9,9 @@ Python only tokenises; all else are Spark's higher-order functions and joins.
    ids and the byte offsets at which tokens end, and each text as a list of units.
 2. ``array_intersect`` of a unit's ends gives its groups. The union of the ends cuts it into
    segments, each within one token of A and one of B: those are exactly the pairs that
-   overlap. Which token a segment or a group belongs to is looked up by its byte in
-   an array that repeats each token's place (linear in the unit's bytes). Groups
-   and links of a text are those of its units.
+   overlap. Which token a segment or a group belongs to is looked up by its byte, for
+   a row also holds the place of each byte's token. Groups and links of a text are
+   those of its units.
 3. Pairs are counted once a document. Frequent pairs (``FREQUENT`` at most) are
    broadcast and answer most links where they are read; the others are summed by document
    and pair before they are shuffled to their counts.
@@ -191,15 +191,17 @@ class Encoder:
         self.held += sum(map(len, new))
 
 
-def _lists(side: Side, codes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """(ids, ends) of each unit."""
+def _lists(side: Side, codes: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(ids, ends, place of the token that each byte belongs to) of each unit."""
     first, count = np.array(side.first)[codes], np.array(side.count)[codes]
     ids = side.ids[expand(first, count)]
     offsets = np.concatenate([[0], np.cumsum(count)])
     total = np.concatenate([[0], np.cumsum(side.sizes[ids], dtype=np.int64)])
     ends = total[1:] - np.repeat(total[offsets[:-1]], count)
     at = pa.array(offsets.astype(np.int32))
-    return pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int32)))
+    owners = np.repeat(np.arange(len(ids)) - np.repeat(offsets[:-1], count), side.sizes[ids])
+    by_byte = pa.array(total[offsets].astype(np.int32))
+    return pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int32))), pa.ListArray.from_arrays(by_byte, pa.array(owners.astype(np.int32)))
 
 
 def _whole(side: Side, codes: list[int]) -> bytes:
@@ -222,13 +224,13 @@ def _encoded(encoder: Encoder, ids: pa.Array, texts: list[str | None]) -> pa.Rec
     n_a, n_b = (pa.array(np.diff(c[first])) for c in count)
     codes = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(places.astype(np.int32)))
     docs = pa.StructArray.from_arrays([ids, n_a, n_b, codes], ["doc_id", "n_a", "n_b", "codes"])
-    lists = pa.StructArray.from_arrays([x for side in (encoder.a, encoder.b) for x in _lists(side, distinct)], ["a_ids", "a_ends", "b_ids", "b_ends"])
+    lists = pa.StructArray.from_arrays([x for side in (encoder.a, encoder.b) for x in _lists(side, distinct)], ["a_ids", "a_ends", "a_at", "b_ids", "b_ends", "b_at"])
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     return pa.RecordBatch.from_arrays([one(lists), one(docs)], ["units", "docs"])
 
 
 def encode(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
-    """A row for about ``BATCH`` bytes of texts: units (a_ids, a_ends, b_ids, b_ends of each distinct one) and docs (doc_id, n_a, n_b, codes: its units)."""
+    """A row for about ``BATCH`` bytes of texts: units (ids, ends, and the place of each byte's token, of each distinct one) and docs (doc_id, n_a, n_b, codes: its units)."""
     with open(byte_level, "rb") as a, open(pieces, "rb") as b:
         files = (a.read(FILE_BYTES + 1), b.read(FILE_BYTES + 1))
     if max(map(len, files)) > FILE_BYTES:
@@ -246,18 +248,14 @@ def encode(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES)
                 yield _encoded(_encoders[token], part["doc_id"], part["text"].to_pylist())
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"units array<struct<a_ids:array<int>,a_ends:array<int>,b_ids:array<int>,b_ends:array<int>>>, docs array<struct<doc_id:{kind},n_a:long,n_b:long,codes:array<int>>>")
-
-
-def _owner(ends: str) -> str:
-    """For each byte, the place of the token that it belongs to."""
-    return f"flatten(transform({ends}, (e, i) -> array_repeat(i, e - coalesce(get({ends}, i - 1), 0))))"
+    return docs.select("doc_id", "text").mapInArrow(run, f"units array<struct<a_ids:array<int>,a_ends:array<int>,a_at:array<int>,b_ids:array<int>,b_ends:array<int>,b_at:array<int>>>, docs array<struct<doc_id:{kind},n_a:long,n_b:long,codes:array<int>>>")
 
 
 def _part(ids: str, owner: str) -> str:
-    """The ids of the tokens from byte p up to byte e, joined by commas."""
-    several = f"array_join(transform(sequence(get({owner}, p), get({owner}, e - 1)), i -> cast(get({ids}, i) as string)), ',')"
-    return f"if(get({owner}, p) = get({owner}, e - 1), cast(get({ids}, get({owner}, p)) as string), {several})"
+    """The ids of the tokens from the shared end before number k up to that at byte e, joined by commas."""
+    first, last = f"get({owner}, coalesce(get(w, k - 1), 0))", f"get({owner}, e - 1)"
+    several = f"array_join(transform(sequence({first}, {last}), i -> cast(get({ids}, i) as string)), ',')"
+    return f"if({first} = {last}, cast(get({ids}, {last}) as string), {several})"
 
 
 _PAIR = "shiftleft(cast({a} as bigint), 32) | {b}"
@@ -265,11 +263,10 @@ _JOINED = "array_join(cast({ids} as array<string>), ',')"
 #: Units whose tokens all end together, and units that are one token on a side, are aligned without a search.
 _ALIKE = f"struct(size(u.a_ids) as n, array_join(zip_with(u.a_ids, u.b_ids, (a, b) -> concat(a, '|', b)), ';') as groups, zip_with(u.a_ids, u.b_ids, (a, b) -> {_PAIR.format(a='a', b='b')}) as links)"
 _ONE = f"struct(1 as n, concat({_JOINED.format(ids='u.a_ids')}, '|', {_JOINED.format(ids='u.b_ids')}) as groups, flatten(transform(u.a_ids, a -> transform(u.b_ids, b -> {_PAIR.format(a='a', b='b')}))) as links)"
-#: Else inner expressions are bound to a lambda's variable, so that each is evaluated once a unit.
-_PLACED = f"struct(u.a_ids as a_ids, u.b_ids as b_ids, {_owner('u.a_ends')} as a_at, {_owner('u.b_ends')} as b_at, array_intersect(u.a_ends, u.b_ends) as shared, array_union(u.a_ends, u.b_ends) as cuts)"
-_GROUPS = f"zip_with(w.shared, slice(concat(array(0), w.shared), 1, size(w.shared)), (e, p) -> concat({_part('w.a_ids', 'w.a_at')}, '|', {_part('w.b_ids', 'w.b_at')}))"
-_LINKS = f"transform(w.cuts, e -> {_PAIR.format(a='get(w.a_ids, get(w.a_at, e - 1))', b='get(w.b_ids, get(w.b_at, e - 1))')})"
-_ANY = f"get(transform(array({_PLACED}), w -> struct(size(w.shared) as n, array_join({_GROUPS}, ';') as groups, {_LINKS} as links)), 0)"
+#: Else the shared ends are bound to a lambda's variable, so that they are found once a unit.
+_GROUPS = f"transform(w, (e, k) -> concat({_part('u.a_ids', 'u.a_at')}, '|', {_part('u.b_ids', 'u.b_at')}))"
+_LINKS = f"transform(array_union(u.a_ends, u.b_ends), e -> {_PAIR.format(a='get(u.a_ids, get(u.a_at, e - 1))', b='get(u.b_ids, get(u.b_at, e - 1))')})"
+_ANY = f"get(transform(array(array_intersect(u.a_ends, u.b_ends)), w -> struct(size(w) as n, array_join({_GROUPS}, ';') as groups, {_LINKS} as links)), 0)"
 _UNIT = f"if(u.a_ends = u.b_ends, {_ALIKE}, if(size(u.a_ids) = 1 or size(u.b_ids) = 1, {_ONE}, {_ANY}))"
 _DOC = """struct(d.doc_id as doc_id, d.n_a as n_a, d.n_b as n_b, aggregate(d.codes, 0L, (s, c) -> s + get(aligned, c).n) as n_groups,
     array_join(transform(d.codes, c -> get(aligned, c).groups), ';') as groups, flatten(transform(d.codes, c -> get(aligned, c).links)) as links)"""
