@@ -45,7 +45,7 @@ FILE_BYTES = 64 << 20
 #: Pairs of ids that are broadcast at most (about 60 bytes each).
 FREQUENT = 250_000
 #: Units and bytes of units that a worker remembers, units encoded at once, bytes of text of a batch.
-UNITS, UNIT_BYTES, AT_ONCE, BATCH = 150_000, 8 << 20, 2_000, 2 << 20
+UNITS, UNIT_BYTES, AT_ONCE, BATCH = 150_000, 8 << 20, 2_000, 4 << 20
 MARK = "▁"
 _CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 _ODD = re.compile(r"\s ")
