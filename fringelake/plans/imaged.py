@@ -1,13 +1,13 @@
-"""Named queries of gridded transforms, cubic gains and flags of baselines, with their SQL."""
+"""Named queries of gridded transforms, cubic gains, flags of baselines and state-space movies, with their SQL."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import gridding, polarimetry
+from ..operators import gridding, polarimetry, statespace
 from ..operators import visibility as V
-from .catalog import KEYS, query
+from .catalog import KEYS, QUERIES, query, staged
 from .extended import CP, full
 
 PIXEL = 2e-9 / 8
@@ -69,3 +69,33 @@ def applycal_hands(vis):
 def flags_of_baselines_and_all(vis):
     flags = vis.sparkSession.createDataFrame([(1.0, 2.0, "S0"), (5.0, 5.5, "S3-S2"), (6.0, 6.1, None)], "start double, stop double, site string")
     return V.flag_table(vis, flags).select(*KEYS)
+
+
+_FRAME = "cast(dayno as bigint)//250"
+
+
+@query(
+    f"w as (select cast({_FRAME} as bigint) frame, 1e-4/(sigma*sigma) w, vis_re, vis_im, u, v from vis), px as (select b.i*2+a.i k, (5e-1-a.i)*1e-9 x, (5e-1-b.i)*1e-9 y from range(2) a(i), range(2) b(i)), s as ("
+    f"select frame, p.k*4+q.k cell, sum(w*cos({TAU}*(u*(p.x-q.x)+v*(p.y-q.y)))) s from w, px p, px q group by all union all select frame, 16+p.k, sum(w*(vis_re*cos({TAU}*(u*p.x+v*p.y))+vis_im*sin({TAU}*(u*p.x+v*p.y)))) from w, px p group by all)@@"
+    "select frame, cast(cell as bigint) cell, [s] as value from s"
+)
+def movie_information(vis):
+    """The sums that a state-space movie of 2 by 2 pixels asks of the visibilities of each 250 days."""
+    sums = statespace.frame_information(vis.withColumn("frame", F.expr("dayno div 250")), "frame", 2, 1e-9)
+    whole = sums.select("frame", F.posexplode(F.concat("info", "seen")).alias("cell", "value"))
+    return whole.select("frame", F.col("cell").cast("long").alias("cell"), (F.col("value") * 1e-4).alias("value"))
+
+
+def _movie_states(spark, sf_dir):
+    """Smoothed frames of 4 by 4 pixels, one for each 50 days, of a sky that changes at random."""
+    n = 4
+    vis = staged(spark, sf_dir).withColumn("frame", F.expr("dayno div 50"))
+    # Days are counted from 1995 and every 50 of them have visibilities, but for the first year or so perhaps.
+    first = vis.agg(F.min("frame")).first()[0] or 0
+    frames = statespace.frame_information(vis.withColumn("frame", F.col("frame") - first), "frame", n, 1e-9)
+    one = np.eye(n * n)
+    states = statespace.smooth(frames, one, 0.5 * one, np.ones(n * n), 25.0 * one)
+    return states.select("frame", F.get("mean", F.lit(0)).alias("corner"), F.aggregate("mean", F.lit(0.0), lambda s, x: s + x).alias("flux"))
+
+
+QUERIES["movie_states"] = _movie_states
