@@ -33,6 +33,13 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _staged[key]
 
 
+def forget() -> None:
+    """Free what ``staged`` has kept."""
+    for frame in _staged.values():
+        frame.unpersist()
+    _staged.clear()
+
+
 def query(sql: str, of: str = "vis"):
     """Register a function of the visibilities (or images), its doubles rounded, with SQL over ``vis``.
 

@@ -1,13 +1,13 @@
-"""Named queries of closure tables with their legs, of averages that are closed, and of reductions, with their SQL."""
+"""Named queries of closure tables with their legs, of averages that are closed, reductions, CLEAN on closures, traces and agreeing images, with their SQL."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import closure, closureclean, gridding
-from .catalog import AMP, BISPEC, QUERIES, query, staged
-from .extended import off_ties
+from ..operators import agreements, closure, closureclean, gridding, polarimetry, traces
+from .catalog import AMP, BISPEC, QUERIES, pictures, query, staged
+from .extended import CP, full, off_ties
 
 #: Every baseline in both directions, the maximal and the minimal quadrangles of a time, and their legs.
 _BOTH = "lg as (select time, t1 x, t2 y, u, v, {amp} a, {sigma} s from {source} union all select time, t2, t1, -u, -v, {amp}, {sigma} from {source})"
@@ -108,3 +108,45 @@ def _clean_phases(spark, sf_dir):
 
 
 QUERIES["clean_closure_phases"] = _clean_phases
+
+
+def _times(a: str, b: str) -> tuple[str, str]:
+    """SQL of the real and imaginary part of a product; a number x has the columns xr and xi."""
+    return f"({a}r*{b}r-{a}i*{b}i)", f"({a}r*{b}i+{a}i*{b}r)"
+
+
+def _row(name: str, plus: tuple[tuple[str, str], ...], signs: str = "++") -> str:
+    parts = [_times(*p) for p in plus]
+    return ", ".join("".join(s + p[k] for s, p in zip(signs, parts, strict=True)) + f" {name}{x}" for k, x in ((0, "r"), (1, "i")))
+
+
+_CELLS = ("a", "b", "c", "d")
+_POLARISED = f"""{CP}, lg as (select time, t1 x, t2 y, rr_re ar, rr_im ai, rl_re br, rl_im bi, lr_re cr, lr_im ci, ll_re dr, ll_im di from cp union all select time, t2, t1, rr_re, -rr_im, lr_re, -lr_im, rl_re, -rl_im, ll_re, -ll_im from cp), {_MAXIMAL},
+ jq as (select q.*, {', '.join(f'p{k}.{c}{x} {c}{k}{x}' for k in '1234' for c in _CELLS for x in 'ri')} from mx q join lg p1 on p1.time=q.time and p1.x=q.t1 and p1.y=q.t2 join lg p2 on p2.time=q.time and p2.x=q.t3 and p2.y=q.t2
+   join lg p3 on p3.time=q.time and p3.x=q.t3 and p3.y=q.t4 join lg p4 on p4.time=q.time and p4.x=q.t1 and p4.y=q.t4),
+ dt as (select *, {_row('e2', (('a2', 'd2'), ('b2', 'c2')), '+-')}, {_row('e4', (('a4', 'd4'), ('b4', 'c4')), '+-')} from jq),
+ pr as (select *, {', '.join(_row(f'{n}{i}{j}', p, s) for n, k, m in (('f', '1', '2'), ('g', '3', '4')) for i, (x, y) in enumerate((('a', 'b'), ('c', 'd'))) for j, p, s in ((0, ((x + k, 'd' + m), (y + k, 'c' + m)), '+-'), (1, ((y + k, 'a' + m), (x + k, 'b' + m)), '+-')))} from dt),
+ tp as (select *, {_row('n', (('f00', 'g00'), ('f01', 'g10'), ('f10', 'g01'), ('f11', 'g11')), '++++')}, {_row('w', (('e2', 'e4'),), '+')} from pr),
+ tr as (select *, 5e-1*(nr*wr+ni*wi)/(wr*wr+wi*wi) re, 5e-1*(ni*wr-nr*wi)/(wr*wr+wi*wi) im from tp)"""
+
+
+@query(f"{_POLARISED}@@select [time] time, t1, t2, t3, t4, [ln(sqrt(re*re+im*im))] log_size, [re/sqrt(re*re+im*im)] cosine from tr")
+def closure_traces(vis):
+    """Size and direction of the traces of all quadrangles."""
+    found = traces.closure_traces(polarimetry.switch(full(vis), "circ"))
+    size = F.sqrt(F.col("trace_re") * F.col("trace_re") + F.col("trace_im") * F.col("trace_im"))
+    return found.select("time", "t1", "t2", "t3", "t4", F.log(size).alias("log_size"), (F.col("trace_re") / size).alias("cosine"))
+
+
+@query("n as (select image_id, pix, list_avg(list_transform(pix, lambda x: cast(x as double))) m from img), c as (select image_id, list_transform(pix, lambda x: cast(x as double)-m) d from n), z as (select image_id, d, sqrt(list_sum(list_transform(d, lambda x: x*x))) s from c)@@select cast(p.image_id as bigint) a, cast(q.image_id as bigint) b, [list_inner_product(p.d, q.d)/(p.s*q.s)] as value from z p join z q on p.image_id<q.image_id where list_inner_product(p.d, q.d)/(p.s*q.s)>=35e-2", "images")
+def image_pairs(img):
+    """Pairs of images that correlate."""
+    return agreements.pairs(img, 0.35, 3)
+
+
+def _agreement_sets(spark, sf_dir):
+    """Maximal sets of images that all correlate with each other."""
+    return agreements.cliques(agreements.pairs(pictures(spark, sf_dir), 0.35)).select(F.size("members").alias("n"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+QUERIES["image_agreements"] = _agreement_sets

@@ -105,8 +105,8 @@ def test_a_planted_motion_is_learnt(spark):
     n, shift = 6, (0.45, 0.25)
     frames = statespace.frame_information(movie_vis(spark, n, 7, shift), "t", n, 1e-10).cache()
     noise, cov = 2e-3 * np.eye(n * n), np.eye(n * n)
-    p, path = statespace.learn_warp(frames, n, noise, np.zeros(n * n), cov, np.zeros(2), rounds=5, segment=3, block=2)
-    assert np.abs(p - shift).max() < 0.1 and len(path) == 5
+    p, path = statespace.learn_warp(frames, n, noise, np.zeros(n * n), cov, np.zeros(2), rounds=3, segment=3, block=2)
+    assert np.abs(p - shift).max() < 0.15 and len(path) == 3
 
 
 def test_warps():
