@@ -204,26 +204,29 @@ def _lists(side: Side, codes: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]
     return pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int32))), pa.ListArray.from_arrays(by_byte, pa.array(owners.astype(np.int32)))
 
 
-def _whole(side: Side, codes: list[int]) -> bytes:
+def _whole(side: Side, codes: np.ndarray) -> bytes:
     return b"".join(side.token_bytes[i] for c in codes for i in side.ids[side.first[c] : side.first[c] + side.count[c]])
 
 
 def _encoded(encoder: Encoder, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
     """One row: the distinct units of some texts with their tokens, and each document as the places of its units."""
     units = [encoder.units(t) if t else [] for t in texts]
-    encoder.learn({u for us in units for u in us})
-    found = [list(map(encoder.codes.__getitem__, us)) for us in units]
-    for k, codes in enumerate(found):
-        if not all(map(encoder.same.__getitem__, codes)):
-            want = b" " + texts[k].encode("utf-8", "surrogatepass")
-            if not _whole(encoder.a, codes) == want == _whole(encoder.b, codes):
-                found[k] = []
-    first = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
-    distinct, places = np.unique(np.fromiter((c for x in found for c in x), np.int64, int(first[-1])), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))])
+    encoder.learn(set(chain.from_iterable(units)))
+    codes = np.fromiter(map(encoder.codes.__getitem__, chain.from_iterable(units)), np.int64, int(first[-1]))
+    wrong = np.flatnonzero(~np.array(encoder.same, bool)[codes]) if len(codes) else codes
+    if len(wrong):  # texts that a tokenizer alters have no tokens
+        stays = np.ones(len(codes), bool)
+        for k in np.unique(np.searchsorted(first, wrong, "right") - 1):
+            own, want = codes[first[k] : first[k + 1]], b" " + texts[k].encode("utf-8", "surrogatepass")
+            if not _whole(encoder.a, own) == want == _whole(encoder.b, own):
+                stays[first[k] : first[k + 1]] = False
+        first, codes = np.concatenate([[0], np.cumsum(stays)])[first], codes[stays]
+    distinct, places = np.unique(codes, return_inverse=True)
     count = [np.concatenate([[0], np.cumsum(np.array(side.count)[distinct][places])]) for side in (encoder.a, encoder.b)]
     n_a, n_b = (pa.array(np.diff(c[first])) for c in count)
-    codes = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(places.astype(np.int32)))
-    docs = pa.StructArray.from_arrays([ids, n_a, n_b, codes], ["doc_id", "n_a", "n_b", "codes"])
+    lists_of = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(places.astype(np.int32)))
+    docs = pa.StructArray.from_arrays([ids, n_a, n_b, lists_of], ["doc_id", "n_a", "n_b", "codes"])
     lists = pa.StructArray.from_arrays([x for side in (encoder.a, encoder.b) for x in _lists(side, distinct)], ["a_ids", "a_ends", "a_at", "b_ids", "b_ends", "b_at"])
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
     return pa.RecordBatch.from_arrays([one(lists), one(docs)], ["units", "docs"])
@@ -267,9 +270,11 @@ _ONE = f"struct(1 as n, concat({_JOINED.format(ids='u.a_ids')}, '|', {_JOINED.fo
 _GROUPS = f"transform(w, (e, k) -> concat({_part('u.a_ids', 'u.a_at')}, '|', {_part('u.b_ids', 'u.b_at')}))"
 _LINKS = f"transform(array_union(u.a_ends, u.b_ends), e -> {_PAIR.format(a='get(u.a_ids, get(u.a_at, e - 1))', b='get(u.b_ids, get(u.b_at, e - 1))')})"
 _ANY = f"get(transform(array(array_intersect(u.a_ends, u.b_ends)), w -> struct(size(w) as n, array_join({_GROUPS}, ';') as groups, {_LINKS} as links)), 0)"
-_UNIT = f"if(u.a_ends = u.b_ends, {_ALIKE}, if(size(u.a_ids) = 1 or size(u.b_ids) = 1, {_ONE}, {_ANY}))"
-_DOC = """struct(d.doc_id as doc_id, d.n_a as n_a, d.n_b as n_b, aggregate(d.codes, 0L, (s, c) -> s + get(aligned, c).n) as n_groups,
-    array_join(transform(d.codes, c -> get(aligned, c).groups), ';') as groups, flatten(transform(d.codes, c -> get(aligned, c).links)) as links)"""
+_SINGLE = f"struct(1 as n, concat(get(u.a_ids, 0), '|', get(u.b_ids, 0)) as groups, array({_PAIR.format(a='get(u.a_ids, 0)', b='get(u.b_ids, 0)')}) as links)"
+_UNIT = f"if(size(u.a_ids) = 1 and size(u.b_ids) = 1, {_SINGLE}, if(u.a_ends = u.b_ends, {_ALIKE}, if(size(u.a_ids) = 1 or size(u.b_ids) = 1, {_ONE}, {_ANY})))"
+_PARTS = "transform(d.codes, c -> get(aligned, c))"
+_DOC = f"""get(transform(array({_PARTS}), p -> struct(d.doc_id as doc_id, d.n_a as n_a, d.n_b as n_b, aggregate(p.n, 0L, (s, n) -> s + n) as n_groups,
+    array_join(p.groups, ';') as groups, flatten(p.links) as links)), 0)"""
 
 
 def align(encoded: DataFrame) -> DataFrame:
