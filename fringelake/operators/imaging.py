@@ -62,8 +62,11 @@ def normal_sums(vis: DataFrame, n: int, pixel: float, weighting: str = "natural"
     return frame_sums(vis.withColumn("_frame", F.lit(0)), n, pixel, "_frame", weighting, data, sigma).get(0) or Sums(np.zeros((n, n)), np.zeros((2 * n - 1, 2 * n - 1)), 0.0, 0.0, 0, pixel)
 
 
-def frame_sums(vis: DataFrame, n: int, pixel: float, frame: str, weighting: str = "natural", data: str = "vis", sigma: str = "sigma") -> dict[int, Sums]:
-    """The sums of each value of the integer column ``frame``, all by one pass; a task holds a raster for each frame it meets."""
+def frame_sum_rows(vis: DataFrame, n: int, pixel: float, frame: str, weighting: str = "natural", data: str = "vis", sigma: str = "sigma") -> DataFrame:
+    """(frame, at, value): the sums of each value of the integer column ``frame``, as dirty, spread, power, weight and count one after another.
+
+    One pass; a task holds a raster for each frame it meets.
+    """
     x, offsets = positions(n, pixel), np.arange(-(n - 1), n) * pixel
 
     size = n * n + (2 * n - 1) ** 2 + 3
@@ -86,7 +89,13 @@ def frame_sums(vis: DataFrame, n: int, pixel: float, frame: str, weighting: str
             yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k)), pa.array(np.arange(size)), pa.array(total)], ["frame", "at", "value"])
 
     usable = vis.select("u", "v", f"{data}_re", f"{data}_im", sigma, F.col(frame).cast("long").alias("_f")).dropna().filter(F.col(sigma) > 0)
-    sums = usable.mapInArrow(run, "frame long, at long, value double").groupBy("frame", "at").agg(F.sum("value").alias("value")).toArrow().sort_by([("frame", "ascending"), ("at", "ascending")])
+    return usable.mapInArrow(run, "frame long, at long, value double").groupBy("frame", "at").agg(F.sum("value").alias("value"))
+
+
+def frame_sums(vis: DataFrame, n: int, pixel: float, frame: str, weighting: str = "natural", data: str = "vis", sigma: str = "sigma") -> dict[int, Sums]:
+    """The sums of each value of the integer column ``frame``."""
+    size = n * n + (2 * n - 1) ** 2 + 3
+    sums = frame_sum_rows(vis, n, pixel, frame, weighting, data, sigma).toArrow().sort_by([("frame", "ascending"), ("at", "ascending")])
     values, m = sums["value"].to_numpy().reshape(-1, size), n * n
     # Offsets rise along the axes of spread while positions fall; the cosine is even, so either order serves.
     return {int(k): Sums(got[:m].reshape(n, n), got[m:-3].reshape(2 * n - 1, 2 * n - 1), float(got[-3]), float(got[-2]), int(got[-1]), pixel) for k, got in zip(sums["frame"].to_numpy()[::size], values, strict=True)}

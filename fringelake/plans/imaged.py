@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import gridding, polarimetry, statespace
+from ..operators import flow, gridding, polarimetry, search, statespace
 from ..operators import visibility as V
-from .catalog import KEYS, QUERIES, query, staged
+from ..operators.models import Component
+from .catalog import KEYS, QUERIES, SIDE, pictures, query, staged
 from .extended import CP, full
 
 PIXEL = 2e-9 / 8
@@ -99,3 +100,71 @@ def _movie_states(spark, sf_dir):
 
 
 QUERIES["movie_states"] = _movie_states
+
+
+def _clips(img):
+    """Movies of 50 consecutive images."""
+    return img.select(F.expr("image_id div 50").alias("movie_id"), F.col("image_id").alias("frame"), "pix")
+
+
+_CLIPS = (
+    "px as (select cast(image_id as bigint)//50 movie_id, image_id frame, pix from img), pr as (select a.movie_id, a.frame, a.pix p, b.pix q from px a join px b on b.movie_id=a.movie_id and b.frame=a.frame+1),"
+    "ij as (select *, cast(k as int) i, cast(k//8 as int) r, cast(k%8 as int) c from pr, range(64) t(k)), g as (select movie_id, frame, i, r, c, cast(p[[i+1]] as double) s, cast(q[[i+1]] as double)-cast(p[[i+1]] as double) d,"
+    "(cast(p[[(r+1)%8*8+c+1]] as double)-cast(p[[(r+7)%8*8+c+1]] as double))/2 gr, (cast(p[[r*8+(c+1)%8+1]] as double)-cast(p[[r*8+(c+7)%8+1]] as double))/2 gc from ij)"
+)
+
+
+@query(f"{_CLIPS}@@select movie_id, cast(i as int) i, [sum(gr*gr)] rr, [sum(gr*gc)] rc, [sum(gc*gc)] cc, [sum(gr*s)] rs, [sum(gc*s)] cs, [sum(s*s)] ss, [sum(gr*d)] rd, [sum(gc*d)] cd, [sum(s*d)] sd from g group by movie_id, i", "images")
+def movie_flow_sums(img):
+    """All that the flow of each movie follows from."""
+    return flow.flow_sums(_clips(img), SIDE)
+
+
+@query(
+    f"{_CLIPS}, m as (select *, 1e-1*(r-35e-1) dn, 5e-2*(c-35e-1)*(c-2) rt from g), v as (select *, (1e-1*((r+1)%8)-1e-1*((r+7)%8))/2+5e-2*(((c+1)%8-35e-1)*((c+1)%8-2)-((c+7)%8-35e-1)*((c+7)%8-2))/2 div from m),"
+    "k as (select movie_id, count(distinct frame) n from px group by movie_id)@@select k.movie_id, [coalesce(sum(power(d+dn*gr+rt*gc+s*div,2)),0)/max(n)] as value from k left join v using (movie_id) group by k.movie_id",
+    "images",
+)
+def movie_flow_term(img):
+    """The flow term of a field that stretches down and bends to the right."""
+    row, col = np.indices((SIDE, SIDE))
+    clips = _clips(img)
+    fixed = lambda x: F.array(*[F.lit(float(k)) for k in x.ravel()])
+    fields = clips.select("movie_id").distinct().withColumns({"down": fixed(0.1 * (row - 3.5)), "right": fixed(0.05 * (col - 3.5) * (col - 2))})
+    return flow.flow_term(clips, fields, SIDE)
+
+
+def _movie_fields(spark, sf_dir):
+    """The field of motions of each movie, pixel by pixel."""
+    fields = flow.movie_fields(_clips(pictures(spark, sf_dir)), SIDE, 0.5)
+    both = fields.select("movie_id", F.posexplode(F.arrays_zip("down", "right")).alias("i", "m"))
+    return both.select("movie_id", "i", *[F.round(f"m.{c}", 6).alias(c) for c in ("down", "right")])
+
+
+QUERIES["movie_fields"] = _movie_fields
+
+_POPULATION = [Component("circ_gauss", 1.0, fwhm=2e-10), Component("point", 0.5, x=1e-10)]
+_FREE = [(0, "flux"), (0, "fwhm"), (1, "x"), (1, "y")]
+
+
+@query(
+    f"pop as (select cast(k as bigint) k, 2e-1+1e-1*k f, (1+k)*1e-11 w, (k%5-2)*2e-11 x, (k%3-1)*3e-11 y from range(12) r(k)), m as (select k, f*exp(-power(3.141592653589793e0*w*sqrt(u*u+v*v),2)/(4*ln(2e0))) g, {TAU}*(u*x+v*y) t, vis_re, vis_im, sigma from vis, pop)"
+    "@@select k, [avg((power(vis_re-g-5e-1*cos(t),2)+power(vis_im-5e-1*sin(t),2))/(sigma*sigma))*1e-4/2] as chisq from m group by k"
+)
+def model_population(vis):
+    """Chi-squares of twelve source models, by one pass."""
+    k = np.arange(12)
+    vectors = np.array([0.2 + 0.1 * k, (1 + k) * 1e-11, (k % 5 - 2) * 2e-11, (k % 3 - 1) * 3e-11]).T
+    chi = search.Population(vis, "vis", _POPULATION, _FREE).chisq(vectors)
+    return vis.sparkSession.createDataFrame([(int(i), float(c) * 1e-4) for i, c in enumerate(chi)], "k long, chisq double")
+
+
+def _model_search(spark, sf_dir):
+    """The best of a population of two components, over all visibilities."""
+    bounds = [(0.0, 3.0), (1e-12, 1e-9), (-5e-10, 5e-10), (-5e-10, 5e-10)]
+    best, chi, _ = search.search_components(staged(spark, sf_dir), "vis", _POPULATION, _FREE, bounds, members=24, rounds=12)
+    rows = [(i, name, float(getattr(best[i], name)), float(chi)) for i, name in _FREE]
+    return spark.createDataFrame(rows, "component int, parameter string, value double, chisq double")
+
+
+QUERIES["model_search"] = _model_search
