@@ -172,10 +172,17 @@ def invert_gains(gains: DataFrame) -> DataFrame:
     return gains.withColumns(columns)
 
 
-def raise_gains(gains: DataFrame, sites: list[str] | None = None, least: float = 0.75) -> DataFrame:
-    """Gains of each site scaled so that none of either hand is below ``least`` in size, if its smallest is."""
-    low = gains.groupBy("site").agg(F.min(F.least(cx.amplitude(cx.pair("r")), cx.amplitude(cx.pair("l")))).alias("_low"))
-    up = F.when(F.col("_low") < least, least / F.nullif("_low", F.lit(0.0))).otherwise(1.0)
+def raise_gains(gains: DataFrame, sites: list[str] | None = None, least: float = 0.75, by: str = "min") -> DataFrame:
+    """Gains of each site divided by the least ("min"), mean or median size of both hands' gains, if that is below ``least``.
+
+    Scaled to 1 then, and to ``least`` for "min".
+    """
+    if by not in ("min", "mean", "median"):
+        raise ValueError(by)
+    sizes = gains.select("site", F.explode(F.array(cx.amplitude(cx.pair("r")), cx.amplitude(cx.pair("l")))).alias("_size"))
+    low = sizes.groupBy("site").agg({"min": F.min, "mean": F.avg, "median": F.median}[by]("_size").alias("_low"))
+    goal = least if by == "min" else 1.0
+    up = F.when(F.col("_low") < least, goal / F.nullif("_low", F.lit(0.0))).otherwise(1.0)
     if sites is not None:
         up = F.when(F.col("site").isin(*sites), up).otherwise(1.0)
     return gains.join(low, "site").withColumns({c: F.col(c) * up for c in ("r_re", "r_im", "l_re", "l_im")}).drop("_low")

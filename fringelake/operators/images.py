@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +81,19 @@ def priors(images: DataFrame, side: int, flux: float, psize: float, beam: float
     return base.select("image_id", *[c.alias(k) for k, c in terms.items()])
 
 
-def threshold(images: DataFrame, share: float) -> DataFrame:
-    """Pixels below ``share`` of the image's peak become 0."""
-    return images.withColumn("pix", F.transform("pix", lambda x: F.when(x >= share * F.array_max("pix"), x).otherwise(F.lit(0.0).cast("float"))))
+def threshold(images: DataFrame, share: float, fill: float | None = None) -> DataFrame:
+    """Pixels not above ``share`` of the way from the image's least to its greatest value become ``fill``, or else that level."""
+    low = F.array_min("pix").cast("double")
+    level = low + share * (F.array_max("pix").cast("double") - low)
+    rest = level if fill is None else F.lit(float(fill))
+    return images.withColumn("pix", F.transform("pix", lambda x: F.when(x.cast("double") > level, x.cast("double")).otherwise(rest)))
+
+
+def log_variation(images: DataFrame, side: int, flux: float, psize: float, beam: float | None = None, normalised: bool = True) -> DataFrame:
+    """tvlog and tv2log: total variation, and its square, of the logarithm of positive images, over side^2 |log(flux / side^2)|."""
+    size = side * side * abs(math.log(flux / side**2))
+    logs = images.withColumns({"pix": F.transform("pix", lambda x: F.log(x.cast("double"))), "prior": F.col("pix")})
+    return priors(logs, side, size, psize, beam, 1.0, normalised).select("image_id", F.col("tv").alias("tvlog"), F.col("tv2").alias("tv2log"))
 
 
 def compare(images: DataFrame, others: DataFrame) -> DataFrame:

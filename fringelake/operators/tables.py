@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .geometry import gmst
 from .visibility import BASELINE, conjugate_row
 
 
@@ -48,12 +49,27 @@ def subarray(vis: DataFrame, sites: list[str]) -> DataFrame:
     return vis.filter(F.col("t1").isin(*sites) & F.col("t2").isin(*sites))
 
 
-def every_nth(vis: DataFrame, n: int) -> DataFrame:
-    """Rows at every ``n``-th distinct time of their baseline."""
+def every_nth(vis: DataFrame, n: int, hours: float = 24.0) -> DataFrame:
+    """Rows at every ``n``-th distinct time of the table, the first included.
+
+    Times are numbered within blocks of ``hours``; only a row a block meets a window over all.
+    """
     from pyspark.sql import Window
 
-    order = F.row_number().over(Window.partitionBy(*BASELINE).orderBy("time"))
-    return vis.withColumn("_at", order).filter((F.col("_at") - 1) % n == 0).drop("_at")
+    times = vis.select("time").distinct().withColumn("_block", F.floor(F.col("time") / hours))
+    sizes = times.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_base"))
+    at = F.row_number().over(Window.partitionBy("_block").orderBy("time")) - 1
+    kept = times.withColumn("_at", at).join(base, "_block").filter((F.col("_base") + F.col("_at")) % n == 0).select("time")
+    return vis.join(kept, "time", "left_semi").select(*vis.columns)
+
+
+def pick(vis: DataFrame, sites: list[str]) -> DataFrame:
+    """Rows at the times at which every one of ``sites`` takes part."""
+    full = vis.groupBy("time").agg(*[F.max((F.col("t1") == s) | (F.col("t2") == s)).alias(f"_{i}") for i, s in enumerate(sites)])
+    for i in range(len(sites)):
+        full = full.filter(f"_{i}")
+    return vis.join(full.select("time"), "time", "left_semi").select(*vis.columns)
 
 
 def merge_observations(observations: list[tuple[DataFrame, int]]) -> DataFrame:
@@ -77,16 +93,18 @@ def merge_stations(*tables: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def common_rows(a: DataFrame, b: DataFrame, tolerance: float, by: str = "ut", once: bool = False, offset: float = 0.0) -> DataFrame:
-    """Rows of ``a`` whose key ``b`` has too: baseline with time ("ut"), with time turned to sidereal rate and shifted by ``offset`` hours
-    for ``b`` ("gmst"), or with the projected length ("uvdist"), all to ``tolerance``. ``once`` keeps the first row of a key."""
+def common_rows(a: DataFrame, b: DataFrame, tolerance: float, by: str = "ut", once: bool = False, offset: float = 0.0, days: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of ``a`` whose key ``b`` has too: baseline with time ("ut"), with sidereal time ("gmst"), or with the projected length
+    ("uvdist"), all to ``tolerance``. Sidereal time is that of each table's day (``days``, modified Julian), or without days a clock of
+    sidereal rate, shifted by ``offset`` hours for ``b``. ``once`` keeps the first row of a key."""
     from pyspark.sql import Window
 
     sidereal = 1.0027379093507951
     value = {"ut": lambda o: F.col("time"), "gmst": lambda o: F.pmod(F.col("time") * sidereal + o, F.lit(24.0)), "uvdist": lambda o: F.hypot("u", "v")}[by]
     keys = ["_k", "_a", "_b"]
-    keyed = lambda t, o: t.withColumns({"_k": F.rint(value(o) / tolerance), "_a": F.least(*BASELINE), "_b": F.greatest(*BASELINE)})
-    found = keyed(a, 0.0).join(keyed(b, offset).select(*keys).distinct(), keys, "left_semi")
+    clock = lambda o, day: gmst(F.col("time"), day) if by == "gmst" and day is not None else value(o)
+    keyed = lambda t, o, day: t.withColumns({"_k": F.rint(clock(o, day) / tolerance), "_a": F.least(*BASELINE), "_b": F.greatest(*BASELINE)})
+    found = keyed(a, 0.0, days and days[0]).join(keyed(b, offset, days and days[1]).select(*keys).distinct(), keys, "left_semi")
     if once:
         found = found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("time", *BASELINE))).filter("_n = 1").drop("_n")
     return found.drop(*keys)

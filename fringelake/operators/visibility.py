@@ -334,3 +334,19 @@ def dirty_beam(vis: DataFrame, npix: int, fov: float) -> DataFrame:
 
 def beam_moments(vis: DataFrame) -> DataFrame:
     return vis.agg((1.0 / F.max(F.hypot("u", "v"))).alias("res"), F.avg(F.col("u") * F.col("u")).alias("uu"), F.avg(F.col("v") * F.col("v")).alias("vv"), F.avg(2.0 * F.col("u") * F.col("v")).alias("uv2"))
+
+
+def systematic_noise(vis: DataFrame, level: float | dict[str, float], snr: float = 0.0) -> DataFrame:
+    """Rows of at least ``snr``, sigma grown by a share of the amplitude: of each station's own level, or of one level for all.
+
+    The levels of both stations add in squares; a station that ``level`` does not name has 0, and rows of a station of negative level go.
+    """
+    amp = cx.amplitude(cx.pair("vis"))
+    if isinstance(level, dict):
+        of = lambda t: F.coalesce(*[F.when(F.col(t) == s, float(x)) for s, x in level.items()], F.lit(0.0))
+        one, two = of("t1"), of("t2")
+    else:
+        one = two = F.lit(float(level))
+    kept = vis.filter((amp / F.col("sigma") >= snr) & (one >= 0) & (two >= 0))
+    share = F.sqrt(one * one + two * two)
+    return kept.withColumn("sigma", F.hypot(F.col("sigma"), share * amp))

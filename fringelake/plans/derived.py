@@ -100,6 +100,17 @@ def enforce_positive(vis):
     return calibration.raise_gains(two_hands(vis)).select("site", "time", "r_re", "l_im")
 
 
+@query(
+    f"{GAINS_4}, sz as (select site, sqrt(r_re*r_re+r_im*r_im) s from two union all select site, sqrt(l_re*l_re+l_im*l_im) from two), lo as (select site, median(s) m, avg(s) a from sz group by site)"
+    "@@select site, [time] time, [r_re/case when m<9e-1 then m else 1 end] r_re, [l_im/case when a<8e-1 then a else 1 end] l_im from two join lo using (site)"
+)
+def enforce_positive_means(vis):
+    """By the median for one hand's column, by the mean for the other's."""
+    one = calibration.raise_gains(two_hands(vis), None, 0.9, "median").select("site", "time", "r_re")
+    two = calibration.raise_gains(two_hands(vis), None, 0.8, "mean").select("site", "time", "l_im")
+    return one.join(two, ["site", "time"])
+
+
 @query(f"{GAINS_4}, {SCAN_TABLE}@@select site, [(t_start+t_stop)/2] time, [avg(r_re)] r_re, [avg(l_im)] l_im from two join sc on time between t_start and t_stop group by site, t_start, t_stop")
 def caltable_scan_avg(vis):
     return calibration.average_gains(two_hands(vis), V.scans(vis, 0.0165)).select("site", "time", "r_re", "l_im")

@@ -322,7 +322,7 @@ def make_subarray(vis):
     return tables.subarray(vis, ["S0", "S2", "S5"]).select(*KEYS)
 
 
-@query("r as (select *, row_number() over (partition by t1, t2 order by time) k from vis)@@select [time] time, t1, t2 from r where (k-1)%7=0")
+@query("r as (select *, dense_rank() over (order by time) k from vis)@@select [time] time, t1, t2 from r where (k-1)%7=0")
 def every_seventh(vis):
     return tables.every_nth(vis, 7).select(*KEYS)
 
@@ -342,9 +342,29 @@ def image_priors(img):
     return images.priors(positive(img), SIDE, 2.0, 0.5, 1.0)
 
 
-@query("px as (select image_id, cast(unnest(pix) as double) x, cast(list_max(pix) as double) m from img)@@select image_id, [sum(case when x>=0.25e0*m then x else 0 end)] flux from px group by image_id", "images")
+@query("px as (select image_id, cast(unnest(pix) as double) x, cast(list_max(pix) as double) m, cast(list_min(pix) as double) l from img), z as (select *, l+25e-2*(m-l) cut from px)@@select image_id, [sum(case when x>cut then x else cut end)] flux, [sum(case when x>cut then x else 0 end)] cleared from z group by image_id", "images")
 def threshold_images(img):
-    return images.moments(images.threshold(img, 0.25), SIDE).select("image_id", "flux")
+    flux = lambda fill, name: images.moments(images.threshold(img, 0.25, fill), SIDE).select("image_id", F.col("flux").alias(name))
+    return flux(None, "flux").join(flux(0.0, "cleared"), "image_id")
+
+
+@query(
+    f"{POS}, lg as (select *, ln(x) g from pr), d as (select *, case when ix<7 then lead(g,1) over w else 0 end - g r, case when i<56 then lead(g,8) over w else 0 end - g b from lg window w as (partition by image_id order by i))"
+    "@@select image_id, [-sum(sqrt(r*r+b*b))/(64*ln(32e0)*5e-1)] tvlog, [-sum(r*r+b*b)/(625e-4*power(64*ln(32e0),2))] tv2log from d group by image_id", "images"
+)
+def image_log_terms(img):
+    return images.log_variation(positive(img), SIDE, 2.0, 0.5, 1.0)
+
+
+@query("ok as (select time from vis group by time having bool_or('S1' in (t1,t2)) and bool_or('S4' in (t1,t2)))@@select [time] time, t1, t2 from vis join ok using (time)")
+def pick_times(vis):
+    """Rows at times at which both stations take part."""
+    return tables.pick(vis, ["S1", "S4"]).select(*KEYS)
+
+
+@query("s as (select *, AMP a, case when t1='S0' then 1e-2 when t1='S1' then 5e-2 else 0 end p, case when t2='S0' then 1e-2 when t2='S1' then 5e-2 else 0 end q from vis where 'S3' not in (t1,t2))@@select [time] time, t1, t2, [sqrt(sigma*sigma+(p*p+q*q)*a*a)] sigma from s where a/sigma>=5")
+def systematic_noise_snrcut(vis):
+    return V.systematic_noise(vis, {"S0": 0.01, "S1": 0.05, "S3": -1.0}, 5.0).select(*KEYS, "sigma")
 
 
 @query(f"{POS}, z as (select image_id, x a, x*(1+1e-2*(i%5)) b from pr), av as (select image_id, avg(a) ma, avg(b) mb from z group by image_id)@@select image_id, [sqrt(sum(power(a-b,2))/sum(a*a))] nrmse, [sum((a-ma)*(b-mb))/sqrt(sum(power(a-ma,2))*sum(power(b-mb,2)))] nxcorr from z join av using (image_id) group by image_id", "images")
