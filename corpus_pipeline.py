@@ -90,13 +90,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs, before = table(spark, sf_dir, "documents"), None
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs)
+    """All stages over ``documents``; each result is written to the shared folder and read again. The session's batch setting is as before."""
+    docs, before, batch = table(spark, sf_dir, "documents"), None, spark.conf.get(BATCH_SETTING)
+    try:
+        for _, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir))
             if before is not None:
                 discard(before)
             before = docs
+    finally:
+        spark.conf.set(BATCH_SETTING, batch)
     return docs
