@@ -65,7 +65,9 @@ def every_nth(vis: DataFrame, n: int, hours: float = 24.0) -> DataFrame:
 
 
 def pick(vis: DataFrame, sites: list[str]) -> DataFrame:
-    """Rows at the times at which every one of ``sites`` takes part."""
+    """Rows at the times at which every one of ``sites`` takes part; all rows if there are none."""
+    if not sites:
+        return vis
     full = vis.groupBy("time").agg(*[F.max((F.col("t1") == s) | (F.col("t2") == s)).alias(f"_{i}") for i, s in enumerate(sites)])
     for i in range(len(sites)):
         full = full.filter(f"_{i}")
