@@ -31,6 +31,7 @@ extra columns are left out; empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, mix, row_key, signed, stored, word_hashes
+from .common import chunks, discard, gram_hashes, mix, row_key, signed, stored, word_hashes
 from .components import components
 
 SHINGLE = 4
@@ -53,7 +54,7 @@ HOT, HOT_MEANS, SALTS = 10_000, 16, 256
 SIDE, SIDE_SHINGLES = 256, 400_000
 #: Bytes of the table that tells which query has which shingle.
 TABLE_BYTES = 8 << 20
-#: Up to so many rows (48 bytes each or less), the list of where texts are to be verified is broadcast; beyond, texts are shuffled.
+#: So many rows (56 bytes each or less) of the list of where texts are to be verified are broadcast in a round, about.
 BROADCAST_NODES = 500_000
 
 
@@ -291,11 +292,31 @@ def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
 
 
-def _sent(places: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
-    """``places`` (sid and more) with the text of each node. ``reps`` has the key of one document of each node."""
-    wanted = stored(places.join(reps, "sid"))
-    found = base.select("key", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, "key")
-    return found.drop("key", "sid")
+def _rounds(places: DataFrame, count: int, base: DataFrame, reps: DataFrame, again: DataFrame) -> Iterator[DataFrame]:
+    """``places`` (sid, g and more) with the text of each node, dealt by ``g`` to rounds of about ``BROADCAST_NODES`` of the ``count`` places.
+
+    A round's list is broadcast, so that of the texts only the wanted ones are ever shuffled. ``reps`` has the key of one document of
+    each node, ``again`` the keys of rows that are equal in id and text, which are sent once. A round must be over before the next is asked for.
+    """
+    rounds = max(1, -(-count // BROADCAST_NODES))
+    dealt = places.join(reps, "sid").join(again.select("key", F.lit(True).alias("many")), "key", "left")
+    wanted = stored(dealt.withColumns({"many": F.coalesce("many", F.lit(False)), "round": F.pmod(F.xxhash64("g", F.lit(41)), F.lit(rounds)).cast("int")}), by="round")
+    texts, several = base.select("key", "text"), not wanted.filter("many").isEmpty()
+    for k in range(rounds):
+        found = texts.join(F.broadcast(wanted.filter(F.col("round") == k)), "key")
+        if several:
+            found = found.filter("not many").unionByName(found.filter("many").dropDuplicates(places.columns))
+        yield found.select("text", *[x for x in places.columns if x != "sid"])
+    discard(wanted)
+
+
+def _compared(rounds: Iterator[DataFrame], run) -> DataFrame:
+    """Links (a, b) that ``run`` finds among the rows of each ``g``, round by round: a round's shuffle files go before the next begins."""
+    parts = [stored(rows.groupBy("g").applyInPandas(run, "a long, b long")) for rows in rounds]
+    links = stored(reduce(DataFrame.unionByName, parts)) if len(parts) > 1 else parts[0]
+    if len(parts) > 1:
+        discard(*parts)
+    return links
 
 
 def _may_link(percent: int):
@@ -313,12 +334,14 @@ def _near_pairs(open_: DataFrame, percent: int) -> DataFrame:
 
 def _blocks(open_: DataFrame) -> DataFrame:
     """(sid, comp, n, block) of the nodes of ``open_``."""
-    homes = stored(open_.groupBy("sid", "comp", "n").agg(F.max_by("token", F.struct("width", "token")).alias("home")))
+    first = stored(open_.groupBy("sid", "comp", "n").agg(F.max_by("token", F.struct("width", "token")).alias("home")))
     # A component with a side's worth of nodes at a home has blocks of its own there.
-    large = homes.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("nodes")).filter(F.col("nodes") >= SIDE).select("home", "comp", F.col("comp").alias("own"))
-    homes = stored(homes.join(large, ["home", "comp"], "left").withColumn("own", F.xxhash64("home", "own")))
+    large = first.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("nodes")).filter(F.col("nodes") >= SIDE).select("home", "comp", F.col("comp").alias("own"))
+    homes = stored(first.join(large, ["home", "comp"], "left").withColumn("own", F.xxhash64("home", "own")))
     parts = homes.groupBy("own").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum("n") / SIDE_SHINGLES)).alias("parts"))
-    return stored(homes.join(parts, "own").select("sid", "comp", "n", F.xxhash64("own", F.pmod(F.xxhash64("sid", F.lit(29)), F.col("parts"))).alias("block")))
+    out = stored(homes.join(parts, "own").select("sid", "comp", "n", F.xxhash64("own", F.pmod(F.xxhash64("sid", F.lit(29)), F.col("parts"))).alias("block")))
+    discard(first, homes)
+    return out
 
 
 def _block_pairs(open_: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
@@ -339,14 +362,15 @@ def _block_pairs(open_: DataFrame, blocks: DataFrame, percent: int) -> DataFrame
     return stored(between.unionByName(spans.filter("low < high").select(F.col("block").alias("x"), F.col("block").alias("y"))))
 
 
-def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int, sketch) -> DataFrame:
+def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, again: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     """Links (a, b) that join the components of ``open_`` as far as its nodes are linked."""
     blocks = _blocks(open_)
     pairs = _block_pairs(open_, blocks, percent)
     sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     placed = stored(sides.join(blocks, "block").select("x", "y", "block", "sid", "comp"))
-    groups = max(1, -(-placed.count() // (2 * SIDE)))
-    rows = _sent(placed.withColumns({"node": F.col("sid"), "g": F.pmod(F.xxhash64("x", "y"), F.lit(groups))}), base, reps)
+    count = placed.count()
+    groups = max(1, -(-count // (2 * SIDE)))
+    rounds = _rounds(placed.withColumns({"node": F.col("sid"), "g": F.pmod(F.xxhash64("x", "y"), F.lit(groups))}), count, base, reps, again)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
@@ -365,32 +389,38 @@ def _join_blocks(open_: DataFrame, base: DataFrame, reps: DataFrame, n: int, per
                         out_b.append(ids_b[member])
         return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
 
-    return rows.groupBy("g").applyInPandas(run, "a long, b long")
+    links = _compared(rounds, run)
+    discard(blocks, pairs, placed)
+    return links
 
 
-def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, n: int, percent: int, sketch) -> DataFrame:
+def _verify(pairs: DataFrame, base: DataFrame, reps: DataFrame, again: DataFrame, n: int, percent: int, sketch) -> DataFrame:
     """The linked ones of ``pairs`` (a, b)."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     placed = stored(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(13)), F.col("parts")).alias("part")))
     # Many small blocks share a task's group, for groups have a fixed cost.
-    groups = max(1, -(-placed.count() // (4 * BLOCK)))
-    placed = placed.withColumn("g", F.pmod(F.xxhash64("a", "part"), F.lit(groups)))
-    # Texts go from the input to their groups at once.
-    left = _sent(placed.select(F.col("b").alias("sid"), "a", "b", "part", "g"), base, reps).withColumnRenamed("text", "other")
-    right = _sent(placed.select(F.col("a").alias("sid"), F.col("a").alias("qa"), F.col("part").alias("qpart"), F.col("g").alias("qg")).distinct(), base, reps).withColumnRenamed("text", "query")
+    pairs_count = placed.count()
+    groups = max(1, -(-pairs_count // (4 * BLOCK)))
+    dealt = placed.withColumn("g", F.pmod(F.xxhash64("a", "part"), F.lit(groups)))
+    # A block's query has a row of its own; texts go from the input to their groups at once, of both kinds together.
+    others = dealt.select(F.col("b").alias("sid"), "g", "a", "part", "b", F.lit(False).alias("query"))
+    queries = dealt.select(F.col("a").alias("sid"), "g", "a", "part", F.col("a").alias("b"), F.lit(True).alias("query")).distinct()
+    rounds = _rounds(others.unionByName(queries), pairs_count + queries.count(), base, reps, again)
 
-    def run(key: tuple, others: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         out_a, out_b = [], []
-        queries = own.drop_duplicates(["qa", "qpart"]).set_index(["qa", "qpart"])["query"]
-        for block, rows in others.drop_duplicates(["a", "b"]).groupby(["a", "part"], sort=False):
-            sets = list(shingle_sets(pa.array(rows["other"], pa.string()), n))
+        queries = rows[rows["query"]].drop_duplicates(["a", "part"]).set_index(["a", "part"])["text"]
+        for block, others in rows[~rows["query"]].drop_duplicates(["a", "b"]).groupby(["a", "part"], sort=False):
+            sets = list(shingle_sets(pa.array(others["text"], pa.string()), n))
             query = next(shingle_sets(pa.array([queries[block]], pa.string()), n))
             found = PrefixTree(sets, sketch.value).linked(query, percent)
             out_a += [block[0]] * len(found)
-            out_b += rows["b"].to_numpy()[found].tolist()
+            out_b += others["b"].to_numpy()[found].tolist()
         return pd.DataFrame({"a": out_a, "b": out_b}, dtype="int64")
 
-    return left.groupBy("g").cogroup(right.groupBy("qg")).applyInPandas(run, "a long, b long")
+    links = _compared(rounds, run)
+    discard(placed)
+    return links
 
 
 def _open_postings(postings: DataFrame, links: DataFrame) -> DataFrame:
@@ -412,21 +442,20 @@ def jaccard_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT
 
     # Rows that are equal in id and text are sent to comparisons once.
     again = stored(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key"))
-    texts = base.select("key", "text")
-    if not again.isEmpty():
-        texts = texts.join(again, "key", "left_anti").unionByName(texts.join(again, "key", "left_semi").dropDuplicates(["key"]))
     reps = nodes.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
 
     tried = stored(_star_pairs(postings, percent))
-    links = stored(_verify(tried, texts, reps, n, percent, sketch))
+    links = _verify(tried, base, reps, again, n, percent, sketch)
     tested = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     open_ = _open_postings(postings.drop("low", "high"), links)
+    discard(postings)
     rest = stored(_near_pairs(open_.filter(F.col("width") <= NARROW), percent).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = stored(links.unionByName(_verify(rest, texts, reps, n, percent, sketch)))
+        links = stored(links.unionByName(_verify(rest, base, reps, again, n, percent, sketch)))
     wide = open_.filter(F.col("width") > NARROW)
     if not wide.isEmpty():
-        links = stored(links.unionByName(_join_blocks(wide, texts, reps, n, percent, sketch)))
+        links = stored(links.unionByName(_join_blocks(wide, base, reps, again, n, percent, sketch)))
+    discard(tried, open_, rest, again)
 
     if links.isEmpty():
         found = nodes.withColumn("comp", F.col("sid"))
