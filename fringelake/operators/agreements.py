@@ -1,7 +1,8 @@
 """Which images agree with each other: pairs above a cut, and the maximal sets of which all do.
 
-Pairs come from blocks of images: each block meets itself and every later one as a product of two
-matrices, so that a task holds two blocks and passes on only what is above the cut.
+Pairs come from blocks of images, a row each of a stored table: each block meets itself and every later one as a product of two
+matrices, so that a task passes on only what is above the cut. Spark's cross join reads the table's parts again for each
+pair of parts: no image is written more than twice, however many blocks it meets.
 Maximal sets (cliques) are found from one root each: the sets whose first member, in order
 of rising degree, is that root. A root needs its neighbours and the links among them,
 as bit sets; roots are dealt over the tasks, and no set is found twice.
@@ -13,11 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Images of a block.
-BLOCK = 1024
+from ..llm.common import stored
+
+#: The most images of a block, and about as many blocks are in a file of the stored table.
+BLOCK, FILE_BLOCKS = 1024, 16
 
 
 def pairs(images: DataFrame, cut: float, blocks: int | None = None) -> DataFrame:
@@ -28,50 +32,51 @@ def pairs(images: DataFrame, cut: float, blocks: int | None = None) -> DataFrame
     """
     whole = F.expr("size(pix) > 0 and forall(pix, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     own = images.select(F.col("image_id").cast("long").alias("id"), F.col("pix").cast("array<double>").alias("pix")).filter(whole & F.col("id").isNotNull())
-    if blocks is None:
-        blocks = max(1, -(-own.count() // BLOCK))
-    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # A block goes to each pair of blocks that it is in; as first (0) or second (1), or once if it meets itself.
-    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    meets = F.transform(all_blocks, lambda other: F.struct(F.least(other, F.col("block")).alias("p"), F.greatest(other, F.col("block")).alias("q")))
-    dealt = own.select("id", "pix", "block", F.explode(meets).alias("m")).select("id", "pix", "block", "m.p", "m.q")
+    parts = max(blocks or 1, -(-own.count() // (FILE_BLOCKS * BLOCK)))
+    packed = stored(own.repartition(parts, F.xxhash64("id")).mapInArrow(_packing(BLOCK), "block long, size int, ids binary, rows binary"))
+    other = packed.select(F.col("block").alias("block2"), F.col("size").alias("size2"), F.col("ids").alias("ids2"), F.col("rows").alias("rows2"))
+    met = packed.crossJoin(other).filter((F.col("block") <= F.col("block2")) & (F.col("size") == F.col("size2")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, q, size, *data in zip(*(batch[c] for c in ("block", "block2", "size", "ids", "rows", "ids2", "rows2")), strict=True):
+                a, m, b, k = (np.frombuffer(x.as_buffer(), t) for x, t in zip(data, (np.int64, np.float64) * 2, strict=True))
+                values = m.reshape(len(a), size.as_py()) @ k.reshape(len(b), size.as_py()).T
+                i, j = np.nonzero(values >= cut)
+                fit = a[i] < b[j] if p == q else a[i] != b[j]
+                i, j = i[fit], j[fit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j])), pa.array(values[i, j])], ["a", "b", "value"])
+
+    return met.mapInArrow(run, "a long, b long, value double")
+
+
+def _packing(most: int):
+    """Blocks of up to ``most`` images of one size: their ids, and their pixels less the mean, of unit length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
-
-        def matrix(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            m = np.array([x for _, x in rows])
-            m = m - m.mean(1, keepdims=True)
-            size = np.sqrt((m**2).sum(1, keepdims=True))
-            return np.array([i for i, _ in rows]), np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-
-        def out() -> pa.RecordBatch:
-            (p, q), found = now, []
-            by_size: dict[int, tuple[list, list]] = {}
-            for side, block in enumerate((p, q)):
-                for i, x in held.get(block, []):
-                    by_size.setdefault(len(x), ([], []))[side].append((i, x))
-            for one, two in by_size.values():
-                if one and two:
-                    (a, m), (b, k) = matrix(one), matrix(two)
-                    values = m @ k.T
-                    i, j = np.nonzero((values >= cut) & ((a[:, None] < b[None, :]) if p == q else (a[:, None] != b[None, :])))
-                    found.append((np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), values[i, j]))
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "value"])
+        made, held = 0, {}
+
+        def out(size: int) -> pa.RecordBatch:
+            nonlocal made
+            ids, rows = zip(*held.pop(size), strict=True)
+            m = np.array(rows)
+            m -= m.mean(1, keepdims=True)
+            norm = np.sqrt((m**2).sum(1, keepdims=True))
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            block, made = (TaskContext.get().partitionId() << 32) + made, made + 1
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([size], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["block", "size", "ids", "rows"])
 
         for batch in batches:
             flat, offsets = batch["pix"].values.to_numpy(), batch["pix"].offsets.to_numpy()
-            for k, (i, block, p, q) in enumerate(zip(*(batch[c].to_pylist() for c in ("id", "block", "p", "q")), strict=True)):
-                if (p, q) != now:
-                    if now is not None:
-                        yield out()
-                    now, held = (p, q), {}
-                held.setdefault(block, []).append((i, np.array(flat[offsets[k] : offsets[k + 1]])))
-        if now is not None:
-            yield out()
+            for k, i in enumerate(batch["id"].to_pylist()):
+                size = int(offsets[k + 1] - offsets[k])
+                held.setdefault(size, []).append((i, np.array(flat[offsets[k] : offsets[k + 1]])))
+                if len(held[size]) == most:
+                    yield out(size)
+        for size in list(held):
+            yield out(size)
 
-    return dealt.repartition("p", "q").sortWithinPartitions("p", "q").mapInArrow(run, "a long, b long, value double")
+    return run
 
 
 def _maximal(first: int, later: int, earlier: int, near: list[int]) -> Iterator[int]:
@@ -103,7 +108,8 @@ def _maximal(first: int, later: int, earlier: int, near: list[int]) -> Iterator[
 
 def cliques(links: DataFrame) -> DataFrame:
     """(members): the maximal sets of at least two that are all linked, of links (a, b), each set sorted; repeated links and loops count for nothing."""
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    # Stored, for links are read many times and may come from all pairs of images.
+    links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     # Rank by degree, then id; a link is told by the ranks of its ends.

@@ -23,6 +23,27 @@ def test_pairs(spark, blocks):
     assert got == sorted(want) and len(want) > 50
 
 
+def test_blocks_of_any_number_are_stored_once(spark, monkeypatch):
+    """What is written does not grow with the number of blocks, and no block grows with the table."""
+    monkeypatch.setattr(agreements, "BLOCK", 8)
+    kept = []
+
+    def keep(frame):
+        kept.append(store(frame))
+        return kept[-1]
+
+    store = agreements.stored
+    monkeypatch.setattr(agreements, "stored", keep)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(200)]
+    found = agreements.pairs(spark.createDataFrame(rows, "image_id int, pix array<double>"), 0.9, 3)
+    want = {(i, j) for (i, x), (j, y) in itertools.combinations(rows, 2) if np.corrcoef(x, y)[0, 1] >= 0.9}
+    assert {(r["a"], r["b"]) for r in found.collect()} == want
+    sizes = [len(r["ids"]) // 8 for r in kept[0].collect()]
+    assert sum(sizes) == 200 and max(sizes) <= agreements.BLOCK
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def plain(links):
     nodes = sorted({x for e in links for x in e})
     near = {x: {b if a == x else a for a, b in links if x in (a, b)} for x in nodes}
