@@ -445,36 +445,48 @@ def movie_head(header: dict[str, str], shapes: dict[str, tuple[int, ...]]) -> tu
 def write_movies(frames: DataFrame, path: str, header: dict[str, str] | None = None) -> DataFrame:
     """A file ``<movie_id>.h5`` in the folder ``path`` for each movie of (movie_id, time, width, pix); returns (movie_id, n_frames, file).
 
-    Frames are sorted by time and stream into the file, so that a task holds a batch; all frames of a movie have one size.
+    Frames are sorted by time and stream into the file, their times after them, so that a task holds a batch and 8 bytes a frame of its movie; all frames of a movie have one size.
+    A frame without time comes first, its time not a number.
     """
     from pyspark.sql import functions as F
 
-    counts = frames.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("time")).alias("times"))
-    rows = frames.join(counts.select("movie_id", "n"), "movie_id").select("movie_id", "n", F.col("time").cast("double").alias("time"), "width", F.col("pix").cast("array<double>").alias("pix"))
+    named = frames.filter(F.col("movie_id").isNotNull())
+    rows = named.select("movie_id", F.lit(None).cast("long").alias("n"), F.col("width").cast("int").alias("width"), F.lit(None).cast("int").alias("size"), F.col("time").cast("double").alias("time"), F.col("pix").cast("array<double>").alias("pix"))
+    # A movie's first row tells its size. It comes by a union: Spark may deal a movie's rows to several tasks after a join.
+    sizes = named.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n"), F.first("width").cast("int").alias("width"), F.first(F.size("pix")).alias("size"))
+    rows = rows.unionByName(sizes.withColumns({"time": F.lit(None).cast("double"), "pix": F.lit(None).cast("array<double>")}))
     head = {"mjd": "0", "psize": "1e-10", "source": "SOURCE", "ra": "0.0", "dec": "0.0", "rf": "230000000000.0", "polrep": "stokes", "pol_prim": "I"} | (header or {})
-    rows = rows.join(counts.select("movie_id", "times"), "movie_id").withColumn("times", F.when(F.col("time") == F.get("times", F.lit(0)), F.col("times")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out, done = None, None, []
+        out, times, done = None, [], []
+
+        def close() -> None:
+            if out is not None:
+                out.write(np.concatenate(times).tobytes())
+                out.close()
+
         for batch in batches:
-            for movie, n, width, pix, times in zip(*(batch[c].to_pylist() for c in ("movie_id", "n", "width", "pix", "times")), strict=True):
-                if movie != now:
-                    if out is not None:
-                        out.close()
-                    now, file = movie, f"{path}/{movie}.h5"
+            movies, pix, heads = batch["movie_id"].to_pylist(), batch["pix"], batch["n"].to_pylist()
+            when = np.asarray(batch["time"].to_numpy(zero_copy_only=False), "<f8")
+            firsts = [i for i, n in enumerate(heads) if n is not None]
+            for a, b in zip([-1, *firsts], [*firsts, len(movies)], strict=True):
+                if a >= 0:
+                    close()
+                    n, width = heads[a], batch["width"][a].as_py()
+                    times, file = [], f"{path}/{movies[a]}.h5"
                     out = open_output(file)
-                    height = len(pix) // width
-                    start, _ = movie_head(head, {"times": (n,), head["pol_prim"]: (n, height, width)})
-                    out.write(start + np.array(times, "<f8").tobytes())
-                    done.append((movie, n, file))
-                out.write(np.array(pix, "<f8").tobytes())
-        if out is not None:
-            out.close()
+                    start, _ = movie_head(head, {head["pol_prim"]: (n, batch["size"][a].as_py() // width, width), "times": (n,)})
+                    out.write(start)
+                    done.append((movies[a], n, file))
+                if b > a + 1:
+                    times.append(when[a + 1 : b])
+                    out.write(np.asarray(pix.slice(a + 1, b - a - 1).flatten().to_numpy(zero_copy_only=False), "<f8").tobytes())
+        close()
         ids, n, files = zip(*done, strict=True) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(n, pa.int64()), pa.array(files, pa.string())], ["movie_id", "n_frames", "file"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(frames.schema["movie_id"].dataType)
-    ordered = rows.repartition("movie_id").sortWithinPartitions("movie_id", "time")
+    ordered = rows.repartition("movie_id").sortWithinPartitions("movie_id", F.col("n").isNull(), "time")
     return ordered.mapInArrow(run, f"movie_id {frames.schema['movie_id'].dataType.simpleString()}, n_frames long, file string")

@@ -159,3 +159,29 @@ def test_what_is_no_movie(tmp_path):
         hdf5._layout(b"\x04\x02")
     with pytest.raises(ValueError, match="filter 9"):
         hdf5._unfiltered(b"abc", [(9, ())], 0, 4)
+
+
+def test_movies_without_all_times_are_written(spark, tmp_path):
+    rows = [(1, None, 2, [1.0, 2.0]), (1, 3.0, 2, [3.0, 4.0]), (1, 2.0, 2, [5.0, 6.0]), (2, 1.0, 2, [7.0, 8.0])]
+    frames = spark.createDataFrame(rows, "movie_id long, time double, width int, pix array<double>")
+    assert {(r["movie_id"], r["n_frames"]) for r in hdf5.write_movies(frames, str(tmp_path / "out")).collect()} == {(1, 3), (2, 1)}
+    back = sorted((r["file"][-4:], r["frame"], str(r["time"]), r["pix"]) for r in hdf5.read_movie(spark, str(tmp_path / "out"), "I").collect())
+    assert back == [("1.h5", 0, "nan", [1.0, 2.0]), ("1.h5", 1, "2.0", [5.0, 6.0]), ("1.h5", 2, "3.0", [3.0, 4.0]), ("2.h5", 0, "1.0", [7.0, 8.0])]
+
+
+def test_a_movie_is_written_by_one_task(spark, tmp_path):
+    """Its rows meet no join, after which Spark could deal a large movie to several tasks that overwrite its file."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        frames = spark.range(0, 4000, 1, 8).selectExpr("if(id < 3900, 1, id % 4) movie_id", "double(id) time", "2 width", "array(double(id), rand(1), rand(2), rand(3)) pix")
+        done = hdf5.write_movies(frames, str(tmp_path / "out"))
+        assert "Join" not in done._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["movie_id"], r["n_frames"]) for r in done.collect()) == [(0, 25), (1, 3925), (2, 25), (3, 25)]
+        back = hdf5.read_movie(spark, str(tmp_path / "out"), "I").collect()
+        assert len(back) == 4000 and all(r["time"] == r["pix"][0] for r in back)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
