@@ -13,9 +13,10 @@ reach is the span these windows cover. Seeds are joined on their anchor:
   reaches go. Of the spans of ``WINDOW`` words or more the maximal ones are kept, and hold for all seeds
   of the class.
 
-An anchor of more than ``WIDE`` classes is not joined pair by pair: its representatives are
-extended to whole windows, which are counted, and neighbours among the repeated windows make up the
-spans; that takes time in proportion to its representatives. Counts are summed before they are
+An anchor of more than ``WIDE`` classes is not joined pair by pair. Its representatives are sorted by the words after the
+anchor and then by those before it; words that no neighbour has are cut off. The windows left over are told apart
+within a batch, where neighbours have most of them in common, and each is counted once for a batch; windows
+of one representative that follow each other make up a span. Counts are summed before they are
 shuffled, no task gathers an anchor's seeds, and the joins meet two stored or scanned tables,
 so that Spark can split a hot key.
 
@@ -149,13 +150,18 @@ def _words(data) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _aligned(left: np.ndarray, words: list[np.ndarray], window: int, gram: int) -> np.ndarray:
+    """One row a reach, aligned at the anchor; places beyond the reach hold a value of the row's own."""
+    side, lengths = window - gram, np.array([len(x) for x in words], np.int64)
+    table = np.repeat((np.arange(len(words), dtype=np.uint64) + np.uint64(1 << 63))[:, None], 2 * side + gram, axis=1)
+    table[np.repeat(np.arange(len(words)), lengths), expand(side - left, lengths)] = np.concatenate(words)
+    return table
+
+
 def extend(anchor: np.ndarray, left: np.ndarray, words: list[np.ndarray], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seed, words before the anchor, words after it) of the maximal matches of ``window`` words or more; seeds are sorted by anchor."""
     side = window - gram
-    lengths = np.array([len(x) for x in words])
-    # One row a seed, aligned at the anchor; places beyond the reach hold a value of the row's own.
-    table = np.repeat((np.arange(len(words), dtype=np.uint64) + np.uint64(1 << 63))[:, None], 2 * side + gram, axis=1)
-    table[np.repeat(np.arange(len(words)), lengths), expand(side - left, lengths)] = np.concatenate(words)
+    table = _aligned(left, words, window, gram)
     ends = np.searchsorted(anchor, anchor, side="right")
     partners = ends - 1 - np.arange(len(anchor))
     part = np.cumsum(partners) // PAIRS
@@ -193,19 +199,95 @@ def _extended(window: int, gram: int):
     return run
 
 
-def _windows(window: int):
-    """The windows of wide anchors' representatives: (anchor, content, reach, before), ``before`` words of it before the anchor."""
+def shared(anchor: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """How many words, from the anchor on, each row of ``sides`` has in common with the row before or after it; rows are sorted by anchor and words.
+
+    No other row has more, as rows are sorted. The first and the last row may go on elsewhere: all their words count.
+    """
+    same = (sides[1:] == sides[:-1]) & (anchor[1:] == anchor[:-1])[:, None]
+    next_ = np.cumprod(same, axis=1).sum(axis=1)
+    all_ = [sides.shape[1]]
+    return np.maximum(np.concatenate([all_, next_]), np.concatenate([next_, all_]))
+
+
+def _ahead(window: int, gram: int):
+    """Reaches sorted by anchor and words after it, without the words after it that no other has; ``back``: the words before it, nearest first."""
+    names, side = ["anchor", "reach", "left", "words", "back"], window - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, reach, left, data in zip(*(batch[x].to_pylist() for x in ("anchor", "reach", "left", "words")), strict=True):
-                content = gram_hashes(_words(data), window)
-                n = len(content)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(signed(content)), pa.array(np.full(n, reach)), pa.array((left - np.arange(n)).astype(np.int32))], ["anchor", "content", "reach", "before"])
+            if not len(batch):
+                continue
+            data, left = batch["words"].to_pylist(), batch["left"].to_numpy()
+            table = _aligned(left, [_words(x) for x in data], window, gram)
+            ends = left + gram + shared(batch["anchor"].to_numpy(), table[:, side + gram :])
+            words = [x[: WORD_BYTES * n] for x, n in zip(data, ends.tolist(), strict=True)]
+            back = [np.frombuffer(x, f"V{WORD_BYTES}")[:n][::-1].tobytes() for x, n in zip(data, left.tolist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch["anchor"], batch["reach"], batch["left"], pa.array(words, pa.binary()), pa.array(back, pa.binary())], names)
+            yield out.filter(pa.array([len(x) >= WORD_BYTES * window for x in words]))
 
     return run
 
 
+def _counted(window: int, gram: int):
+    """Of reaches sorted by anchor and words before it, without those before it that no other has:
+
+    (anchor, content, n, reach, before, null), a window and how many of the batch have it, with the reach if one, and
+    (anchor, null, null, reach, before, after), the spans of a reach's windows that several of the batch have.
+    """
+    names, side = ["anchor", "content", "n", "reach", "before", "after"], window - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            anchor, reach, left = (batch[x].to_numpy() for x in ("anchor", "reach", "left"))
+            words = [_words(x) for x in batch["words"].to_pylist()]
+            table = _aligned(left, words, window, gram)
+            before = np.minimum(shared(anchor, table[:, :side][:, ::-1]), left)
+            first, ends = np.cumsum([0, *map(len, words[:-1])]), np.array([len(x) for x in words])
+            counts = np.maximum(ends - left + before - window + 1, 0)
+            start = expand(left - before, counts)
+            row = np.repeat(np.arange(len(words)), counts)
+            content = signed(gram_hashes(np.concatenate(words), window)[first[row] + start])
+            ahead = left[row] - start  # words of the window before the anchor
+            order = np.lexsort((content, anchor[row]))
+            new = np.concatenate([[True], (np.diff(content[order]) != 0) | (np.diff(anchor[row][order]) != 0)])[: len(order)]
+            n = np.zeros(len(row), np.int64)
+            runs = np.diff([*np.flatnonzero(new), len(order)])
+            n[order] = np.repeat(runs, runs)
+            one = order[new]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[row[one]]), pa.array(content[one]), pa.array(n[one]), pa.array(reach[row[one]], mask=n[one] > 1), pa.array(ahead[one].astype(np.int32)), pa.nulls(len(one), pa.int32())], names
+            )
+            # Windows of a row that follow each other make up a span.
+            many = np.flatnonzero(n > 1)
+            head = np.concatenate([[True], (np.diff(row[many]) != 0) | (np.diff(start[many]) != 1)])[: len(many)]
+            tail = np.concatenate([head[1:], [True]])[: len(many)]
+            a, b = many[head], many[tail]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[row[a]]), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(reach[row[a]]), pa.array(ahead[a].astype(np.int32)), pa.array((side - ahead[b]).astype(np.int32))], names
+            )
+
+    return run
+
+
+def _wide_spans(wide: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(anchor, reach, before, after) of the repeats among the reaches of wide anchors, and the tables that it is read from.
+
+    Words that a reach shares with no other of its anchor are cut off first, on either side: sorted, each needs a look at its neighbours only.
+    """
+    once = stored(wide.dropDuplicates(["anchor", "reach"]).withColumn("on", F.expr(f"substring(words, {WORD_BYTES} * (left + {gram}) + 1)")))
+    keys = ["anchor", "on", "reach"]
+    cut = stored(once.repartitionByRange(*keys).sortWithinPartitions(*keys).select("anchor", "reach", "left", "words").mapInArrow(_ahead(window, gram), "anchor long, reach long, left int, words binary, back binary"))
+    keys = ["anchor", "back", "words", "reach"]
+    found = stored(cut.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_counted(window, gram), "anchor long, content long, n long, reach long, before int, after int"))
+    twice = stored(found.filter("n is not null").groupBy("anchor", "content").agg(F.sum("n").alias("n")).filter("n > 1").drop("n"))
+    single = found.filter("n = 1").join(twice, ["anchor", "content"]).withColumn("after", F.lit(window - gram) - F.col("before"))
+    spans = found.filter("n is null").unionByName(single).select("anchor", "reach", "before", "after")
+    return spans, [once, cut, found, twice]
+
+
 def find_repeats(base: DataFrame, window: int, gram: int) -> DataFrame:
     """(key, spans) of the texts of ``base`` (key, text) that hold repeats: (start, end) in words."""
     found = find_seeds(base, window, gram).withColumn("place", F.xxhash64("key", "first"))
@@ -221,12 +303,10 @@ def find_repeats(base: DataFrame, window: int, gram: int) -> DataFrame:
     reaches = stored(cut_reaches(base.join(by_text, "key"), window))
     grouped = reaches.filter("not wide").withColumn("g", F.pmod(F.xxhash64("anchor"), F.lit(max(1, n_classes // GROUP))))
     spans = grouped.groupBy("g").applyInPandas(_extended(window, gram), "anchor long, reach long, before int, after int")
-    wide = reaches.filter("wide")
+    wide, tables = reaches.filter("wide"), []
     if not wide.isEmpty():
-        windows = wide.mapInArrow(_windows(window), "anchor long, content long, reach long, before int")
-        twice = stored(windows.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-        again = windows.join(twice, ["anchor", "content"]).select("anchor", "reach", "before", (F.lit(window - gram) - F.col("before")).alias("after"))
-        spans = spans.unionByName(again)
+        more, tables = _wide_spans(wide, window, gram)
+        spans = spans.unionByName(more)
     # A class of several seeds repeats over its whole reach.
     results = stored(spans.join(classes.filter("whole"), ["anchor", "reach"], "left_anti").unionByName(classes.filter("whole").select("anchor", "reach", F.lit(-1).alias("before"), F.lit(-1).alias("after"))))
     whole = F.col("before") < 0
@@ -235,7 +315,7 @@ def find_repeats(base: DataFrame, window: int, gram: int) -> DataFrame:
     covered = mixed.join(results, ["anchor", "reach"]).select("key", start.alias("start"), end.alias("end"))
     covered = covered.unionByName(joined.filter("not mixed").select("key", F.col("first").alias("start"), (F.col("last") + window).alias("end")))
     out = stored(covered.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    discard(anchors, joined, classes, widths, reaches, results)
+    discard(anchors, joined, classes, widths, reaches, results, *tables)
     return out
 
 

@@ -97,3 +97,37 @@ def test_text_is_kept_with_its_columns(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_a_common_passage_is_not_told_window_by_window(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(45))
+    own = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    rows = [(i, f"{own(rng.randrange(40))} {passage} {own(rng.randrange(40))}") for i in range(300)]
+    docs, made = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA), spark.sparkContext.accumulator(0)
+    real = type(docs).mapInArrow
+
+    def counted(self, function, schema, *more, **named):
+        def run(batches):
+            for batch in function(batches):
+                made.add(len(batch) if "content" in batch.schema.names else 0)
+                yield batch
+
+        return real(self, run, schema, *more, **named)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    assert run(spark, rows) == brute(rows)
+    # Up to 28 windows for each of some 600 reaches otherwise.
+    assert 0 < made.value < 8 * len(rows)
+
+
+def test_wide_anchors_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "WIDE", 1)
+    rng = random.Random(9)
+    rows = list(enumerate(pieces(rng, [[f"p{k}_{i}" for i in range(90)] for k in range(3)], 60)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
