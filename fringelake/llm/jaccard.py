@@ -5,16 +5,19 @@ link when ``100 * |intersection| >= percent * |union|``. The join is exact:
 
 1. Shingles are ordered globally, rare ones first by a bounded count sketch of all
    documents, ties by hash; any order gives the same result. Prefixes and tries are in this order.
-2. Linked sets share a shingle among the first ``n - ceil(percent * n / 100) + 1``
-   of each. Those prefixes are posted and shuffled once, by shingle; shingles of one node
+2. Linked sets share ``SHARED`` shingles (or all that a link takes, if those are fewer) among the
+   first ``n - ceil(percent * n / 100) + SHARED`` of each. Those prefixes are posted and shuffled once,
+   by shingle; shingles of one node
    only are dropped there. Shingles that the sketch calls hot are dealt by node and all kept.
 3. A node is compared with one other of another component, the one that most of
-   its postings name among their two ends. Nodes that this
+   its postings, ``SHARED`` at least, name among their two ends. Nodes that this
    puts in one component need not be compared any more.
 4. Postings that still hold several components give what is left to compare. Those of
-   ``NARROW`` nodes or fewer name pairs of nodes, at most that many a posting. The nodes of
+   ``NARROW`` nodes or fewer name pairs of nodes, at most that many a posting; pairs that
+   ``SHARED`` of them name are compared, for sets that meet by chance mostly share one. The nodes of
    wider ones go to blocks: a node's home is its widest posting; homes are split by hash,
    large components at a home get blocks of their own, and postings name pairs of blocks.
+   Of a linked pair's first ``SHARED`` common shingles all have narrow postings, or one has a wide one.
    Pairs of one component, and those whose sizes and prefix places allow no
    link, are left out.
 5. Nodes are compared through a trie of ordered sets: overlaps are counted once for a
@@ -47,7 +50,9 @@ PERCENT = 85
 SKETCH_BITS = 20
 BLOCK = 64
 #: Postings of more nodes are compared by blocks, so that the pairs of a posting stay bounded.
-NARROW = 16
+NARROW = 64
+#: Prefixes are so long that linked sets share so many shingles of them.
+SHARED = 3
 #: A shingle is dealt to ``SALTS`` places if its bucket of the sketch counts more than ``HOT`` documents beyond ``HOT_MEANS`` times the mean.
 HOT, HOT_MEANS, SALTS = 10_000, 16, 256
 #: About so many nodes, and shingles, are a side of a pair of blocks.
@@ -75,7 +80,7 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1 if n else 0
+    return min(n, n - (percent * n + 99) // 100 + SHARED) if n else 0
 
 
 class PrefixTree:
@@ -288,7 +293,7 @@ def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each node b, the end of its postings that most of them name and allow; ids are hashes, so ends are random nodes."""
     ends = postings.select(F.col("sid").alias("b"), "n", "place", F.explode(F.array_distinct(F.array("low", "high"))).alias("c"))
     stars = ends.select("b", "n", "place", F.col("c.a").alias("a"), *_unpacked("c.of", "m", "at")).filter(F.col("a") != F.col("b"))
-    votes = stars.filter(_may_link(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+    votes = stars.filter(_may_link(percent)).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("votes")).filter(_enough("votes", percent))
     return votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
 
 
@@ -320,16 +325,22 @@ def _compared(rounds: Iterator[DataFrame], run) -> DataFrame:
 
 
 def _may_link(percent: int):
-    """Whether sets of ``n`` and ``m`` shingles whose first shared one is at ``place`` and ``at`` may be linked."""
+    """Whether sets of ``n`` and ``m`` shingles, one of whose first ``SHARED`` shared ones is at ``place`` and ``at``, may be linked."""
     sized = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    # The first shared shingle bounds the overlap by what follows it in either set.
-    return sized & (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    # A shared shingle bounds the overlap by those before it and what follows it in either set.
+    return sized & ((F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + SHARED - 1) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+
+
+def _enough(count: str, percent: int):
+    """Whether sets of ``n`` and ``m`` shingles that share ``count`` of their prefixes may be linked."""
+    return (F.col(count) >= SHARED) | (F.col(count) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
 
 
 def _near_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of different components that a posting names and that may be linked."""
+    """The (a, b) of different components that enough postings name and that may be linked."""
     other = open_.select("token", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("comp_b"))
-    return open_.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("comp") < F.col("comp_b")) & _may_link(percent)).select("a", "b").distinct()
+    named = open_.withColumnRenamed("sid", "a").join(other, "token").filter((F.col("comp") < F.col("comp_b")) & _may_link(percent))
+    return named.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("shared")).filter(_enough("shared", percent)).select("a", "b")
 
 
 def _blocks(open_: DataFrame) -> DataFrame:
@@ -352,8 +363,8 @@ def _block_pairs(open_: DataFrame, blocks: DataFrame, percent: int) -> DataFrame
     ends = stored(ends.join(several, "token"))
     other = ends.select("token", F.col("block").alias("y"), F.col("least").alias("least_y"), F.col("most").alias("most_y"), F.col("reach").alias("reach_y"))
     sized = (F.col("most") * 100 >= F.col("least_y") * percent) & (F.col("most_y") * 100 >= F.col("least") * percent)
-    # The first shared shingle bounds the overlap by what follows it in either set.
-    near = F.least("reach", "reach_y") * (100 + percent) >= (F.col("least") + F.col("least_y")) * percent
+    # As in _may_link.
+    near = (F.least("reach", "reach_y") + SHARED - 1) * (100 + percent) >= (F.col("least") + F.col("least_y")) * percent
     pairs = ends.withColumnRenamed("block", "x").join(other, "token").filter((F.col("x") < F.col("y")) & sized & near).select("x", "y").distinct()
     spans = stored(blocks.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
     span_x, span_y = (spans.select(F.col("block").alias(c), F.struct("low", "high").alias(f"span_{c}")) for c in "xy")
