@@ -5,7 +5,9 @@ matrices, so that a task passes on only what is above the cut. Spark's cross joi
 pair of parts: no image is written more than twice, however many blocks it meets.
 Maximal sets (cliques) are found from one root each: the sets whose first member, in order
 of rising degree, is that root. A root needs its neighbours and the links among them,
-as bit sets; roots are dealt over the tasks, and no set is found twice.
+as bit sets; roots are dealt over the tasks, and no set is found twice. Blocks of nodes with their
+neighbours are stored and meet like blocks of images, so that a link sends one row, which neighbours of its
+first end are neighbours of its second too, and not a row for every path of two links. Roots go in rounds of bounded size.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.common import stored
+from ..llm.common import discard, expand, stored
 
 #: The most images of a block, and about as many blocks are in a file of the stored table.
 BLOCK, FILE_BLOCKS = 1024, 16
+#: A block of nodes ends at so many nodes or neighbours; a task's table or bits have about so many cells; a round of roots sends so many bytes at most, with so many a row besides its bits.
+NODES, ENTRIES, CELLS, ROUND, ROW_BYTES = 2048, 1 << 18, 1 << 22, 1 << 30, 24
 
 
 def pairs(images: DataFrame, cut: float, blocks: int | None = None) -> DataFrame:
@@ -35,7 +39,8 @@ def pairs(images: DataFrame, cut: float, blocks: int | None = None) -> DataFrame
     parts = max(blocks or 1, -(-own.count() // (FILE_BLOCKS * BLOCK)))
     packed = stored(own.repartition(parts, F.xxhash64("id")).mapInArrow(_packing(BLOCK), "block long, size int, ids binary, rows binary"))
     other = packed.select(F.col("block").alias("block2"), F.col("size").alias("size2"), F.col("ids").alias("ids2"), F.col("rows").alias("rows2"))
-    met = packed.crossJoin(other).filter((F.col("block") <= F.col("block2")) & (F.col("size") == F.col("size2")))
+    # Not "size = size2": that is a key to join by, and all blocks of one size would go to one task.
+    met = packed.crossJoin(other).filter((F.col("block") <= F.col("block2")) & (F.col("size") <= F.col("size2")) & (F.col("size") >= F.col("size2")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,40 +113,196 @@ def _maximal(first: int, later: int, earlier: int, near: list[int]) -> Iterator[
 
 def cliques(links: DataFrame) -> DataFrame:
     """(members): the maximal sets of at least two that are all linked, of links (a, b), each set sorted; repeated links and loops count for nothing."""
-    # Stored, for links are read many times and may come from all pairs of images.
-    links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    # Rank by degree, then id; a link is told by the ranks of its ends.
-    ranked = both.join(degree.withColumnRenamed("n", "na"), "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b")
-    rank = lambda n, x: F.struct(F.col(n).alias("n"), F.col(x).alias("id"))
-    edges = ranked.select(rank("na", "a").alias("u"), rank("nb", "b").alias("v"))
-    up = edges.filter("u < v")
-    # Links among the neighbours of each root; only those with a later neighbour at an end can matter.
-    left, right = edges.select(F.col("u").alias("root"), F.col("v").alias("x")), up.select(F.col("u").alias("root"), F.col("v").alias("y"))
-    wedges = left.join(right, "root").filter("x <> y")
-    inner = wedges.join(edges.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"]).select("root", "x", "y")
-    around = edges.groupBy(F.col("u").alias("root")).agg(F.collect_list("v").alias("all"))
-    known = inner.groupBy("root").agg(F.collect_list(F.struct("x", "y")).alias("inner"))
-    local = around.join(known, "root", "left").select("root", "all", F.coalesce("inner", F.array()).alias("inner"))
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = links.filter("a <> b").select(turned.alias("e")).select(F.col("e.a").cast("long").alias("a"), F.col("e.b").cast("long").alias("b"))
+    packed = stored(both.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_neighbours(NODES, ENTRIES), "block long, entries long, ids binary, counts binary, near binary"))
+    total = packed.agg(F.sum("entries")).first()[0] or 0
+    weights = sorted(packed.select("block", "counts").mapInArrow(_weights(total), "block long, weight double").collect())
+    rounds = _rounds(weights, ROUND)
+    found = [_around(packed.filter(F.col("block").between(*ends)), packed).mapInArrow(_sets, "members array<long>") for ends in rounds or [(0, 0)]]
+    if len(found) == 1:
+        return found[0]
+    # Each round's shuffle goes when its sets are stored, so that one is on disk at a time.
+    kept = [stored(x) for x in found]
+    discard(packed)
+    return links.sparkSession.read.schema("members array<long>").parquet(*(x.stored_path for x in kept))
+
+
+def _rounds(weights: list[tuple[int, float]], most: float) -> list[tuple[int, int]]:
+    """First and last block of runs of blocks, each of at most ``most`` weight or of one block."""
+    out, held = [], 0.0
+    for block, weight in weights:
+        if out and held + weight <= most:
+            out[-1], held = (out[-1][0], block), held + weight
+        else:
+            out, held = [*out, (block, block)], weight
+    return out
+
+
+def _neighbours(most: int, entries: int):
+    """Blocks of nodes with their neighbours, of links sorted by both ends; a block ends at ``most`` nodes or with the node that takes it to ``entries`` neighbours."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        last, parts = 0, []
+        for batch in batches:
+            a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+            edges = (np.flatnonzero(np.diff(a)) + 1).tolist()
+            for start, end in zip([0, *edges], [*edges, len(a)], strict=True) if len(a) else ():
+                if parts and a[start] != last:
+                    yield last, np.unique(np.concatenate(parts))
+                    parts = []
+                last = int(a[start])
+                parts.append(np.array(b[start:end]))
+        if parts:
+            yield last, np.unique(np.concatenate(parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, ids, near, size = 0, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            data = [np.array(ids, np.int64), np.array([len(x) for x in near], np.int64), np.concatenate(near)]
+            block = (TaskContext.get().partitionId() << 32) + made
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([size]), *(pa.array([x.tobytes()], pa.binary()) for x in data)], ["block", "entries", "ids", "counts", "near"])
+
+        for node, others in runs(batches):
+            ids.append(node)
+            near.append(others)
+            size += len(others)
+            if len(ids) == most or size >= entries:
+                yield out()
+                made, ids, near, size = made + 1, [], [], 0
+        if ids:
+            yield out()
+
+    return run
+
+
+def _weights(total: int):
+    """At most so many bytes go out for a block's roots. A node of n neighbours has at most n after it in order, and at most total / n, for those have n neighbours or more themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for root, everyone, inner_ in zip(*(batch[c].to_pylist() for c in ("root", "all", "inner")), strict=True):
-                key = lambda x: (x["n"], x["id"])
-                nodes = sorted(map(key, everyone))
-                place, own = {x: i for i, x in enumerate(nodes)}, key(root)
-                near = [0] * len(nodes)
-                for link in inner_:
-                    i, j = place[key(link["x"])], place[key(link["y"])]
-                    near[i] |= 1 << j
-                    near[j] |= 1 << i
-                later = sum(1 << i for i, x in enumerate(nodes) if x > own)
-                earlier = (1 << len(nodes)) - 1 & ~later
-                for chosen in _maximal(-1, later, earlier, near):
-                    if chosen:
-                        found.append(sorted([own[1], *[x[1] for i, x in enumerate(nodes) if chosen >> i & 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["members"])
-
-    return local.mapInArrow(run, "members array<long>")
+            n = [np.frombuffer(x.as_buffer(), np.int64).astype(float) for x in batch["counts"]]
+            weight = [float((np.minimum(x, total / x) * (x / 8 + ROW_BYTES) + 8 * x).sum()) for x in n]
+            yield pa.RecordBatch.from_arrays([batch["block"], pa.array(weight, pa.float64())], ["block", "weight"])
+
+    return run
+
+
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _around(roots: DataFrame, packed: DataFrame) -> DataFrame:
+    """(root, place, data), sorted within tasks: at place -1 the root's neighbours, and at the place of each neighbour after it in order, as bits, which of them are that one's too."""
+    other = packed.select(*(F.col(c).alias(f"{c}2") for c in ("block", "ids", "counts", "near")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mine = None, None
+        for batch in batches:
+            for p, q, *data in zip(*(batch[c] for c in ("block", "block2", "ids", "counts", "near", "ids2", "counts2", "near2")), strict=True):
+                arrays = [np.frombuffer(x.as_buffer(), np.int64) for x in data]
+                if held != p.as_py():
+                    held, mine = p.as_py(), _Roots(*map(np.array, arrays[:3]))
+                if p == q:
+                    yield pa.RecordBatch.from_arrays([pa.array(mine.ids), pa.array(np.full(len(mine.ids), -1, np.int32)), _binaries(mine.near, mine.counts * 8)], ["root", "place", "data"])
+                yield from mine.meet(*arrays[3:])
+
+    rows = roots.select("block", "ids", "counts", "near").crossJoin(other).mapInArrow(run, "root long, place int, data binary")
+    return rows.repartition("root").sortWithinPartitions("root", "place")
+
+
+class _Roots:
+    """A block of nodes with their neighbours, numbered among all that are near any of them."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, near: np.ndarray) -> None:
+        self.ids, self.counts, self.near = ids, counts, near
+        self.first = np.cumsum(counts) - counts
+        self.all, self.number = np.unique(near, return_inverse=True)
+        self.key = np.repeat(np.arange(len(ids)), counts) * len(self.all) + self.number
+
+    def meet(self, ids: np.ndarray, counts: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of the links from these roots to those of another block that come after them, by number of neighbours, then id."""
+        row = np.repeat(np.arange(len(ids)), counts)
+        root = np.minimum(np.searchsorted(self.ids, near), len(self.ids) - 1)
+        after = np.where(self.counts[root] == counts[row], self.ids[root] < ids[row], self.counts[root] < counts[row])
+        link = np.flatnonzero((self.ids[root] == near) & after)
+        if not len(link):
+            return
+        root, x = root[link], row[link]
+        place = np.searchsorted(self.key, root * len(self.all) + np.searchsorted(self.all, ids[x])) - self.first[root]
+        number = np.minimum(np.searchsorted(self.all, near), len(self.all) - 1)
+        shared = self.all[number] == near
+        # So many rows of the other block are held as a table of booleans, and so many bits are made, at a time.
+        height = max(1, CELLS // len(self.all))
+        work = np.cumsum(self.counts[root])
+        cuts = np.flatnonzero((np.diff(x // height) != 0) | (np.diff(work // CELLS) != 0)) + 1
+        at, table = -1, None
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)], strict=True):
+            if x[start] // height != at:
+                at = x[start] // height
+                own = np.flatnonzero(shared & (row // height == at))
+                table = np.zeros((height, len(self.all)), bool)
+                table[row[own] - at * height, number[own]] = True
+            u, sizes = root[start:end], self.counts[root[start:end]]
+            width = (sizes + 7) // 8
+            bits = np.zeros(int(width.sum()) * 8, bool)
+            bits[expand((np.cumsum(width) - width) * 8, sizes)] = table[np.repeat(x[start:end] - at * height, sizes), self.number[expand(self.first[u], sizes)]]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[u]), pa.array(place[start:end].astype(np.int32)), _binaries(np.packbits(bits, bitorder="little"), width)], ["root", "place", "data"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The maximal sets of roots, of rows of ``_around``."""
+
+    def roots() -> Iterator[tuple[int, np.ndarray, list[int], list[bytes]]]:
+        root = near = None
+        places, data = [], []
+        for batch in batches:
+            for r, place, x in zip(*(batch[c].to_pylist() for c in ("root", "place", "data")), strict=True):
+                if place < 0:
+                    if places:
+                        yield root, near, places, data
+                    root, near, places, data = r, np.frombuffer(x, np.int64), [], []
+                else:
+                    places.append(place)
+                    data.append(x)
+        if places:
+            yield root, near, places, data
+
+    found, size = [], 0
+    for root, others, places, data in roots():
+        near = _both_ways(len(others), places, data)
+        later = sum(1 << i for i in places)
+        # Those before the root that are linked with none after it bar no set.
+        earlier = sum(1 << i for i, x in enumerate(near) if x) & ~later
+        for chosen in _maximal(-1, later, earlier, near):
+            members = [root]
+            while chosen:
+                members.append(int(others[(chosen & -chosen).bit_length() - 1]))
+                chosen &= chosen - 1
+            found.append(sorted(members))
+            size += len(members)
+            if size >= ENTRIES:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["members"])
+                found, size = [], 0
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["members"])
+
+
+def _both_ways(n: int, places: list[int], data: list[bytes]) -> list[int]:
+    """Bit sets of n nodes, of those at ``places``; the others get the links that these have with them."""
+    near = [0] * n
+    for i, x in zip(places, data, strict=True):
+        near[i] = int.from_bytes(x, "little")
+    raw, given = np.frombuffer(b"".join(data), np.uint8).reshape(len(places), -1), set(places)
+    step = max(1, CELLS // (8 * n))
+    for start in range(0, raw.shape[1], step):
+        part = np.unpackbits(raw[:, start : start + step], axis=1, bitorder="little").T
+        turned = np.zeros((len(part), n), np.uint8)
+        turned[:, places] = part
+        lines = np.packbits(turned, axis=1, bitorder="little")
+        for k in np.flatnonzero(part.any(1)).tolist():
+            if 8 * start + k not in given:
+                near[8 * start + k] = int.from_bytes(lines[k].tobytes(), "little")
+    return near

@@ -68,6 +68,54 @@ def test_cliques(spark, n, share, seed):
     assert sorted(r["members"] for r in agreements.cliques(table).collect()) == plain(links)
 
 
+def dense(n, share, seed):
+    rng = np.random.default_rng(seed)
+    return [(i * 7 - 50, j * 7 - 50) for i in range(n) for j in range(i + 1, n) if rng.uniform() < share]
+
+
+@pytest.mark.parametrize("cells", [8, 300, 1 << 22])
+def test_cliques_in_rounds(spark, monkeypatch, cells):
+    """Blocks, rounds and tables of any size give the same sets, and all rounds are read back."""
+    for name, value in (("NODES", 4), ("ENTRIES", 24), ("CELLS", cells), ("ROUND", 1200)):
+        monkeypatch.setattr(agreements, name, value)
+    hub = [(-1000, 7 * i - 50) for i in range(30)] + [(-1000, 2000 + i) for i in range(20)]
+    links = dense(30, 0.4, 5) + hub
+    kept, store = [], agreements.stored
+    monkeypatch.setattr(agreements, "stored", lambda frame: kept.append(store(frame)) or kept[-1])
+    found = agreements.cliques(spark.createDataFrame([*links, *links[:9]], "a long, b long"))
+    got = sorted(r["members"] for r in found.collect())
+    assert got == plain(links) and sum(x.columns == ["members"] for x in kept) > 2
+
+
+def test_a_path_of_two_links_is_no_row(spark):
+    """A set of n images sends a row for each link and node, where it sent one for each path of two links."""
+    n = 40
+    links = spark.createDataFrame(dense(n, 1.0, 1), "a long, b long")
+    found = agreements.cliques(links)
+    assert [len(r["members"]) for r in found.collect()] == [n]
+
+    def rows(node):
+        """Most rows that a node of a plan made."""
+        made = node.metrics().get("numOutputRows")
+        below = [node.executedPlan()] if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [node.plan()] if "QueryStage" in node.getClass().getSimpleName() else [node.children().apply(i) for i in range(node.children().size())]
+        return max([made.get().value() if made.isDefined() else 0, *map(rows, below)])
+
+    assert rows(found._jdf.queryExecution().executedPlan()) <= n * (n - 1) // 2 + n
+
+
+def test_blocks_are_not_joined_by_their_size(spark):
+    """All images have one size, so that a join by it would meet all blocks in one task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = np.random.default_rng(3)
+        found = agreements.pairs(spark.createDataFrame([(i, rng.normal(size=4 + i % 2).tolist()) for i in range(40)], "image_id int, pix array<double>"), 0.5, 2)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_no_links(spark):
     assert agreements.cliques(spark.createDataFrame([], "a long, b long")).count() == 0
     assert agreements.pairs(spark.createDataFrame([], "image_id int, pix array<double>"), 0.5).count() == 0
